@@ -87,14 +87,14 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(off[1:], self.start, side="right")
-        self.hash = self.hashed(LOWER[data] if fold else data, self.start, self.end)
+        self._sums = np.zeros(len(data) + 1, U)
+        np.cumsum(((LOWER[data] if fold else data).astype(U) + U(1)) * powers(_P, len(data)), out=self._sums[1:])
+        self.hash = self.hashed(self.start, self.end)
         self.count = np.bincount(self.doc, minlength=self.n_docs)
 
-    @staticmethod
-    def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * powers(_P, len(data)), out=total[1:])
-        return mix((total[end] - total[start]) * powers(_Q, max(1, len(data)))[start])
+    def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges [start, end)."""
+        return mix((self._sums[end] - self._sums[start]) * powers(_Q, max(1, len(self.data)))[start])
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc, hash) of each run of k words; a text of fewer words gives its whole sequence as one."""
