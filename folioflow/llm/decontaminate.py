@@ -3,8 +3,7 @@
 The benchmark is indexed, not the corpus: postings hold each term's BM25 impact divided by the item's score against
 itself, so that one threshold serves items of any length. Every passage (a window of words, see WINDOW) of
 every text is a query. Impacts of a term come in blocks of BLOCK postings with their largest impact. A passage ends at once
-if the maxima of its rare terms, and the most that all common terms bring to any one item, can't add up to the threshold
-(no WAND pivot can exist); all others run the full search, whose pivots are skipped where block maxima can't reach it. What is retrieved is verified on k-word shingles of
+if no item can reach the threshold by what its rare terms bring and the most that common terms could; all others run the full search, whose pivots are skipped where block maxima can't reach it. What is retrieved is verified on k-word shingles of
 question (all but the last sentence of the item) and answer (the last sentence; an item of one sentence is both).
 
 The index goes to the executors in shards of at most SHARD_CHARS of item text, one scan of the corpus each, so that what
@@ -65,7 +64,9 @@ class Index:
         self.top = np.array([x.max() for x in self.impacts])
         # terms of many items, and the most that all of them together bring to any one item
         self.rare = df <= max(2, COMMON * len(items))
-        self.common = float(np.bincount(item, impact * ~self.rare[term], max(1, len(items))).max())
+        self.item_common = np.bincount(item, impact * ~self.rare[term], max(1, len(items)))
+        self.common = float(self.item_common.max())
+        self.cut, self.post_item, self.post_impact = cut, item, impact
         pairs = [question_and_answer(t) for _, t in items]
         self.parts, self.halves = [], []
         for half in zip(*pairs) if pairs else ((), ()):
@@ -84,6 +85,32 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, word_hash), len(self.terms) - 1)
         return np.where(self.terms[at] == word_hash, at, -1)
 
+    def hopeful(self, term: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether any item may reach the threshold in the passages [start, end) of term numbers: what their rare terms
+        bring it, and the most that common terms can."""
+        out = np.zeros(len(start), bool)
+        n = len(self.item_common)
+        step = max(1, 2_000_000 // n) if n < 20_000 else 500
+        for a in range(0, len(start), step):
+            s, size = start[a : a + step], (end - start)[a : a + step]
+            passage = np.repeat(np.arange(len(s)), size)
+            t = term[np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)]
+            used = (t >= 0) & self.rare[t]
+            passage, t = passage[used], t[used]
+            many = self.cut[t + 1] - self.cut[t]
+            at = np.arange(many.sum()) + np.repeat(self.cut[t] - np.cumsum(many) + many, many)
+            key, impact = np.repeat(passage, many) * n + self.post_item[at], self.post_impact[at]
+            if n < 20_000:
+                total = np.bincount(key, impact, len(s) * n).reshape(len(s), n) + self.item_common
+                out[a : a + step] = (total >= threshold - 1e-9).any(1)
+            elif len(key):
+                order = np.argsort(key)
+                begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+                key = key[order][begin]
+                good = np.add.reduceat(impact[order], begin) + self.item_common[key % n] >= threshold - 1e-9
+                out[a + key[good] // n] = True
+        return out
+
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of every item that reaches the threshold, by block-max WAND."""
         lists = [(self.items[t], self.impacts[t], self.blocks[t], float(self.top[t])) for t in terms.tolist()]
@@ -146,13 +173,13 @@ def _matches(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float,
     start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * stride
     end = np.minimum(start + window, first[row] + words.count[row])
     found: dict[tuple[int, int], float] = {}
-    for w in np.flatnonzero(bound[end] - bound[start] >= needed).tolist():
+    maybe = np.flatnonzero(bound[end] - bound[start] >= needed)
+    for w in maybe[index.hopeful(term, start[maybe], end[maybe], THRESHOLD)].tolist() if len(index.top) else []:
         terms = np.unique(term[start[w] : end[w]])
         terms = terms[terms >= 0]
-        if index.top[terms[index.rare[terms]]].sum() >= needed:
-            for item, score in index.search(terms, THRESHOLD):
-                key = (int(row[w]), item)
-                found[key] = max(found.get(key, 0.0), score)
+        for item, score in index.search(terms, THRESHOLD):
+            key = (int(row[w]), item)
+            found[key] = max(found.get(key, 0.0), score)
     out = []
     if found:
         doc, hashes = words.shingles(SHINGLE)
