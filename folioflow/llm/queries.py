@@ -43,6 +43,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -51,6 +57,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op9_quality_classifier)}
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op8_url_filters, op9_quality_classifier, op10_license_scans)}
 
 ORACLE_SQL: dict[str, str] = {"op5_mixing_sources": MIX_SQL}
