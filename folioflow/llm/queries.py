@@ -43,6 +43,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judged
 
@@ -63,6 +69,6 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op8_url_filters, op9_quality_classifier, op10_license_scans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op7_html_extraction, op8_url_filters, op9_quality_classifier, op10_license_scans)}
 
 ORACLE_SQL: dict[str, str] = {"op5_mixing_sources": MIX_SQL}
