@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import MIX_SQL
+from .mtree import TOP_SQL
 from .shared import shared_folder, table
 
 
@@ -17,6 +18,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import nearest_by_inner_product
+
+    return nearest_by_inner_product(table(spark, sf_dir, "embeddings"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminations
 
@@ -69,6 +76,6 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op7_html_extraction, op8_url_filters, op9_quality_classifier, op10_license_scans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_top_k, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op7_html_extraction, op8_url_filters, op9_quality_classifier, op10_license_scans)}
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing_sources": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": TOP_SQL, "op5_mixing_sources": MIX_SQL}
