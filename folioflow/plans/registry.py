@@ -1,10 +1,407 @@
-"""Named queries and their SQL."""
+"""Named queries over the driver tables, and SQL that states the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import boxes as B
+from ..sources.fixtures import BOX_SQL, DET_SQL, TOK_SQL, boxes, detected, read, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _tok(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(read(spark, d, "documents"))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(_tok(spark, d))
+
+
+# ---- boxes
+
+
+@query(f"""WITH {BOX_SQL}, b AS (SELECT *, y + h / 2.0 AS cy FROM boxes WHERE NOT deleted),
+g AS (SELECT page_key, greatest(4, trunc(list_sort(list(h))[(count(*) // 2 + 1)::INT] * 0.6)::INT) AS gap FROM b GROUP BY page_key),
+j AS (SELECT b.*, CASE WHEN lag(cy) OVER o IS NULL OR cy - lag(cy) OVER o > gap THEN 1 ELSE 0 END AS jump FROM b JOIN g USING (page_key) WINDOW o AS (PARTITION BY page_key ORDER BY cy, line, word)),
+l AS (SELECT *, sum(jump) OVER (PARTITION BY page_key ORDER BY cy, line, word ROWS UNBOUNDED PRECEDING)::BIGINT AS out_line FROM j)
+SELECT page_key, box_id, out_line, row_number() OVER (PARTITION BY page_key, out_line ORDER BY x, line, word) AS out_word FROM l""")
+def win1_reading_order(spark, d):
+    return B.reading_order(_boxes(spark, d))
+
+
+@query(f"""WITH {BOX_SQL}, p AS (SELECT *, greatest(2, trunc(h * 0.06)::INT) AS pad FROM boxes)
+SELECT page_key, box_id, greatest(0, x - pad) AS x, greatest(0, y - pad) AS y, least(2000 - greatest(0, x - pad), w + 2 * pad) AS w, least(3000 - greatest(0, y - pad), h + 2 * pad) AS h FROM p""")
+def prj4_pad_clip(spark, d):
+    return B.pad_clip(_boxes(spark, d), 2000, 3000)
+
+
+@query(f"WITH {BOX_SQL} SELECT page_key, line, greatest(0, min(x) - 4) AS x0, greatest(0, min(y) - 4) AS y0, max(x + w) + 4 AS x1, max(y + h) + 4 AS y1 FROM boxes GROUP BY page_key, line")
+def prj7_line_bbox(spark, d):
+    return B.line_bbox(_boxes(spark, d))
+
+
+@query(f"WITH {BOX_SQL} SELECT page_key, count(*) FILTER (WHERE NOT deleted) AS active FROM boxes GROUP BY page_key HAVING active > 0")
+def flt1_active_boxes(spark, d):
+    return B.active(_boxes(spark, d)).groupBy("page_key").agg(F.count("*").alias("active"))
+
+
+@query(f"WITH {BOX_SQL} SELECT CASE WHEN edited OR source = 'manual' THEN 'protected' WHEN NOT deleted THEN 'refreshable' ELSE 'retired' END AS state, count(*) AS n FROM boxes GROUP BY 1")
+def flt2_protection(spark, d):
+    return B.protection(_boxes(spark, d)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {BOX_SQL} SELECT page_key, box_id FROM (SELECT *, count(*) OVER (PARTITION BY page_key, line) AS n FROM boxes) WHERE n >= 3 AND conf >= 0.3")
+def flt3_line_rejection(spark, d):
+    n = F.count("*").over(W.partitionBy("page_key", "line"))
+    return _boxes(spark, d).withColumn("n", n).where("n >= 3 and conf >= 0.3").select("page_key", "box_id")
+
+
+@query(f"""WITH {BOX_SQL}, l AS (SELECT page_key, line, min(x) AS x0, count(*) AS n FROM boxes GROUP BY page_key, line), a AS (SELECT page_key, quantile_cont(x0, 0.5) AS anchor FROM l WHERE n >= 3 GROUP BY page_key)
+SELECT b.page_key, b.box_id FROM boxes b JOIN l USING (page_key, line) LEFT JOIN a ON a.page_key = b.page_key WHERE anchor IS NULL OR abs(x0 - anchor) <= 0.18 * 300""")
+def flt4_body_column(spark, d):
+    return B.body_column(_boxes(spark, d), 300).select("page_key", "box_id")
+
+
+@query(f"""WITH {BOX_SQL}, m AS (SELECT page_key, quantile_cont(h, 0.5) AS mh FROM boxes GROUP BY page_key)
+SELECT page_key, box_id, CASE WHEN w < 20 OR h < 16 THEN 'too_small' WHEN h > 2.2 * mh THEN 'too_tall' WHEN w > 12 * mh THEN 'off_page_scale' WHEN conf < 0.1 THEN 'low_conf' END AS reason FROM boxes JOIN m USING (page_key)""")
+def flt5_quality_gates(spark, d):
+    return B.quality_gate(_boxes(spark, d))
+
+
+@query(f"""WITH {BOX_SQL}, m AS (SELECT page_key, quantile_cont(h, 0.5) AS mh FROM boxes GROUP BY page_key),
+r AS (SELECT CASE WHEN w < 20 OR h < 16 THEN 'too_small' WHEN h > 2.2 * mh THEN 'too_tall' WHEN w > 12 * mh THEN 'off_page_scale' WHEN conf < 0.1 THEN 'low_conf' END AS reason FROM boxes JOIN m USING (page_key))
+SELECT reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM r), 4)::DOUBLE AS percent FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def agg3_gate_tally(spark, d):
+    tally = B.quality_gate(_boxes(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
+    return tally.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 4)).where("reason is not null")
+
+
+_IOU = f"""WITH {DET_SQL}, iou AS (SELECT o.page_key, o.box_id AS old_id, n.box_id AS new_id, n.text, n.x, n.y,
+ (least(o.x + o.w, n.x + n.w) - greatest(o.x, n.x))::BIGINT * (least(o.y + o.h, n.y + n.h) - greatest(o.y, n.y)) AS i, o.w::BIGINT * o.h + n.w::BIGINT * n.h AS s
+ FROM boxes o JOIN det n ON o.page_key = n.page_key AND abs(o.line - n.line) <= 1 AND o.x < n.x + n.w AND n.x < o.x + o.w AND o.y < n.y + n.h AND n.y < o.y + o.h),
+pairs AS (SELECT *, i / (s - i)::DOUBLE AS iou FROM iou WHERE i / (s - i)::DOUBLE >= 0.5)"""
+
+
+@query(_IOU + " SELECT page_key, old_id, new_id, iou FROM pairs")
+def jon7_iou_pairs(spark, d):
+    tok = _tok(spark, d)
+    return B.iou_pairs(boxes(tok), detected(tok)).select("page_key", F.col("old_box_id").alias("old_id"), F.col("new_box_id").alias("new_id"), "iou")
+
+
+@query(_IOU + " SELECT page_key, box_id FROM det WHERE (page_key, box_id) NOT IN (SELECT p.page_key, new_id FROM pairs p JOIN boxes b ON b.page_key = p.page_key AND b.box_id = p.old_id WHERE b.edited OR b.source = 'manual')")
+def jon8_protected_suppress(spark, d):
+    tok = _tok(spark, d)
+    return B.suppress(detected(tok), boxes(tok)).select("page_key", "box_id")
+
+
+_MERGE = _IOU + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key, old_id ORDER BY iou DESC, new_id) AS a, row_number() OVER (PARTITION BY page_key, new_id ORDER BY iou DESC, old_id) AS b FROM pairs) WHERE a = 1 AND b = 1),
+st AS (SELECT *, CASE WHEN edited OR source = 'manual' THEN 'protected' WHEN NOT deleted THEN 'refreshable' ELSE 'retired' END AS state FROM boxes),
+k AS (SELECT s.page_key, s.box_id, s.state, s.x, s.y, s.text, p.text AS nt, p.x AS nx, p.y AS ny FROM st s LEFT JOIN best p ON p.page_key = s.page_key AND p.old_id = s.box_id),
+merged AS (SELECT page_key, box_id, CASE WHEN r THEN nx ELSE x END AS x, CASE WHEN r THEN ny ELSE y END AS y, CASE WHEN r THEN nt ELSE text END AS text, CASE WHEN r THEN 'refreshed' ELSE 'kept' END AS outcome FROM (SELECT *, nt IS NOT NULL AND state = 'refreshable' AS r FROM k) WHERE state <> 'refreshable' OR r
+UNION ALL SELECT page_key, 'n' || box_id, x, y, text, 'added' FROM det WHERE (page_key, box_id) NOT IN (SELECT page_key, new_id FROM best))"""
+
+
+@query(_MERGE + " SELECT * FROM merged")
+def geo2_merge_fast(spark, d):
+    tok = _tok(spark, d)
+    return B.merge_fast(boxes(tok), detected(tok))
+
+
+@query(_MERGE + " SELECT outcome, count(*) AS n FROM merged GROUP BY outcome")
+def agg4_merge_stats(spark, d):
+    return geo2_merge_fast(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {BOX_SQL} SELECT page_key, list_sort(list(h))[(count(*) // 2 + 1)::INT] AS median_h FROM boxes GROUP BY page_key")
+def agg10_upper_median(spark, d):
+    return _boxes(spark, d).groupBy("page_key").agg(B.upper_median("h").alias("median_h"))
+
+
+@query(f"WITH {BOX_SQL}, m AS (SELECT page_key, quantile_cont(conf, 0.5) AS m FROM boxes GROUP BY page_key) SELECT page_key, round(1.4826 * quantile_cont(abs(conf - m), 0.5), 6) AS sigma FROM boxes JOIN m USING (page_key) GROUP BY page_key")
+def agg13_robust_sigma(spark, d):
+    b = _boxes(spark, d)
+    m = b.groupBy("page_key").agg(F.percentile("conf", 0.5).alias("m"))
+    return b.join(m, "page_key").groupBy("page_key").agg(F.round(1.4826 * F.percentile(F.abs(F.col("conf") - F.col("m")), 0.5), 6).alias("sigma"))
+
+
+# ---- text
+
+
+@query(f"WITH {TOK_SQL} SELECT doc_id, ln, wn, tok FROM tok")
+def txt_token_stream(spark, d):
+    return _tok(spark, d)
+
+
+@query(f"WITH {TOK_SQL} SELECT doc_id, ln, wn, regexp_replace(lower(tok), '[^a-z0-9]', '', 'g') AS norm FROM tok")
+def txt2_norm_compare(spark, d):
+    return _tok(spark, d).select("doc_id", "ln", "wn", T.normalised(F.col("tok")).alias("norm"))
+
+
+@query(f"WITH {TOK_SQL} SELECT doc_id, ln, wn, trim(replace(translate(tok, '’‘“”–—', '''''\"\"--'), '…', '...')) AS label FROM tok")
+def txt7_clean_label(spark, d):
+    return _tok(spark, d).select("doc_id", "ln", "wn", T.clean_label(F.col("tok")).alias("label"))
+
+
+_STEM = r"""regexp_replace(regexp_replace(lower({0}), '^[.,;:!?''"]+|[.,;:!?''"]+$', '', 'g'), '''s$', '')"""
+_VOCAB = f"vocab AS (SELECT DISTINCT word FROM (SELECT {_STEM.format('t')} AS word FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t FROM benchmark)) WHERE regexp_full_match(word, '[a-z]+'))"
+
+
+@query(f"WITH {TOK_SQL}, s AS (SELECT {_STEM.format('tok')} AS stem, count(*) AS n FROM tok GROUP BY 1) SELECT * FROM s")
+def txt8_stems(spark, d):
+    return _tok(spark, d).groupBy(T.stem(F.col("tok")).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TOK_SQL} SELECT CASE WHEN regexp_full_match(tok, '[0-9]+([./-][0-9]+)*') THEN 'number' WHEN len(replace(tok, '.', '')) BETWEEN 2 AND 4 AND len(regexp_extract_all(tok, '[A-Z]')) >= greatest(2, len(replace(tok, '.', '')) - 1) THEN 'initialism' ELSE 'other' END AS kind, count(*) AS n FROM tok GROUP BY 1")
+def flt6_flt7_token_kinds(spark, d):
+    kind = F.when(T.is_number(F.col("tok")), "number").when(T.is_initialism(F.col("tok")), "initialism").otherwise("other")
+    return _tok(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+_ALPHA = T.ALPHABET.replace("'", "''")
+
+
+@query(f"WITH {TOK_SQL}, r AS (SELECT doc_id, ln, wn, array_to_string(list_sort(list_distinct(list_filter(string_split(tok, ''), lambda c: NOT contains('{_ALPHA}', c)))), '') AS bad FROM tok) SELECT * FROM r WHERE bad <> ''")
+def flt8_alphabet_reject(spark, d):
+    return _tok(spark, d).select("doc_id", "ln", "wn", T.offending(F.col("tok")).alias("bad")).where("bad <> ''")
+
+
+@query(f"WITH {TOK_SQL}, c AS (SELECT unnest(string_split(tok, '')) AS ch FROM tok) SELECT ch, count(*) AS n FROM c WHERE NOT contains('{_ALPHA}', ch) GROUP BY ch")
+def agg7_unsupported_characters(spark, d):
+    chars = _tok(spark, d).select(F.explode(F.split("tok", "")).alias("ch")).where("ch <> ''")
+    return chars.where(~F.col("ch").isin(list(T.ALPHABET))).groupBy("ch").agg(F.count("*").alias("n"))
+
+
+_DF = f"WITH {TOK_SQL}, {_VOCAB}, df AS (SELECT word, count(*) AS n FROM (SELECT {_STEM.format('tok')} AS word FROM tok) WHERE regexp_full_match(word, '[a-z]{{2,}}') AND word IN (SELECT word FROM vocab) GROUP BY word)"
+
+
+@query(_DF + " SELECT * FROM df")
+def agg1_document_frequency(spark, d):
+    return T.document_frequency(_tok(spark, d), T.vocabulary(read(spark, d, "benchmark")))
+
+
+@query(_DF + " SELECT word FROM df WHERE n >= 2")
+def agg2_strong_vocabulary(spark, d):
+    return agg1_document_frequency(spark, d).where("n >= 2").select("word")
+
+
+@query(f"WITH {_VOCAB} SELECT word FROM vocab")
+def set1_vocabulary(spark, d):
+    return T.vocabulary(read(spark, d, "benchmark"))
+
+
+_STEMS = f"WITH {TOK_SQL}, {_VOCAB}, stems AS (SELECT DISTINCT word FROM (SELECT {_STEM.format('tok')} AS word FROM tok) WHERE regexp_full_match(word, '[a-z]{{3,24}}'))"
+
+
+def _stems(spark: SparkSession, d: str) -> DataFrame:
+    return _tok(spark, d).select(T.stem(F.col("tok")).alias("word")).where("word rlike '^[a-z]{3,24}$'").distinct()
+
+
+@query(_STEMS + """, f AS (SELECT word, unnest([word, CASE WHEN word LIKE '%ies' AND len(word) > 5 THEN left(word, -3) || 'y' END, CASE WHEN word LIKE '%es' AND len(word) > 4 THEN left(word, -2) END, CASE WHEN word LIKE '%s' AND len(word) > 3 THEN left(word, -1) END] ||
+ flatten(list_transform(list_filter(['ed', 'ing', 'ly', 'er', 'est'], lambda e: suffix(word, e) AND len(word) - len(e) >= 3), lambda e: [left(word, -len(e)), left(word, -len(e)) || 'e', CASE WHEN word[-len(e) - 1] = 'i' THEN left(word, -len(e) - 1) || 'y' END, CASE WHEN word[-len(e) - 1] = word[-len(e) - 2] THEN left(word, -len(e) - 1) END]))) AS form FROM stems)
+SELECT word, bool_or(coalesce(form IN (SELECT word FROM vocab), false)) AS known FROM f GROUP BY word""")
+def txt9_inflection_known(spark, d):
+    return T.inflected(_stems(spark, d), T.vocabulary(read(spark, d, "benchmark")))
+
+
+@query(_STEMS + " SELECT s.word, v.word AS candidate FROM stems s JOIN vocab v ON abs(len(s.word) - len(v.word)) <= 1 AND damerau_levenshtein(s.word, v.word) = 1")
+def jon12_edit1(spark, d):
+    return T.edit1(_stems(spark, d), T.vocabulary(read(spark, d, "benchmark")))
+
+
+# ---- labels and data sets
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """ord, image_path, text, writer_id: one label for each active box of a page of good quality."""
+    good = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("page_key"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.col("source").alias("writer"))
+    b = B.active(_boxes(spark, d)).where("w >= 10 and h >= 16").join(good.distinct(), "page_key", "left_semi").join(docs, "page_key")
+    return b.select(F.concat_ws("__", "page_key", "box_id").alias("image_path"), "text", "writer", "page_key", "box_id", "w", "h")
+
+
+_LAB = f"WITH {BOX_SQL}, lab AS (SELECT page_key || '__' || box_id AS image_path, b.text, d.source AS writer, page_key, box_id, w, h FROM boxes b JOIN documents d ON d.doc_id::VARCHAR = b.page_key WHERE NOT deleted AND w >= 10 AND h >= 16 AND page_key IN (SELECT doc_id::VARCHAR FROM labels WHERE quality = 1))"
+
+
+@query(_LAB + " SELECT image_path, text, writer, dense_rank() OVER (ORDER BY writer) - 1 AS wid FROM lab")
+def win3_writer_ids(spark, d):
+    lab = _labels(spark, d)
+    # ranks over the writers, not over their labels: a window on all labels would be one task
+    ids = lab.select("writer").distinct().withColumn("wid", (F.dense_rank().over(W.orderBy("writer")) - 1).cast("long"))
+    return lab.join(ids, "writer").select("image_path", "text", "writer", "wid")
+
+
+def _running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """WIN-2: exclusive running sum in the order of a column, by range partitions: each is summed alone, then shifted by those before it."""
+    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    totals = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = totals.select("_part", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
+    return parts.withColumn("_inside", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+
+
+@query(_LAB + " SELECT image_path, len(text) AS lb_len, (sum(len(text)) OVER (ORDER BY image_path ROWS UNBOUNDED PRECEDING) - len(text))::BIGINT AS lb_seek, array_to_string(list_transform(string_split(text, ''), lambda c: ord(c)::VARCHAR), ' ') AS codes FROM lab")
+def arr1_pack_offsets(spark, d):
+    lab = _labels(spark, d).select("image_path", "text", F.length("text").cast("long").alias("lb_len"))
+    codes = F.array_join(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), " ")
+    return _running(lab, "image_path", "lb_len", "lb_seek").select("image_path", "lb_len", "lb_seek", codes.alias("codes"))
+
+
+@query(_LAB + " SELECT image_path, text, greatest(8, round_even(w * 32.0 / h, 0))::BIGINT AS img_w FROM lab")
+def prj10_resize_width(spark, d):
+    return _labels(spark, d).select("image_path", "text", F.greatest(F.lit(8), F.bround(F.col("w") * 32.0 / F.col("h"), 0)).cast("long").alias("img_w"))
+
+
+@query(_LAB + " SELECT count(*) AS samples, count(DISTINCT page_key) AS pages, count(DISTINCT lower(text)) AS words, round(avg(len(text)), 6) AS avg_len, sum(len(text))::BIGINT AS chars FROM lab")
+def agg6_dataset_info(spark, d):
+    n = F.length("text")
+    return _labels(spark, d).agg(F.count("*").alias("samples"), F.countDistinct("page_key").alias("pages"), F.countDistinct(F.lower("text")).alias("words"), F.round(F.avg(n), 6).alias("avg_len"), F.sum(n).cast("long").alias("chars"))
+
+
+@query(_LAB + f", b AS (SELECT page_key, count(*) AS boxes, count(*) FILTER (WHERE conf < 0.3) AS flagged FROM boxes WHERE NOT deleted GROUP BY page_key), t AS (SELECT page_key, count(*) AS trainable FROM lab GROUP BY page_key) SELECT page_key, boxes, flagged, coalesce(trainable, 0) AS trainable FROM b LEFT JOIN t USING (page_key)")
+def agg5_page_rollup(spark, d):
+    b = B.active(_boxes(spark, d)).groupBy("page_key").agg(F.count("*").alias("boxes"), F.count_if(F.col("conf") < 0.3).alias("flagged"))
+    t = _labels(spark, d).groupBy("page_key").agg(F.count("*").alias("trainable"))
+    return b.join(t, "page_key", "left").fillna({"trainable": 0})
+
+
+@query(_LAB + " SELECT page_key, count(*) AS pending FROM boxes WHERE NOT deleted AND page_key || '__' || box_id NOT IN (SELECT image_path FROM lab) GROUP BY page_key")
+def jon3_resume_pending(spark, d):
+    done = _labels(spark, d).select("page_key", "box_id")
+    return B.active(_boxes(spark, d)).join(done, ["page_key", "box_id"], "left_anti").groupBy("page_key").agg(F.count("*").alias("pending"))
+
+
+@query(_LAB + ", k AS (SELECT greatest(1, round_even(count(*) * 0.1, 0))::BIGINT AS k FROM lab) SELECT image_path, text FROM (SELECT *, row_number() OVER (ORDER BY sha256(image_path || '7'), image_path) AS r FROM lab), k WHERE r <= k")
+def smp1_qa_sample(spark, d):
+    lab = _labels(spark, d)
+    n = lab.count()
+    return lab.orderBy(F.sha2(F.concat("image_path", F.lit("7")), 256), "image_path").limit(min(n, max(1, round(n * 0.1)))).select("image_path", "text")
+
+
+@query(_LAB + ", r AS (SELECT image_path, text, CASE WHEN ascii(right(box_id, 1)) % 4 = 0 THEN text || '~' ELSE text END AS again FROM lab) SELECT CASE WHEN text = again THEN 'OK' ELSE 'MISMATCH' END AS status, count(*) AS n FROM r GROUP BY 1")
+def smp2_reentry_status(spark, d):
+    again = F.when(F.ascii(F.substring("box_id", -1, 1)) % 4 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
+    return _labels(spark, d).groupBy(F.when(F.col("text") == again, "OK").otherwise("MISMATCH").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(_LAB + ", new AS (SELECT image_path, text || '!' AS text FROM lab WHERE ascii(right(box_id, 1)) % 3 = 0 UNION ALL SELECT 'new__' || image_path, text FROM lab WHERE ascii(right(box_id, 1)) % 5 = 0) SELECT coalesce(n.image_path, l.image_path) AS image_path, coalesce(n.text, l.text) AS text, coalesce(l.writer, 'me') AS writer FROM lab l FULL JOIN new n ON l.image_path = n.image_path")
+def jon9_label_upsert(spark, d):
+    lab = _labels(spark, d)
+    last = F.ascii(F.substring("box_id", -1, 1))
+    new = lab.where(last % 3 == 0).select("image_path", F.concat("text", F.lit("!")).alias("new_text")).union(lab.where(last % 5 == 0).select(F.concat(F.lit("new__"), "image_path"), "text"))
+    return lab.select("image_path", "text", "writer").join(new, "image_path", "full").select("image_path", F.coalesce("new_text", "text").alias("text"), F.coalesce("writer", F.lit("me")).alias("writer"))
+
+
+# ---- artefacts and sequences over events
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3")
+def win4_keep_last(spark, d):
+    r = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))
+    return read(spark, d, "events").withColumn("r", r).where("r <= 3").select("user_id", "event_id")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, -event_id)) AS event_id FROM events GROUP BY user_id")
+def win5_latest_artefact(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", -F.col("event_id"))).alias("event_id"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value >= 50 AS on_, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+g AS (SELECT *, r - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM e WHERE on_) SELECT user_id, min(r) AS start, max(r) AS stop, count(*) AS n FROM g GROUP BY user_id, g""")
+def win7_islands(spark, d):
+    by = W.partitionBy("user_id").orderBy("event_id")
+    on = read(spark, d, "events").withColumn("r", F.row_number().over(by)).where("value >= 50")
+    return on.withColumn("g", F.col("r") - F.row_number().over(by)).groupBy("user_id", "g").agg(F.min("r").cast("long").alias("start"), F.max("r").cast("long").alias("stop"), F.count("*").alias("n")).drop("g")
+
+
+@query("SELECT user_id, event_id, round((lag(value, 2, 0) OVER w + 4 * lag(value, 1, 0) OVER w + 6 * value + 4 * lead(value, 1, 0) OVER w + lead(value, 2, 0) OVER w) / 16, 6) AS smooth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def win8_smoothing(spark, d):
+    w = W.partitionBy("user_id").orderBy("event_id")
+    v = lambda k: F.lag("value", k, 0.0).over(w) if k > 0 else F.lead("value", -k, 0.0).over(w)
+    return read(spark, d, "events").select("user_id", "event_id", F.round((v(2) + 4 * v(1) + 6 * F.col("value") + 4 * v(-1) + v(-2)) / 16, 6).alias("smooth"))
+
+
+@query("SELECT user_id, quantile_cont(gap, 0.5) AS spacing FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) WHERE gap > 15 AND gap < 4000 GROUP BY user_id HAVING count(*) >= 3")
+def win10_gap_median(spark, d):
+    gaps = read(spark, d, "events").select("user_id", (F.col("event_id") - F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))).alias("gap"))
+    return gaps.where("gap > 15 and gap < 4000").groupBy("user_id").agg(F.percentile("gap", 0.5).alias("spacing"), F.count("*").alias("n")).where("n >= 3").drop("n")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.98), 6) AS p98 FROM events GROUP BY event_type")
+def agg12_percentiles(spark, d):
+    return read(spark, d, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p2", 0.02), ("p50", 0.5), ("p98", 0.98))))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def agg16_status_counts(spark, d):
+    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---- beyond parity
+
+
+@query("SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
+def ext_star_join(spark, d):
+    t = {n: read(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
+    j = t["lineitem"].join(t["orders"], F.expr("l_orderkey = o_orderkey")).join(t["customer"], F.expr("o_custkey = c_custkey")).join(t["nation"], F.expr("c_nationkey = n_nationkey")).join(t["region"], F.expr("n_regionkey = r_regionkey"))
+    return j.groupBy("r_name", "n_name").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+
+
+@query("SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS g, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_grouping_sets(spark, d):
+    return read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().cast("long").alias("g"), F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT o_orderkey, rank() OVER w AS r, ntile(4) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
+def ext_rank_frames(spark, d):
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("r"), F.ntile(4).over(w).alias("q"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def ext_set_ops(spark, d):
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(read(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s")
+def ext_sessions(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    b = F.when(F.lag("ts").over(w).isNull() | (F.col("ts") > F.lag("ts").over(w) + F.expr("INTERVAL 30 MINUTES")), 1).otherwise(0)
+    s = read(spark, d, "events").withColumn("b", b).withColumn("s", F.sum("b").over(w))
+    return s.groupBy("user_id", "s").agg(F.min("ts").alias("start"), F.count("*").alias("n")).drop("s")
+
+
+@query("SELECT event_id, (SELECT max(c.ts) FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'click' AND (c.ts < e.ts OR (c.ts = e.ts AND c.event_id < e.event_id))) AS last_click FROM events e")
+def ext_asof_last_click(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    return read(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("ts")), ignorenulls=True).over(w).alias("last_click"))
+
+
+@query("SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")
+def ext_json_props(spark, d):
+    return read(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def ext_stream_tumbling(spark, d):
+    from ..streaming.tumbling import daily_counts
+
+    return daily_counts(spark, d)
