@@ -171,7 +171,7 @@ def nearest_by_inner_product(vectors: DataFrame, k: int = 10, query_every: int =
                 out += [(int(ids[i]), v, s) for s, v in tree.top(int(ids[i]), q[i], k, floor if floor > -(1 << 62) else None)]
         return pa.table({n: pa.array([x[j] for x in out], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
-    found = parts.groupBy("tree").cogroup(sent.groupBy("tree")).applyInArrow(search, "query_id long, vec_id long, score long")
+    found = parts.repartition(trees, "tree").groupBy("tree").cogroup(sent.repartition(trees, "tree").groupBy("tree")).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
