@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -63,7 +65,7 @@ def schedule(targets: DataFrame) -> DataFrame:
     slots = slots.select("slot", point.alias("u"), F.floor(point / F.col("total") * CELLS).alias("cell"))
     last = F.lit(CELLS - 1)
     spans = targets.where("target > 0").select("k", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") / F.col("total") * CELLS), last), F.least(F.floor(F.col("hi") / F.col("total") * CELLS), last))).alias("cell"))
-    picked = slots.join(spans, "cell").where("u >= lo and u < hi").select("slot", "k")
+    picked = slots.join(spans.hint("merge"), "cell").where("u >= lo and u < hi").select("slot", "k")
     return picked.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("slot")) - 1)
 
 
@@ -75,8 +77,8 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Null and blank texts have size 0 and take nothing; a null source is a source of its own, the last; repeated rows count
     each; without any word all targets are 0; other columns are ignored; an empty table gives empty results.
     """
-    sizes = sized(docs)
-    targets = source_targets(sizes)
+    sizes = written(sized(docs))  # the texts are read once
+    targets = written(source_targets(sizes))
     parts = sizes.withColumn("part", F.shiftright("h", 48))
     offsets = parts.groupBy("k", "part").agg(F.sum("size").alias("words"))
     offsets = offsets.select("k", "part", (F.sum("words").over(W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("before"))
@@ -86,7 +88,7 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rounds = F.array(*(F.col("start") + i * F.col("source_size") for i in range(MOST)))
     here = F.filter(rounds, lambda p: (F.col("size") > 0) & (p < F.col("target")))
     blocks = placed.withColumn("at", F.explode_outer(here)).withColumn("rank", F.explode_outer(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.least(F.col("at") + F.col("size"), F.ceil("target")) - 1) / F.col("block")))))
-    pieces = blocks.join(schedule(targets), ["k", "rank"], "left")
+    pieces = blocks.join(schedule(targets).hint("merge"), ["k", "rank"], "left")
     first = F.greatest(F.col("at"), F.col("rank") * F.col("block"))
     end = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * F.col("block"), F.floor("target"))
     taken = F.when(F.col("slot").isNotNull(), F.greatest(end - first, F.lit(0)))
@@ -95,12 +97,10 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of the document, repeats counted)."""
-    _, pieces = mixed(docs)
+    placed, pieces = mixed(docs)
     out = pieces.groupBy("doc_id", "k", "start", "size", "source_size", "target").agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("taken"))
-    # repeated rows without words share all keys
-    return out.where("size > 0").select("doc_id", "size", "source_size", "target", "taken").union(
-        sized(docs).where("size = 0").join(source_targets(sized(docs)).select("k", "source_size", "target"), "k").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long"))
-    )
+    # rows without words take nothing, and repeated ones share all keys
+    return out.where("size > 0").select("doc_id", "size", "source_size", "target", "taken").union(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long")))
 
 
 MIX_SQL = r"""
