@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, Words, mix
+from .shared import written
 from .url_filter import host_and_path
 
 RUN = 8
@@ -181,6 +182,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     id_type = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", host_and_path(F.col("url"))[0].alias("host"), "html").mapInArrow(parse, f"page_id {id_type}, url string, host string, blocks array<string>, open boolean")
+    rows = written(rows)  # both kinds of pages are read from it
     marked = rows.where("not open").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
     opened = rows.where("open")
     if opened.isEmpty():
