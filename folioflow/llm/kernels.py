@@ -54,7 +54,7 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Batches of at most limit bytes of text (column 'text') and so many rows; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
