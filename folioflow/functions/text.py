@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The 81 characters that labels may hold.
-ALPHABET = " ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'-\"/,.+_!#&():;?*"
+ALPHABET = "` ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'-\"/,.+_!#&():;?*"
 
 
 def normalised(text: Column) -> Column:
@@ -30,9 +30,9 @@ def is_number(text: Column) -> Column:
 
 
 def is_initialism(text: Column) -> Column:
-    """FLT-7: two to four characters once dots are off, all or all but one (two at least) capitals."""
-    bare = F.replace(text, F.lit("."), F.lit(""))
-    return (F.length(bare) > 1) & (F.length(bare) <= 4) & (F.regexp_count(bare, F.lit("[A-Z]")) >= F.greatest(F.lit(2), F.length(bare) - 1))
+    """FLT-7: two to four characters once outer dots are off, all or all but one (two at least) capitals."""
+    bare = F.regexp_replace(text, r"\A\.+|\.+\z", "")
+    return (F.length(bare) > 1) & (F.length(bare) <= 4) & (F.regexp_count(bare, F.lit(r"\p{Lu}")) >= F.greatest(F.lit(2), F.length(bare) - 1))
 
 
 def offending(text: Column, alphabet: str = ALPHABET) -> Column:
@@ -69,15 +69,24 @@ def inflected(stems: DataFrame, vocab: DataFrame) -> DataFrame:
     return stems.select("word").distinct().join(known.withColumn("known", F.lit(True)), "word", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def edit1(stems: DataFrame, vocab: DataFrame) -> DataFrame:
-    """JON-12: (word, candidate) one edit apart (delete, insert, replace, adjacent swap), by the deletion neighbourhood:
-    words an edit apart share a form with one letter or none deleted, which is an equi-join; then the distance is verified."""
+def near_by_deletion(words: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
+    """Distinct (word, candidate), unequal, that share a form with up to k letters deleted of each: all pairs within k edits
+    (swaps of neighbours included for k = 1) and some beyond, by an equi-join on forms."""
 
-    def near(df: DataFrame, name: str) -> DataFrame:
-        cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1)))
-        return df.withColumn("form", F.explode(F.array_distinct(F.concat(F.array("word"), cuts)))).withColumnRenamed("word", name)
+    def cuts(form: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(form), F.lit(1))), lambda i: F.concat(F.substr(form, F.lit(1), i - 1), F.substr(form, i + 1)))
 
-    pairs = near(stems.select("word").distinct(), "word").join(near(vocab, "candidate"), "form").where("word <> candidate").select("word", "candidate").distinct()
+    def formed(df: DataFrame, name: str) -> DataFrame:
+        df = df.select("word").distinct().withColumn("forms", F.array("word"))
+        for _ in range(k):
+            df = df.withColumn("forms", F.array_distinct(F.concat("forms", F.flatten(F.transform("forms", cuts)))))
+        return df.select(F.col("word").alias(name), F.explode("forms").alias("form"))
+
+    return formed(words, "word").join(formed(vocab, "candidate"), "form").where("word <> candidate").select("word", "candidate").distinct()
+
+
+def one_edit(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """JON-12: (word, candidate) one edit apart: delete, insert, replace, swap of neighbours."""
     a, b, n = F.col("word"), F.col("candidate"), F.length("word")
     swapped = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1, F.lit(1)), F.substr("word", i, F.lit(1)), F.substr("word", i + 2)) == b)
-    return pairs.where((F.levenshtein(a, b) == 1) | ((n == F.length(b)) & (n > 1) & swapped))
+    return near_by_deletion(words, vocab, 1).where((F.levenshtein(a, b) == 1) | ((n == F.length(b)) & (n > 1) & swapped))

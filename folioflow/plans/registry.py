@@ -170,7 +170,11 @@ def txt8_stems(spark, d):
     return _tok(spark, d).groupBy(T.stem(F.col("tok")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TOK_SQL} SELECT CASE WHEN regexp_full_match(tok, '[0-9]+([./-][0-9]+)*') THEN 'number' WHEN len(replace(tok, '.', '')) BETWEEN 2 AND 4 AND len(regexp_extract_all(tok, '[A-Z]')) >= greatest(2, len(replace(tok, '.', '')) - 1) THEN 'initialism' ELSE 'other' END AS kind, count(*) AS n FROM tok GROUP BY 1")
+_INITIALS = r"(len(regexp_replace({0}, '^\.+|\.+$', '', 'g')) BETWEEN 2 AND 4 AND len(regexp_extract_all({0}, '\p{{Lu}}')) >= greatest(2, len(regexp_replace({0}, '^\.+|\.+$', '', 'g')) - 1))"
+_NUMBER = "regexp_full_match({0}, '[0-9]+([./-][0-9]+)*')"
+
+
+@query(f"WITH {TOK_SQL} SELECT CASE WHEN regexp_full_match(tok, '[0-9]+([./-][0-9]+)*') THEN 'number' WHEN {_INITIALS.format('tok')} THEN 'initialism' ELSE 'other' END AS kind, count(*) AS n FROM tok GROUP BY 1")
 def flt6_flt7_token_kinds(spark, d):
     kind = F.when(T.is_number(F.col("tok")), "number").when(T.is_initialism(F.col("tok")), "initialism").otherwise("other")
     return _tok(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
@@ -215,16 +219,19 @@ def _stems(spark: SparkSession, d: str) -> DataFrame:
     return _tok(spark, d).select(T.stem(F.col("tok")).alias("word")).where("word rlike '^[a-z]{3,24}$'").distinct()
 
 
-@query(_STEMS + """, f AS (SELECT word, unnest([word, CASE WHEN word LIKE '%ies' AND len(word) > 5 THEN left(word, -3) || 'y' END, CASE WHEN word LIKE '%es' AND len(word) > 4 THEN left(word, -2) END, CASE WHEN word LIKE '%s' AND len(word) > 3 THEN left(word, -1) END] ||
- flatten(list_transform(list_filter(['ed', 'ing', 'ly', 'er', 'est'], lambda e: suffix(word, e) AND len(word) - len(e) >= 3), lambda e: [left(word, -len(e)), left(word, -len(e)) || 'e', CASE WHEN word[-len(e) - 1] = 'i' THEN left(word, -len(e) - 1) || 'y' END, CASE WHEN word[-len(e) - 1] = word[-len(e) - 2] THEN left(word, -len(e) - 1) END]))) AS form FROM stems)
-SELECT word, bool_or(coalesce(form IN (SELECT word FROM vocab), false)) AS known FROM f GROUP BY word""")
+#: The forms to look up for each word of a relation {0}.
+_FORMS = """f AS (SELECT word, unnest([word, CASE WHEN word LIKE '%ies' AND len(word) > 5 THEN left(word, -3) || 'y' END, CASE WHEN word LIKE '%es' AND len(word) > 4 THEN left(word, -2) END, CASE WHEN word LIKE '%s' AND len(word) > 3 THEN left(word, -1) END] ||
+ flatten(list_transform(list_filter(['ed', 'ing', 'ly', 'er', 'est'], lambda e: suffix(word, e) AND len(word) - len(e) >= 3), lambda e: [left(word, -len(e)), left(word, -len(e)) || 'e', CASE WHEN word[-len(e) - 1] = 'i' THEN left(word, -len(e) - 1) || 'y' END, CASE WHEN word[-len(e) - 1] = word[-len(e) - 2] THEN left(word, -len(e) - 1) END]))) AS form FROM {0})"""
+
+
+@query(_STEMS + ", " + _FORMS.format("stems") + " SELECT word, bool_or(coalesce(form IN (SELECT word FROM vocab), false)) AS known FROM f GROUP BY word")
 def txt9_inflection_known(spark, d):
     return T.inflected(_stems(spark, d), T.vocabulary(read(spark, d, "benchmark")))
 
 
 @query(_STEMS + " SELECT s.word, v.word AS candidate FROM stems s JOIN vocab v ON abs(len(s.word) - len(v.word)) <= 1 AND damerau_levenshtein(s.word, v.word) = 1")
 def jon12_edit1(spark, d):
-    return T.edit1(_stems(spark, d), T.vocabulary(read(spark, d, "benchmark")))
+    return T.one_edit(_stems(spark, d), T.vocabulary(read(spark, d, "benchmark")))
 
 
 # ---- labels and data sets
@@ -405,3 +412,6 @@ def ext_stream_tumbling(spark, d):
     from ..streaming.tumbling import daily_counts
 
     return daily_counts(spark, d)
+
+
+from . import sequence_queries, verdict_queries  # noqa: E402, F401
