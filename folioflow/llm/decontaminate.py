@@ -8,6 +8,9 @@ question (all but the last sentence of the item) and answer (the last sentence;
 
 The index goes to the executors in shards of at most SHARD_CHARS of item text, one scan of the corpus each, so that what
 is broadcast stays bounded however large the benchmark is.
+
+Words are compared without punctuation at their ends. One changed word takes up to SHINGLE shingles, more than a short half
+can miss, so a half of fewer than HALF_WORDS words is also held if that many words at its end of the item are.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, slices
+from .kernels import PUNCT, Words, slices
 
 #: Words of a passage, at least; passages are twice as long as the longest item and half overlap, so that one of them holds all of it.
 WINDOW = 128
@@ -29,24 +32,53 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.75
 MIN_OVERLAP = 0.8
 SHINGLE = 5
+#: The fewest words at which one changed word leaves MIN_OVERLAP of the shingles.
+HALF_WORDS = 29
 #: A term of more than this share of the items is common.
 COMMON = 0.02
 SHARD_CHARS = 32_000_000
 
 
+def bare_words(text: pa.Array) -> Words:
+    """Words without the punctuation at their ends; a word of nothing else stays as it is."""
+    words = Words(text)
+    data = words.data
+    end = PUNCT[data]
+    # General Punctuation (E2 80 xx), inverted marks, guillemets and the middle dot (C2 xx), ideographic marks (E3 80 81-91)
+    wide = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) | (data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] >= 0x81) & (data[2:] <= 0x91))
+    for j in range(3):
+        end[wide + j] = True
+    pair = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], [0xA1, 0xAB, 0xB7, 0xBB, 0xBF]))
+    end[pair] = end[pair + 1] = True
+    inner = np.flatnonzero(~end)
+    low, high = np.searchsorted(inner, words.start), np.searchsorted(inner, words.end)
+    some = high > low
+    words.start[some], words.end[some] = inner[low[some]], inner[high[some] - 1] + 1
+    words.hash = words.hashed(words.start, words.end)
+    return words
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """All but the last sentence, and the last; a single sentence is both."""
     cut = [m.end() for m in re.finditer(r"[.?!]+[\x20\x09-\x0D]+", text.strip())]
     return (text.strip()[: cut[-1]], text.strip()[cut[-1] :]) if cut else (text, text)
 
 
+def lengthened(text: str) -> tuple[str, str]:
+    """Question and answer, each of HALF_WORDS words at least if the item has them: the first of it, and the last."""
+    halves = question_and_answer(text)
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    whole = text[: spans[: HALF_WORDS][-1][1]], text[spans[-HALF_WORDS:][0][0] :]
+    return tuple(max(h, w, key=lambda x: len(x.strip())) for h, w in zip(halves, whole))
+
+
 class Index:
     """Postings of a shard of items, by term: items (ascending), impacts, and block maxima."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         items = sorted((i, t) for i, t in items if t and t.strip())
         self.ids = [i for i, _ in items]
-        words = Words(pa.array([t for _, t in items], pa.string()))
+        words = bare_words(pa.array([t for _, t in items], pa.string()))
         length = words.count.astype(float)
         self.window = max(WINDOW, 2 * int(words.count.max(initial=0)))
         mean = length.mean() if len(items) else 1.0
@@ -67,10 +99,11 @@ class Index:
         self.item_common = np.bincount(item, impact * ~self.rare[term], max(1, len(items)))
         self.common = float(self.item_common.max())
         self.cut, self.post_item, self.post_impact = cut, item, impact
-        pairs = [question_and_answer(t) for _, t in items]
+        # question, answer, and both lengthened
+        pairs = [question_and_answer(t) + lengthened(t) for _, t in items]
         self.parts, self.halves = [], []
-        for half in zip(*pairs) if pairs else ((), ()):
-            own = Words(pa.array(half, pa.string()))
+        for half in zip(*pairs) if pairs else ((),) * 4:
+            own = bare_words(pa.array(half, pa.string()))
             self.halves.append(np.split(own.hash, np.cumsum(own.count)[:-1]) if len(half) else [])
             doc, hashes = own.shingles(SHINGLE)
             order = np.argsort(doc, kind="stable")
@@ -160,7 +193,7 @@ class Index:
 
 def _matches(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question overlap, answer overlap) of a batch's verified rows."""
-    words = Words(batch.column(batch.schema.get_field_index("text")))
+    words = bare_words(batch.column(batch.schema.get_field_index("text")))
     term = index.find(words.hash)
     bound = np.concatenate([[0.0], np.cumsum(np.where((term >= 0) & index.rare[term], index.top[term], 0.0) if len(index.top) else np.zeros(len(term)))])
     needed = THRESHOLD - index.common - 1e-9  # from rare terms
@@ -193,6 +226,7 @@ def _matches(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float,
             for h, part in enumerate(index.parts):
                 if len(part[item]) == 1 and overlap[h] < 1:
                     overlap[h] = float(_holds(words, r, first, index, item, h))
+            overlap = [max(overlap[h], overlap[h + 2]) for h in range(2)]
             if min(overlap) >= MIN_OVERLAP:
                 out.append((r, index.ids[item], score, overlap[0], overlap[1]))
     return out

@@ -80,6 +80,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_last_sentences(spark):
+    question = " ".join(words(30, 11)) + ". " + " ".join(words(14, 12)) + "."
+    bench = spark.createDataFrame([(1, f"{question} Yes."), (2, " ".join(words(40, 13)) + ". One two three four five six seven eight."), (3, "Why so? " + " ".join(words(40, 14)) + "."), (4, "+ - *")], "item_id long, text string")
+    rows = [(1, f"x {question} Yes, and more", "a"), (2, f"“{question} yes”", "a"), (3, f"{question} No.", "a")]
+    rows += [(4, " ".join(words(40, 13)) + ". One two three four five six seven nine", "a"), (5, "How so? " + " ".join(words(40, 14)), "a")]
+    rows += [(9, " ".join(words(40, 13)) + ". One two three X five six seven eight.", "a"), (10, f"{question} Answer: yes", "a")]
+    rows += [(6, " ".join(words(20, 11)), "a"), (7, "x + - * y", "a"), (8, " ".join(words(40, 13)) + ". " + " ".join(words(8, 99)), "a")]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminations(docs(spark, rows), bench).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (7, 4), (9, 2), (10, 1)]
+
+
 def test_wand_equals_brute_force():
     r = random.Random(4)
     index = decontaminate.Index([(i, " ".join(words(12, i, 60))) for i in range(80)])
