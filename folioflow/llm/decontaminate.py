@@ -37,6 +37,8 @@ HALF_WORDS = 29
 #: A term of more than this share of the items is common.
 COMMON = 0.02
 SHARD_CHARS = 32_000_000
+#: From so many items on, a passage's scores are summed by the items it meets instead of for all.
+DENSE_ITEMS = 20_000
 
 
 def bare_words(text: pa.Array) -> Words:
@@ -98,6 +100,9 @@ class Index:
         self.rare = df <= max(2, COMMON * len(items))
         self.item_common = np.bincount(item, impact * ~self.rare[term], max(1, len(items)))
         self.common = float(self.item_common.max())
+        # the first item with the same text
+        first: dict[str, int] = {}
+        self.same = np.array([first.setdefault(t, i) for i, (_, t) in enumerate(items)], np.int64)
         self.cut, self.post_item, self.post_impact = cut, item, impact
         # question, answer, and both lengthened
         pairs = [question_and_answer(t) + lengthened(t) for _, t in items]
@@ -120,30 +125,50 @@ class Index:
 
     def hopeful(self, term: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
         """Whether any item may reach the threshold in the passages [start, end) of term numbers: what their rare terms
-        bring it, and the most that common terms can."""
+        bring it, and the most that common terms can. Of many items, only those with a rare term in the passage are met;
+        those that common terms alone may bring there are summed over all their terms, once for each text."""
         out = np.zeros(len(start), bool)
         n = len(self.item_common)
-        step = max(1, 2_000_000 // n) if n < 20_000 else 500
+        dense = n < DENSE_ITEMS
+        alone = np.zeros(n, bool)
+        if not dense:
+            alone[np.unique(self.same[self.item_common >= threshold - 1e-9])] = True
+        cut, item, weight = self.cut, self.post_item, self.post_impact
+        if alone.any():
+            held = alone[item]
+            own_cut, own_item, own_weight = np.concatenate([[0], np.cumsum(held)])[cut], item[held], weight[held]
+        step = max(1, 2_000_000 // n) if dense else 500
         for a in range(0, len(start), step):
             s, size = start[a : a + step], (end - start)[a : a + step]
             passage = np.repeat(np.arange(len(s)), size)
             t = term[np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)]
-            used = (t >= 0) & self.rare[t]
-            passage, t = passage[used], t[used]
-            many = self.cut[t + 1] - self.cut[t]
-            at = np.arange(many.sum()) + np.repeat(self.cut[t] - np.cumsum(many) + many, many)
-            key, impact = np.repeat(passage, many) * n + self.post_item[at], self.post_impact[at]
-            if n < 20_000:
+            passage, t = passage[t >= 0], t[t >= 0]
+            rare = self.rare[t]
+            key, impact = self._met(passage[rare], t[rare], cut, item, weight)
+            if dense:
                 total = np.bincount(key, impact, len(s) * n).reshape(len(s), n) + self.item_common
                 out[a : a + step] = (total >= threshold - 1e-9).any(1)
-            elif len(key):
-                order = np.argsort(key)
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-                key = key[order][begin]
-                good = np.add.reduceat(impact[order], begin) + self.item_common[key % n] >= threshold - 1e-9
-                out[a + key[good] // n] = True
+                continue
+            key, total = _summed(key, impact)
+            good = total + self.item_common[key % n] >= threshold - 1e-9
+            out[a + key[good] // n] = True
+            if alone.any():
+                # distinct terms of the passages left, in runs of bounded numbers of postings
+                pair = np.unique(passage[~out[a + passage]] * len(self.terms) + t[~out[a + passage]])
+                p, t = pair // len(self.terms), pair % len(self.terms)
+                run = np.cumsum(own_cut[t + 1] - own_cut[t]) // 4_000_000
+                run = run[np.searchsorted(p, p)]  # a passage stays whole
+                for r in np.unique(run):
+                    key, total = _summed(*self._met(p[run == r], t[run == r], own_cut, own_item, own_weight))
+                    out[a + key[total >= threshold - 1e-9] // n] = True
         return out
 
+    def _met(self, passage: np.ndarray, t: np.ndarray, cut: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """passage * items + item, and impact, of each posting of the terms t in their passages."""
+        many = cut[t + 1] - cut[t]
+        at = np.arange(many.sum()) + np.repeat(cut[t] - np.cumsum(many) + many, many)
+        return np.repeat(passage, many) * len(self.item_common) + item[at], weight[at]
+
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of every item that reaches the threshold, by block-max WAND."""
         lists = [(self.items[t], self.impacts[t], self.blocks[t], float(self.top[t])) for t in terms.tolist()]
@@ -191,6 +216,15 @@ class Index:
         return out
 
 
+def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    if not len(key):
+        return key, value
+    order = np.argsort(key)
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+    return key[order][begin], np.add.reduceat(value[order], begin)
+
+
 def _matches(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question overlap, answer overlap) of a batch's verified rows."""
     words = bare_words(batch.column(batch.schema.get_field_index("text")))

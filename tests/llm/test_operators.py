@@ -104,6 +104,36 @@ def test_wand_equals_brute_force():
         assert np.allclose([s for _, s in got], total[[i for i, _ in got]])
 
 
+@pytest.mark.parametrize("dense", [1, 10**9])
+def test_hopeful_passes_all_that_brute_force_finds(monkeypatch, dense):
+    monkeypatch.setattr(decontaminate, "DENSE_ITEMS", dense, raising=False)
+    twin = " ".join(words(14, 7, 10**6))
+    items = [" ".join(words(12, i, 300)) for i in range(200)] + [twin] * 8 + [" ".join(words(8, 500 + i, 4)) for i in range(60)]
+    index = decontaminate.Index(list(enumerate(items)))
+    passages = [" ".join(words(60, 900 + i, 300)) for i in range(40)] + [f"{' '.join(words(50, 950 + i, 10**5))} {items[i * 13 % len(items)]}" for i in range(60)] + [f"so {twin} it", items[-1], ""]
+    own = decontaminate.Words(decontaminate.pa.array(passages))
+    term, end = index.find(own.hash), np.cumsum(own.count)
+    got = index.hopeful(term, end - own.count, end, 0.75)
+    for w, (a, b) in enumerate(zip(end - own.count, end)):
+        total = np.zeros(len(items))
+        for t in set(term[a:b].tolist()) - {-1}:
+            total[index.items[t]] += index.impacts[t]
+        assert got[w] or not (total >= 0.75).any(), w
+    assert got[-3] and got[-2]
+
+
+def test_decontamination_of_repeated_items_by_either_branch(monkeypatch):
+    twin = " ".join(words(40, 7, 10**6)) + "."
+    bench = [(i, " ".join(words(40, 100 + i, 10**6))) for i in range(100)] + [(200 + i, twin) for i in range(6)]
+    found = {}
+    for dense in (1, 10**9):
+        monkeypatch.setattr(decontaminate, "DENSE_ITEMS", dense, raising=False)
+        index = decontaminate.Index(bench)
+        batch = decontaminate.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [f"so {twin} it", " ".join(words(400, 3))]})
+        found[dense] = sorted((r, i) for r, i, *_ in decontaminate._matches(batch, index))
+    assert found[1] == found[10**9] == [(0, 200 + i) for i in range(6)]
+
+
 @pytest.mark.parametrize("model", ["toxicity", "quality"])
 def test_classifiers(spark, model):
     rows = [(i, " ".join(words(40, i) + (["vile", "vile", "scoundrel"] if i % 4 == 0 else [])), "a") for i in range(240)] + [(900, None, "a"), (901, "", "a")]
