@@ -1,25 +1,29 @@
-"""Main text of HTML pages, by mark-up where it tells, and by a suffix array over each host's pages where it doesn't.
+"""Main text of HTML pages, by mark-up where it tells, and by a suffix array over each host's pages.
 
 Blocks inside an article (else main) element are the page's text; navigation, headers, footers, forms, scripts, notices,
 adverts, sidebars and comments never are. On pages without such an element all other blocks are open: their token streams
 are concatenated by host, suffixes are sorted (prefix doubling), and runs of RUN tokens or more that stand on PAGES
-distinct pages or more are covered as boilerplate; what is unique stays. Text inside an article is never removed for
-being repeated, as an article that two pages carry is still their text.
+distinct pages or more are covered as boilerplate; what is unique stays.
 
-A host's open pages are cut into shards, so that a host with a third of all pages isn't one task. The sorted suffixes of a
-shard give each run of RUN tokens with its number of pages; these are summed over shards, and each shard gets back which of
-its own runs count as repeated, so that shards change no result. Pages without open blocks aren't shuffled.
+Pages are distinct by their blocks: copies within a host count once. Near copies differ by less than 1 - NEARLY of a page:
+if that much of a page stands on m pages or more, these count as one page for it, so that no page loses its text to its
+copies. Pages without a host have no site to share boilerplate with and keep all their blocks.
+
+A host's pages are cut into shards by content, so that a host with a third of all pages isn't one task. The sorted suffixes
+of a shard name its repeated units; pages are counted over shards, so that shards change no result. What comes back to a
+page is which of its units stand on how many pages: texts are shuffled once, without copies of a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, Words, mix
@@ -29,6 +33,9 @@ from .url_filter import host_and_path
 RUN = 8
 PAGES = 3
 SHARD_PAGES = 1000
+#: Of a page that its near copies share.
+NEARLY = 0.8
+_WORD = re.compile("[^\x20\x09-\x0d]+")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>""", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "video", "audio", "canvas"}
@@ -119,79 +126,109 @@ def suffix_groups(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _streams(group: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenated tokens of a shard's pages, the page of each, and a hash of each run of RUN tokens (0 across pages)."""
-    words = Words(pa.array(["\n".join(r["blocks"]) for r in group], pa.string()))
+def _runs(pages: list[list[str]]) -> list[list[int]]:
+    """For each page, names of the runs of RUN tokens from each of its tokens on (0 at its end), equal ones alike."""
+    words = Words(pa.array(["\n".join(p) for p in pages], pa.string()))
     tokens, page = words.hash, words.doc
-    run = np.zeros(len(tokens), U)
+    name = np.zeros(len(tokens), U)
     if len(tokens) >= RUN:
-        acc = np.zeros(len(tokens) - RUN + 1, U)
+        n = len(tokens) - RUN + 1
+        acc = np.zeros(n, U)
         for j in range(RUN):
-            acc = mix(acc) + tokens[j : len(tokens) - RUN + 1 + j]
-        run[: len(acc)] = np.where(page[: len(acc)] == page[RUN - 1 :], mix(acc), U(0))
-    return tokens, page, run
-
-
-def _runs(table: pa.Table) -> pa.Table:
-    group = sorted(table.to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
-    tokens, page, run = _streams(group)
-    rank = suffix_groups(tokens, RUN) if len(tokens) else np.zeros(0, np.int64)
-    whole = run != 0
-    pair = np.unique(np.stack([rank[whole], page[whole]], 1), axis=0)
-    some, many = np.unique(pair[:, 0], return_counts=True)
-    first = dict(zip(rank[whole][::-1].tolist(), run[whole][::-1].tolist()))
-    names = np.array([first[x] for x in some.tolist()], U).view(np.int64)
-    return pa.table({"host": pa.array([group[0]["host"]] * len(some), pa.string()), "shard": pa.array([group[0]["shard"]] * len(some), pa.int64()), "run": pa.array(names), "pages": pa.array(many.astype(np.int64))})
-
-
-def _unique(table: pa.Table, repeated: pa.Table) -> pa.Table:
-    group = table.to_pylist()
-    _, page, run = _streams(group)
-    hit = np.isin(run.view(np.int64), repeated.column("run").to_numpy()) & (run != 0)
-    edge = np.zeros(len(run) + RUN + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(hit), 1)
-    np.add.at(edge, np.flatnonzero(hit) + RUN, -1)
-    covered = np.cumsum(edge)[: len(run)] > 0
-    out, p = [], 0
-    for row in group:
-        kept = []
-        for block in row["blocks"]:
-            words = re.findall("[^\x20\x09-\x0d]+", block)
-            mine = covered[p : p + len(words)]
-            p += len(words)
-            text = " ".join(w for w, c in zip(words, mine) if not c) if mine.any() else block
-            if text:
-                kept.append(text)
-        out.append("\n".join(kept))
-    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string())})
+            acc = mix(acc) + tokens[j : n + j]
+        first = np.unique(suffix_groups(tokens, RUN)[:n], return_index=True, return_inverse=True)[1:]
+        name[:n] = np.where(page[:n] == page[RUN - 1 :], mix(acc)[first[0]][first[1]], U(0))
+    return [x.tolist() for x in np.split(name.view(np.int64), np.cumsum(words.count)[:-1])]
+
+
+def _entries(table: pa.Table) -> pa.Table:
+    """host, content and names of units of each distinct page of a shard."""
+    group = list({r["content"]: r for r in table.to_pylist()}.values())
+    names = _runs([r["blocks"] for r in group])
+    return pa.table({"host": pa.array([r["host"] for r in group], pa.string()), "content": pa.array([r["content"] for r in group], pa.binary()), "names": pa.array(names, pa.list_(pa.int64()))})
+
+
+def _repeated(weights: list[int], pages: dict[int, int]) -> list[int]:
+    """Units that are boilerplate, from the weights of all and the numbers of pages of those on PAGES or more; other units
+    count as the page's own. Pages that share NEARLY all of it count as one."""
+    left, copies = (1 - NEARLY) * sum(weights), 1
+    for count, weight in sorted((pages.get(i, 1), w) for i, w in enumerate(weights)):
+        copies, left = count, left - weight
+        if left < 0:
+            break
+    return [i for i, count in pages.items() if count - copies + 1 >= PAGES]
+
+
+def _cut(blocks: list[str], pages: dict[int, int]) -> str:
+    words = [_WORD.findall(b) for b in blocks]
+    n = sum(map(len, words))
+    covered = {i + j for i in _repeated([1] * (n - RUN + 1), pages) for j in range(RUN)}
+    kept, p = [], 0
+    for block, mine in zip(blocks, words):
+        hit = any(i in covered for i in range(p, p + len(mine)))
+        text = " ".join(w for i, w in enumerate(mine, p) if i not in covered) if hit else block
+        p += len(mine)
+        if text:
+            kept.append(text)
+    return "\n".join(kept)
+
+
+def _host(url: Column) -> Column:
+    """The host, of an url without a scheme too."""
+    bare = F.lower(F.regexp_extract(url, r"^(?://)?((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?::[0-9]+)?(?:[/?#]|$)", 1))
+    host = host_and_path(url)[0]
+    return F.coalesce(F.when(host != "", host).otherwise(bare), F.lit(""))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by line ends) and n_chars (its code points) of every row, from the whole html.
 
-    Null and empty html gives an empty text; repeated rows give repeated rows; a null url belongs to the empty host; other
-    columns are ignored; an empty table gives an empty result.
+    Null and empty html gives an empty text; repeated rows give repeated rows; pages with a null url or none of a host keep
+    all their blocks; other columns are ignored; an empty table gives an empty result.
     """
 
+    def parsed(part: pa.RecordBatch) -> tuple[list[list[str]], list[bool], list[bytes]]:
+        found = [blocks(h) for h in part.column(part.schema.get_field_index("html")).to_pylist()]
+        return [b for b, _ in found], [o for _, o in found], [hashlib.md5("\n".join(b).encode("utf-8", "replace") + bytes([o])).digest() for b, o in found]
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = []
+                for host, shards, b, o, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *parsed(part)):
+                    if o and b and (host, c) not in seen:
+                        seen.add((host, c))
+                        rows.append((host, int.from_bytes(c[:7]) % shards, c, b))
+                if rows:
+                    kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shard", "content", "blocks"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [blocks(h) for h in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([o for _, o in found])], names=["page_id", "url", "host", "blocks", "open"])
+                b, o, c = parsed(part)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(b, pa.list_(pa.string())), pa.array(o, pa.bool_()), pa.array(c, pa.binary())], names=["page_id", "url", "host", "blocks", "open", "content"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["\n".join(r["blocks"]) if r["hits"] is None else _cut(r["blocks"], {h["pos"]: h["pages"] for h in r["hits"]}) for r in batch.select(["blocks", "open", "hits"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", host_and_path(F.col("url"))[0].alias("host"), "html").mapInArrow(parse, f"page_id {id_type}, url string, host string, blocks array<string>, open boolean")
-    rows = written(rows)  # both kinds of pages are read from it
-    marked = rows.where("not open").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    opened = rows.where("open")
-    if opened.isEmpty():
-        texts = marked
-    else:
-        counts = opened.groupBy("host").agg((F.floor(F.count("*") / SHARD_PAGES) + 1).alias("shards"))
-        opened = opened.join(counts, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards")).select("page_id", "url", "host", "shard", "blocks")
-        runs = opened.groupBy("host", "shard").applyInArrow(_runs, "host string, shard long, run long, pages long")
-        repeated = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(f"pages >= {PAGES}").select("host", "run")
-        own = runs.join(repeated, ["host", "run"]).select("host", "shard", "run")
-        texts = marked.union(opened.groupBy("host", "shard").cogroup(own.groupBy("host", "shard")).applyInArrow(_unique, f"page_id {id_type}, url string, text string"))
+    rows = pages.select("page_id", "url", _host(F.col("url")).alias("host"), "html")
+    sited = rows.where("host <> ''")
+    large = sited.groupBy("host").agg((F.floor(F.count("*") / SHARD_PAGES) + 1).alias("shards")).where("shards > 1")  # one in SHARD_PAGES rows at most
+    dealt = sited.join(F.broadcast(large), "host", "left").select("host", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "html")
+    dealt = dealt.mapInArrow(streams, "host string, shard long, content binary, blocks array<string>")
+    entries = written(dealt.groupBy("host", "shard").applyInArrow(_entries, "host string, content binary, names array<bigint>"))
+    pages_of = entries.select("host", F.explode(F.array_distinct("names")).alias("name")).where("name <> 0").groupBy("host", "name").agg(F.count("*").alias("pages"))
+    pages_of = written(pages_of.where(f"pages >= {PAGES}"))
+    units = entries.select("host", "content", F.posexplode("names").alias("pos", "name"))
+    hits = units.join(pages_of, ["host", "name"]).groupBy("host", "content").agg(F.collect_list(F.struct("pos", "pages")).alias("hits"))
+    hits = written(hits)  # joined by its size
+    texts = rows.mapInArrow(parse, f"page_id {id_type}, url string, host string, blocks array<string>, open boolean, content binary").join(hits, ["host", "content"], "left")
+    texts = texts.select("page_id", "url", "blocks", "open", "hits").mapInArrow(cut, f"page_id {id_type}, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

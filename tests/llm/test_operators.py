@@ -194,6 +194,23 @@ def test_html_boilerplate(spark):
         assert r.text == " ".join(f"p{r.page_id}w{j}" for j in range(20)) and r.n_chars == len(r.text)
 
 
+def test_html_copies_keep_their_text(spark):
+    note = "Sign up for our weekly letter and never miss a story again okay"
+
+    def text(i):
+        return " ".join(f"p{i}w{j}" for j in range(30))
+
+    rows = [(i, f"http://a.b/{i}", f"<title>{i}</title><div>{note}</div><p>{text(i)}") for i in range(4)]
+    rows += [(10 + i, f"http://a.b/c{i}", f"<title>{i}</title><div>{note}</div><p>{text(10)}") for i in range(4)]  # copies
+    rows += [(20 + i, f"http://a.b/n{i}", f"<div>{note}</div><p>{text(20)} n{i}") for i in range(3)]  # near copies
+    rows += [(30 + i, [None, "a/b", "mailto:x"][i % 3], f"<p>{text(30)}") for i in range(6)]  # no host
+    rows += [(40 + i, f"c.org/{i}", f"<div>{note}</div><p>{text(40 + i)}") for i in range(3)] + [(50, "d.org/", f"<div>{note}</div><p>{text(50)}")]
+    want = {i: text(i) for i in range(4)} | {10 + i: text(10) for i in range(4)} | {20 + i: f"{text(20)} n{i}" for i in range(3)} | {30 + i: text(30) for i in range(6)} | {40 + i: text(40 + i) for i in range(3)} | {50: f"{note}\n{text(50)}"}
+    frame = spark.createDataFrame(rows + rows[4:5], "page_id long, url string, html string")
+    got = html_text.main_texts(frame).collect()
+    assert len(got) == len(rows) + 1 and {r.page_id: r.text for r in got} == want
+
+
 def test_urls(spark):
     urls = ["http://example.org/es/1", "http://A.EXAMPLE.org/en/12?x#y", "http://example.org/en/2", "https://m.x.com/fr/a", "http://x.com/de/b", "x.com/de", None, "", "http://x.net/q"]
     got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
