@@ -3,7 +3,9 @@
 Blocks inside an article (else main) element are the page's text; navigation, headers, footers, forms, scripts, notices,
 adverts, sidebars and comments never are. On pages without such an element all other blocks are open: their token streams
 are concatenated by host, suffixes are sorted (prefix doubling), and runs of RUN tokens or more that stand on PAGES
-distinct pages or more are covered as boilerplate; what is unique stays.
+distinct pages or more are covered as boilerplate; what is unique stays. Blocks inside an article go through it too: one of
+RUN tokens or more that stands as a whole on PAGES distinct pages or more is boilerplate (a notice in a bare paragraph).
+Shorter repeats inside an article are its own words, as a quotation that other pages hold as well is still text.
 
 Pages are distinct by their blocks: copies within a host count once. Near copies differ by less than 1 - NEARLY of a page:
 if that much of a page stands on m pages or more, these count as one page for it, so that no page loses its text to its
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, Words, mix
+from .kernels import _P, U, Words, mix, powers
 from .shared import written
 from .url_filter import host_and_path
 
@@ -113,13 +115,16 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     return found["open"], True
 
 
-def suffix_groups(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first `depth` tokens (a power of two), by prefix doubling."""
+def suffix_groups(tokens: np.ndarray, depth: int, end: np.ndarray | None = None) -> np.ndarray:
+    """Rank of every suffix by its first `depth` tokens (or the next power of two), by prefix doubling; suffixes stop before
+    `end`, if given."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < depth:
         after = np.full(len(rank), -1, np.int64)
         after[:-width] = rank[width:] if width < len(rank) else after[:-width]
+        if end is not None:
+            after[np.arange(len(rank)) + width >= end] = -1
         key = rank * (len(rank) + 1) + after + 1
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         width *= 2
@@ -141,10 +146,29 @@ def _runs(pages: list[list[str]]) -> list[list[int]]:
     return [x.tolist() for x in np.split(name.view(np.int64), np.cumsum(words.count)[:-1])]
 
 
+def _whole_blocks(pages: list[list[str]]) -> list[list[int]]:
+    """For each page, names of its blocks, equal ones alike; 0 for those of fewer than RUN tokens. Suffixes end with their
+    block and are ranked to the end of the longest; those that begin a block are compared."""
+    words = Words(pa.array([b for p in pages for b in p], pa.string()))
+    size = words.count
+    first = np.cumsum(size) - size
+    rank = suffix_groups(words.hash, int(size.max()), np.cumsum(size)[words.doc])[first]
+    place = np.arange(len(words.hash)) - first[words.doc]
+    hashed = np.zeros(len(size), U)
+    np.add.at(hashed, words.doc, mix(words.hash) * powers(_P, int(size.max()))[place])
+    same, back = np.unique(rank, return_index=True, return_inverse=True)[1:]
+    name = np.where(size >= RUN, mix(hashed, 1)[same][back], U(0)).view(np.int64)
+    return [x.tolist() for x in np.split(name, np.cumsum([len(p) for p in pages])[:-1])]
+
+
 def _entries(table: pa.Table) -> pa.Table:
     """host, content and names of units of each distinct page of a shard."""
     group = list({r["content"]: r for r in table.to_pylist()}.values())
-    names = _runs([r["blocks"] for r in group])
+    names: list[list[int]] = [[]] * len(group)
+    for opened, of in ((True, _runs), (False, _whole_blocks)):
+        at = [i for i, r in enumerate(group) if r["open"] == opened]
+        for i, x in zip(at, of([group[i]["blocks"] for i in at]) if at else []):
+            names[i] = x
     return pa.table({"host": pa.array([r["host"] for r in group], pa.string()), "content": pa.array([r["content"] for r in group], pa.binary()), "names": pa.array(names, pa.list_(pa.int64()))})
 
 
@@ -159,8 +183,11 @@ def _repeated(weights: list[int], pages: dict[int, int]) -> list[int]:
     return [i for i, count in pages.items() if count - copies + 1 >= PAGES]
 
 
-def _cut(blocks: list[str], pages: dict[int, int]) -> str:
+def _cut(blocks: list[str], opened: bool, pages: dict[int, int]) -> str:
     words = [_WORD.findall(b) for b in blocks]
+    if not opened:
+        gone = _repeated([len(w) for w in words], pages)
+        return "\n".join(b for i, b in enumerate(blocks) if i not in gone)
     n = sum(map(len, words))
     covered = {i + j for i in _repeated([1] * (n - RUN + 1), pages) for j in range(RUN)}
     kept, p = [], 0
@@ -198,12 +225,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 rows = []
                 for host, shards, b, o, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *parsed(part)):
-                    if o and b and (host, c) not in seen:
+                    if b and (host, c) not in seen:
                         seen.add((host, c))
-                        rows.append((host, int.from_bytes(c[:7]) % shards, c, b))
+                        rows.append((host, int.from_bytes(c[:7]) % shards, c, o, b))
                 if rows:
-                    kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shard", "content", "blocks"])
+                    kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shard", "content", "open", "blocks"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +241,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n".join(r["blocks"]) if r["hits"] is None else _cut(r["blocks"], {h["pos"]: h["pages"] for h in r["hits"]}) for r in batch.select(["blocks", "open", "hits"]).to_pylist()]
+            texts = ["\n".join(r["blocks"]) if r["hits"] is None else _cut(r["blocks"], r["open"], {h["pos"]: h["pages"] for h in r["hits"]}) for r in batch.select(["blocks", "open", "hits"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
@@ -222,7 +249,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     sited = rows.where("host <> ''")
     large = sited.groupBy("host").agg((F.floor(F.count("*") / SHARD_PAGES) + 1).alias("shards")).where("shards > 1")  # one in SHARD_PAGES rows at most
     dealt = sited.join(F.broadcast(large), "host", "left").select("host", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "html")
-    dealt = dealt.mapInArrow(streams, "host string, shard long, content binary, blocks array<string>")
+    dealt = dealt.mapInArrow(streams, "host string, shard long, content binary, open boolean, blocks array<string>")
     entries = written(dealt.groupBy("host", "shard").applyInArrow(_entries, "host string, content binary, names array<bigint>"))
     pages_of = entries.select("host", F.explode(F.array_distinct("names")).alias("name")).where("name <> 0").groupBy("host", "name").agg(F.count("*").alias("pages"))
     pages_of = written(pages_of.where(f"pages >= {PAGES}"))

@@ -211,6 +211,29 @@ def test_html_copies_keep_their_text(spark):
     assert len(got) == len(rows) + 1 and {r.page_id: r.text for r in got} == want
 
 
+def test_html_boilerplate_inside_articles(spark):
+    note = "This site keeps small files on your device so that pages load faster"
+
+    def text(i):
+        return " ".join(f"p{i}w{j}" for j in range(40))
+
+    quote = "a quotation of eight words that all hold"
+    rows = [(i, f"http://a.b/{i}", f"<article><p>{note.upper() if i == 1 else note}</p><p>{quote} {text(i)}</p><p>Read more</p></article>") for i in range(3)]
+    rows += [(10 + i, f"http://a.b/c{i}", f"<main><p>{text(10)}</p><p>c{i}</p></main>") for i in range(3)]  # near copies
+    rows += [(20 + i, f"http://c.d/{i}", f"<article><p>{note}</p><p>{text(20 + i)}</p></article>") for i in range(2)]
+    want = {i: f"{quote} {text(i)}\nRead more" for i in range(3)} | {10 + i: f"{text(10)}\nc{i}" for i in range(3)} | {20 + i: f"{note}\n{text(20 + i)}" for i in range(2)}
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+@pytest.mark.parametrize("shard", [1, 1000])
+def test_html_shards_change_nothing(spark, monkeypatch, shard):
+    monkeypatch.setattr(html_text, "SHARD_PAGES", shard)
+    test_html_boilerplate(spark)
+    test_html_copies_keep_their_text(spark)
+    test_html_boilerplate_inside_articles(spark)
+
+
 def test_urls(spark):
     urls = ["http://example.org/es/1", "http://A.EXAMPLE.org/en/12?x#y", "http://example.org/en/2", "https://m.x.com/fr/a", "http://x.com/de/b", "x.com/de", None, "", "http://x.net/q"]
     got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
