@@ -6,7 +6,10 @@ the sources' cumulative targets map to a source; the slots of a source are ranke
 prefix of the schedule has the target weights nearly, and a source's words are taken evenly.
 
 A block holds max(16, words of the mix / 2**20) words, hence no more than about a million slots at any input size: ranking
-them is bounded work. Running word counts of a hot source are summed in 4,096 hash ranges first, so that no task gets a
+them is bounded work. What blocks can't resolve is made up by slots after the last: once blocks are longer than 16 words, and
+for any source of fewer than FEW blocks, a source gets the ranks that its scheduled slots leave out, so that it takes the
+whole words of its target. (MIX_SQL has no such slots: the two agree for mixes of up to 2**24 words without such sources.)
+Running word counts of a hot source are summed in 4,096 hash ranges first, so that no task gets a
 whole source; blocks join slots on (source, rank), which spreads any source over all tasks.
 """
 
@@ -22,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SLOTS = 1 << 20
+LEAST = 16
+FEW = 64
 CELLS = 4096
 
 
@@ -53,12 +58,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("level", level).withColumn("level", F.max("level").over(every))
     ranked = ranked.withColumn("target", F.least(MOST * F.col("source_size").cast("double"), F.col("level") * F.col("w")))
     hi = F.sum("target").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    ranked = ranked.withColumn("hi", hi).withColumn("block", F.greatest(F.lit(16), F.ceil(F.col("total") / SLOTS)).cast("long"))
+    ranked = ranked.withColumn("hi", hi).withColumn("block", F.greatest(F.lit(LEAST), F.ceil(F.col("total") / SLOTS)).cast("long"))
     return ranked.select("k", "source_size", "target", "total", "block", (F.col("hi") - F.col("target")).alias("lo"), F.when(F.col("place") == F.max("place").over(every), F.col("total") + 1).otherwise(F.col("hi")).alias("hi"))
 
 
 def schedule(targets: DataFrame) -> DataFrame:
-    """(slot, k, rank): which source each slot takes from, and how many slots of that source came before."""
+    """(slot, k, rank): which source each slot takes from, and how many slots of that source came before. Slots from
+    ceil(total / block) on are those that make up for what the schedule leaves out."""
     one = targets.agg(F.max("total").alias("total"), F.max("block").alias("block")).where("total > 0")
     slots = one.select("total", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("total") / F.col("block")) - 1).cast("long"))).alias("slot"))
     point = F.conv(F.reverse(F.lpad(F.bin("slot"), 32, "0")), 2, 10).cast("double") / float(1 << 32) * F.col("total")
@@ -66,7 +72,14 @@ def schedule(targets: DataFrame) -> DataFrame:
     last = F.lit(CELLS - 1)
     spans = targets.where("target > 0").select("k", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") / F.col("total") * CELLS), last), F.least(F.floor(F.col("hi") / F.col("total") * CELLS), last))).alias("cell"))
     picked = slots.join(spans.hint("merge"), "cell").where("u >= lo and u < hi").select("slot", "k")
-    return picked.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("slot")) - 1)
+    picked = written(picked.select("slot", "k", (F.row_number().over(W.partitionBy("k").orderBy("slot")) - 1).cast("long").alias("rank")))
+    needed = F.ceil(F.floor("target") / F.col("block"))
+    short = targets.withColumn("needed", needed).join(picked.groupBy("k").agg(F.count("*").alias("ranks")), "k", "left").withColumn("ranks", F.coalesce("ranks", F.lit(0).cast("long")))
+    short = short.where((F.col("needed") > F.col("ranks")) & ((F.col("block") > LEAST) | (F.col("needed") < FEW)))
+    upto = F.sum(F.col("needed") - F.col("ranks")).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    short = short.withColumn("from", F.ceil(F.col("total") / F.col("block")) + upto - F.col("needed"))
+    rest = short.select("from", "k", F.explode(F.sequence("ranks", F.col("needed") - 1)).alias("rank"))
+    return picked.union(rest.select((F.col("from") + F.col("rank")).cast("long"), "k", "rank"))
 
 
 def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -163,6 +163,20 @@ def test_mixing(spark):
     assert out == mixing.mixture(docs(spark, rows)).collect() or sorted(map(str, out)) == sorted(map(str, mixing.mixture(docs(spark, rows)).collect()))
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 1 << 9])
+def test_mixing_of_sources_below_a_block(spark, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    rows = [(i, " ".join(words(3 + i % 9, i)), f"s{i:04}") for i in range(2000)] + [(5000 + i, " ".join(words(60, i)), "t") for i in range(150)]
+    _, pieces = mixing.mixed(docs(spark, rows))
+    used = [(r.slot, r.k) for r in pieces.where("slot is not null").select("slot", "k").distinct().collect()]
+    assert len(used) == len({s for s, _ in used})
+    taken, target = {}, {}
+    for r in pieces.select("k", "target", "length").collect():
+        taken[r.k], target[r.k] = taken.get(r.k, 0) + (r.length or 0), r.target
+    few = [k for k in target if slots < 1 << 20 or k != "st"]
+    assert len(target) == 2001 and {k: taken[k] for k in few} == {k: int(target[k]) for k in few}
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_round_trip(wide):
     data = zipwarc.zip_bytes([("a", b"x" * 1000), ("dir/ü", b""), ("PK\x05\x06", b"PK\x05\x06")], comment=b"\n", zip64=wide)
