@@ -18,6 +18,7 @@ from folioflow.llm.toxicity import severities
 
 #: A document goes if its probability of good quality is below this.
 MIN_QUALITY = 0.3
+ROW_KEY = "near_duplicate_row"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of 5-word shingles: that with the smallest doc_id.
-
-    Only the ids to drop are joined; repeated rows of the id that stays are dropped to one by the caller's table having one.
+    """One row of each group linked by a Jaccard similarity of 0.8 of 5-word shingles: that with the smallest doc_id (null
+    last), the first of its rows. Rows are told apart by a written key, as ids may repeat or be null; texts without words
+    link with nothing and stay.
     """
-    groups = jaccard_components(docs, k=5, percent=80)
-    return docs.join(groups.where("id <> component_id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    keyed = written(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()))
+    groups = jaccard_components(keyed, id_col=ROW_KEY, k=5, percent=80).where("n_shingles > 0").withColumnRenamed("id", ROW_KEY)
+    members = written(groups.join(keyed.select(ROW_KEY, "doc_id"), ROW_KEY).select(ROW_KEY, "doc_id", "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW_KEY))[ROW_KEY]
+    kept = members.groupBy("component_id").agg(first.alias("kept"), F.count("*").alias("rows")).where("rows > 1")
+    dropped = members.join(kept, "component_id").where(F.col(ROW_KEY) != F.col("kept")).select(ROW_KEY)
+    return keyed.join(dropped, ROW_KEY, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
