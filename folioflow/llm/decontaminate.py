@@ -6,8 +6,10 @@ every text is a query. Impacts of a term come in blocks of BLOCK postings with t
 if no item can reach the threshold by what its rare terms bring and the most that common terms could; all others run the full search, whose pivots are skipped where block maxima can't reach it. What is retrieved is verified on k-word shingles of
 question (all but the last sentence of the item) and answer (the last sentence; an item of one sentence is both).
 
-The index goes to the executors in shards of at most SHARD_CHARS of item text, one scan of the corpus each, so that what
-is broadcast stays bounded however large the benchmark is.
+The index goes to the executors in shards of about SHARD_CHARS of item text, one scan of the corpus each and one shard in
+memory at a time, so that what is broadcast stays bounded however large the benchmark is. Document frequencies, the number
+of items and their mean length are those of all shards, so that shards change no result. Within a shard, items are indexed
+by classes of length, each with passages of its own length: a long item doesn't widen the passages of short ones.
 
 Words are compared without punctuation at their ends. One changed word takes up to SHINGLE shingles, more than a short half
 can miss, so a half of fewer than HALF_WORDS words is also held if that many words at its end of the item are.
@@ -16,16 +18,20 @@ can miss, so a half of fewer than HALF_WORDS words is also held if that many wor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import PUNCT, Words, slices
+from .kernels import PUNCT, Words, distinct, slices, text_slices
+from .shared import written
 
-#: Words of a passage, at least; passages are twice as long as the longest item and half overlap, so that one of them holds all of it.
+#: Words of a passage, at least; passages are twice as long as the longest item of the class and half overlap, so that one of
+#: them holds all of it.
 WINDOW = 128
 BLOCK = 16
 K1, B = 1.2, 0.75
@@ -39,6 +45,7 @@ COMMON = 0.02
 SHARD_CHARS = 32_000_000
 #: From so many items on, a passage's scores are summed by the items it meets instead of for all.
 DENSE_ITEMS = 20_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def bare_words(text: pa.Array) -> Words:
@@ -74,22 +81,39 @@ def lengthened(text: str) -> tuple[str, str]:
     return tuple(max(h, w, key=lambda x: len(x.strip())) for h, w in zip(halves, whole))
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, their mean length in words, and term hashes (ascending) with the items that have each."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        words = bare_words(pa.array(texts, pa.string()))
+        doc, term = distinct(words.doc, words.hash)
+        terms, df = np.unique(term, return_counts=True)
+        return cls(len(texts), float(words.count.mean()) if texts else 1.0, terms, df)
+
+
 class Index:
     """Postings of a shard of items, by term: items (ascending), impacts, and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None) -> None:
         items = sorted((i, t) for i, t in items if t and t.strip())
+        known = known or Statistics.of([t for _, t in items])
         self.ids = [i for i, _ in items]
         words = bare_words(pa.array([t for _, t in items], pa.string()))
         length = words.count.astype(float)
         self.window = max(WINDOW, 2 * int(words.count.max(initial=0)))
-        mean = length.mean() if len(items) else 1.0
         self.terms, at = np.unique(words.hash, return_inverse=True)
         key, tf = np.unique(at.astype(np.int64) * max(1, len(items)) + words.doc, return_counts=True)
         term, item = key // max(1, len(items)), key % max(1, len(items))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
+        df = known.df[np.searchsorted(known.terms, self.terms)] if len(self.terms) else np.zeros(0, int)
+        idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / known.mean))
         impact /= np.maximum(np.bincount(item, impact, len(items)), 1e-12)[item]
         cut = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.items = [item[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -97,9 +121,9 @@ class Index:
         self.blocks = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
         self.top = np.array([x.max() for x in self.impacts])
         # terms of many items, and the most that all of them together bring to any one item
-        self.rare = df <= max(2, COMMON * len(items))
+        self.rare = df <= max(2, COMMON * known.items)
         self.item_common = np.bincount(item, impact * ~self.rare[term], max(1, len(items)))
-        self.common = float(self.item_common.max())
+        self.common = float(self.item_common.max(initial=0.0))
         # the first item with the same text
         first: dict[str, int] = {}
         self.same = np.array([first.setdefault(t, i) for i, (_, t) in enumerate(items)], np.int64)
@@ -225,9 +249,13 @@ def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[order][begin], np.add.reduceat(value[order], begin)
 
 
-def _matches(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, float, float, float]]:
-    """(row, item, score, question overlap, answer overlap) of a batch's verified rows."""
-    words = bare_words(batch.column(batch.schema.get_field_index("text")))
+def _matches(text: pa.Array, indexes: list[Index]) -> list[tuple[int, int, float, float, float]]:
+    """(row, item, score, question overlap, answer overlap) of an array's verified rows."""
+    words = bare_words(text)
+    return [hit for index in indexes for hit in _hits(words, index)]
+
+
+def _hits(words: Words, index: Index) -> list[tuple[int, int, float, float, float]]:
     term = index.find(words.hash)
     bound = np.concatenate([[0.0], np.cumsum(np.where((term >= 0) & index.rare[term], index.top[term], 0.0) if len(index.top) else np.zeros(len(term)))])
     needed = THRESHOLD - index.common - 1e-9  # from rare terms
@@ -274,16 +302,54 @@ def _holds(words: Words, r: int, first: np.ndarray, index: Index, item: int, hal
     return any(np.array_equal(mine[a : a + len(want)], want) for a in at)
 
 
-def _shards(benchmark: DataFrame) -> list[Index]:
-    """The index in shards of bounded size; items of a shard are read by a range of running text length."""
+def _length_class(words: int) -> int:
+    """0 for items of which two fit a passage of WINDOW words, then one class for each fourfold length."""
+    return max(0, (2 * words - 1).bit_length() - WINDOW.bit_length() + 2) // 2 if 2 * words > WINDOW else 0
+
+
+def indexed(items: list[tuple[int, str]], known: Statistics | None = None) -> list[Index]:
+    """An index for each class of item lengths, all with the statistics of all items."""
+    items = [(i, t) for i, t in items if t and t.strip()]
+    known = known or Statistics.of([t for _, t in items])
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for i, t in items:
+        classes.setdefault(_length_class(len(_WORD.findall(t))), []).append((i, t))
+    return [Index(part, known) for _, part in sorted(classes.items())]
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, words) of each distinct term of each item, and of each item its words with a null term."""
+    for batch in slices(batches):
+        words = bare_words(batch.column(1))
+        shard = batch.column(0).to_numpy(zero_copy_only=False)
+        doc, term = distinct(words.doc, words.hash)
+        yield pa.RecordBatch.from_arrays([pa.array(shard[doc]), pa.array(term.view(np.int64)), pa.array(np.zeros(len(doc), np.int64))], names=["shard", "term", "words"])
+        some = words.count > 0
+        yield pa.RecordBatch.from_arrays([pa.array(shard[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(words.count[some].astype(np.int64))], names=["shard", "term", "words"])
+
+
+def _shards(benchmark: DataFrame) -> tuple[int, Iterator[list[Index]]]:
+    """The number of shards, and the indexes of one after the other; only one is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // SHARD_CHARS) + 1
-    out = []
-    for shard in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == shard) if n > 1 else items
-        out.append(Index([(r.item_id, r.text) for r in part.toLocalIterator()]))
-    return out
+    n = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS) + 1
+    if n == 1:
+        return 1, iter([indexed([(r.item_id, r.text) for r in items.toLocalIterator()])])
+    dealt = items.select(F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int").alias("shard"), "item_id", "text")
+    every = written(dealt.select("shard", "text").mapInArrow(_terms, "shard int, term long, words long"))
+    total = every.where("term is null").agg(F.count("*").alias("items"), F.avg("words").alias("mean")).first()
+    df = every.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    # the terms of a shard are bounded by its text
+    held = written(every.where("term is not null").select("shard", "term").distinct().join(df, "term"))
+
+    def shards() -> Iterator[list[Index]]:
+        for shard in range(n):
+            mine = held.where(F.col("shard") == shard).select("term", "df").toArrow()
+            term, count = mine["term"].to_numpy().view(np.uint64), mine["df"].to_numpy()
+            order = np.argsort(term)
+            known = Statistics(total.items, total.mean or 1.0, term[order], count[order])
+            yield indexed([(r.item_id, r.text) for r in dealt.where(F.col("shard") == shard).toLocalIterator()], known)
+
+    return n, shards()
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -291,37 +357,56 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     and test item that it holds: retrieved with a score of THRESHOLD of the item's own or more, and question and answer
     both overlapping by MIN_OVERLAP of their shingles or more.
 
-    Null and blank texts and items match nothing; repeated rows match each; items with equal texts are all named; rows with
-    a null id are matched too; other columns are ignored; an empty table on either side gives an empty result.
+    Null and blank texts and items match nothing; very long texts are searched whole, as passages; repeated rows match each;
+    items with equal texts are all named; rows with a null id are matched too; other columns, whatever their names, are
+    ignored; an empty table on either side gives an empty result. Shards of the benchmark change no result.
     """
     out = None
-    for index in _shards(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    n, shards = _shards(benchmark)
+    for indexes in shards:
+        held = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                if rows := _matches(batch, held.value):
-                    r, *rest = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), *(pa.array(x) for x in rest)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            for batch in batches:
+                at = 0
+                for part in text_slices(batch.column(1)):
+                    if rows := _matches(part, held.value):
+                        r, *rest = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r) if not at else pa.array([x + at for x in r])), *(pa.array(x) for x in rest)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    at += len(part)
 
         kind = docs.schema[id_col].dataType.simpleString()
         found = docs.select(id_col, "text").mapInArrow(search, f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+        if n > 1:
+            found = written(found)
+            held.destroy()
         out = found if out is None else out.union(found)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns; nothing is shuffled."""
-    out = docs
-    for index in _shards(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, *_ in _matches(batch, held.value)]] = False
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+def _holder(held: Broadcast) -> Callable[[Column], Column]:
+    """A function of a text column: whether it holds an item of these indexes."""
+
+    @F.arrow_udf("boolean")
+    def holds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            hit, at = np.zeros(len(text), bool), 0
+            for part in text_slices(text):
+                hit[[at + r for r, *_ in _matches(part, held.value)]] = True
+                at += len(part)
+            yield pa.array(hit)
+
+    return holds
 
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no test item, with all their columns; nothing is shuffled, and of a row only its text goes
+    to Python. Nulls, blanks and empty tables as for contaminations(); columns of any name are kept."""
+    n, shards = _shards(benchmark)
+    for indexes in shards:
+        held = docs.sparkSession.sparkContext.broadcast(indexes)
+        docs = docs.where(~_holder(held)(F.col("text")))
+        if n > 1:
+            docs = written(docs)
+            held.destroy()
+    return docs

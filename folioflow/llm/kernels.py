@@ -60,13 +60,23 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, rows: int =
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index("text")
-        _, off = raw(batch.column(at))
         start = 0
-        while start < batch.num_rows:
-            end = int(np.searchsorted(off, off[start] + limit, side="right")) - 1
-            end = min(max(end, start + 1), start + rows, batch.num_rows)
-            yield batch.slice(start, end - start)
-            start = end
+        for part in text_slices(batch.column(at), limit, rows):
+            yield batch.slice(start, len(part))
+            start += len(part)
+
+
+def text_slices(text: pa.Array, limit: int = 1 << 19, rows: int = 8192) -> Iterator[pa.Array]:
+    """Consecutive parts of a string array of at most limit bytes and so many rows; a longer text stands alone."""
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    _, off = raw(text)
+    start = 0
+    while start < len(text):
+        end = int(np.searchsorted(off, off[start] + limit, side="right")) - 1
+        end = min(max(end, start + 1), start + rows, len(text))
+        yield text.slice(start, end - start)
+        start = end
 
 
 class Words:

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kernels import U, Words, slices
 
 
+#: Bytes of features of a sample, at most.
+SAMPLE_BYTES = 128 << 20
+
+
+def _order(identity: object) -> int:
+    number = identity if isinstance(identity, int) else int.from_bytes(hashlib.md5(str(identity).encode()).digest()[:8])
+    return number * 0x9E3779B97F4A7C15 % (1 << 64)
+
+
 def sampled_features(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[Words], tuple[np.ndarray, np.ndarray]], bits: int, rows: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
     """(label, feature indexes, counts, words) of at most `rows` labelled documents, in an order set by a hash of the id.
 
-    labels: doc_id and the label column; null labels are left out, of several labels for one id the largest holds.
-    The sample (not above `rows` ids) is broadcast, so that the texts are read once and not shuffled.
+    labels: doc_id and the label column; null labels are left out, of several labels for one id the largest holds, and of
+    several texts with one id the one with the least features by their bytes. The sample (not above `rows` ids) is
+    broadcast, so that the texts are read once and not shuffled; features past SAMPLE_BYTES, in the order of a hash of the
+    id, are left out.
     """
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -34,12 +47,15 @@ def sampled_features(docs: DataFrame, labels: DataFrame, column: str, features:
             cut = np.searchsorted(doc[begin], np.arange(words.n_docs + 1))
             idx = feature[begin].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array([idx[cut[i] : cut[i + 1]].tobytes() for i in range(words.n_docs)], pa.binary()), pa.array([count[cut[i] : cut[i + 1]].tobytes() for i in range(words.n_docs)], pa.binary()), pa.array(words.count.astype(np.int64))],
+                [batch.column(0), batch.column(2), pa.array([idx[cut[i] : cut[i + 1]].tobytes() for i in range(words.n_docs)], pa.binary()), pa.array([count[cut[i] : cut[i + 1]].tobytes() for i in range(words.n_docs)], pa.binary()), pa.array(words.count.astype(np.int64))],
                 names=["doc_id", "label", "idx", "count", "words"],
             )
 
-    found = texts.mapInArrow(extract, "doc_id long, label int, idx binary, count binary, words long").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"], r["idx"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(extract, f"doc_id {kind}, label int, idx binary, count binary, words long")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("idx", "count", "words", "label")).alias("f"))
+    # one task for a sample of bounded rows
+    held = F.sum(F.octet_length("f.idx").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    found = found.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("doc_id", "f.*").toArrow().to_pylist()
+    found.sort(key=lambda r: (_order(r["doc_id"]), str(r["doc_id"]), r["idx"]))
     return [(r["label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["count"], np.int32), r["words"]) for r in found]
-
-

@@ -7,14 +7,15 @@ weights: a sparse dot product that needs neither sorting nor any document's vect
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, sigmoid
-from .kernels import U, Words, mix, slices
+from .kernels import U, Words, mix, text_slices
 from .labelled import sampled_features
 
 BITS = 20
@@ -65,29 +66,30 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_ro
     return np.append(model.weights(), bias).astype(np.float32)
 
 
+def scorer(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Callable[[Column], Column]:
+    """A function of a text column: the probability of label 1, double. The model goes to the executors once; of a row,
+    only its text does to Python."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, column, sample_rows))
+
+    def scored(text: pa.Array) -> np.ndarray:
+        weights, words = model.value, Words(text)
+        doc, feature = ngrams(words)
+        total = np.bincount(doc, weights[(feature >> U(64 - BITS)).astype(np.int64)], words.n_docs)
+        return sigmoid(float(weights[-1]) + SCALE * total / np.maximum(words.count, 1))
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(np.concatenate([np.zeros(0), *(scored(part) for part in text_slices(text))]))
+
+    return score
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, column: str = "quality", keep: tuple[str, ...] = ("doc_id",), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs' `keep` columns and score double, the probability of label 1 of every row's whole text.
 
-    Only text counts. Null and blank texts are scored by the bias alone; repeated rows get equal scores; without a labelled
-    row every score is 0.5; other columns are ignored; an empty table gives an empty result.
+    Only text counts. Null and blank texts are scored by the bias alone; very long texts are scored whole, alone; repeated rows
+    get equal scores; without a labelled row every score is 0.5; ids may be of any type; columns not kept are ignored, and a
+    kept one named score must be renamed first (scorer() has no such name); an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, column, sample_rows))
-    names = [c for c in keep if c != "text"]
-    schema = docs.select(*names, "text").schema
-    place = len(names)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = model.value
-        for batch in slices(batches):
-            words = Words(batch.column(place))
-            doc, feature = ngrams(words)
-            total = np.bincount(doc, weights[(feature >> U(64 - BITS)).astype(np.int64)], words.n_docs)
-            p = sigmoid(float(weights[-1]) + SCALE * total / np.maximum(words.count, 1))
-            columns = [c for i, c in enumerate(batch.columns) if i < place or "text" in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], names=[*names, *(["text"] if "text" in keep else []), "score"])
-
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "text" or "text" in keep)
-    return docs.select(*names, "text").mapInArrow(score, f"{out}, score double")
-
-
+    return docs.select(*keep, scorer(docs, labels, column, sample_rows)(F.col("text")).alias("score"))

@@ -8,14 +8,15 @@ log-odds for label 1 are high in the sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, sigmoid
-from .kernels import PUNCT, U, Words, mix, slices
+from .kernels import PUNCT, U, Words, mix, text_slices
 from .labelled import sampled_features
 
 BITS = 18
@@ -92,31 +93,40 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows
     return model.weights().astype(np.float32), t
 
 
+def grader(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Callable[[Column], Column]:
+    """A function of a text column: struct(severity double, grade int, toxic boolean). The model goes to the executors
+    once; of a row, only its text does to Python."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, column, sample_rows))
+
+    def graded(text: pa.Array) -> pa.StructArray:
+        weights, t = model.value
+        words = Words(text, PUNCT)
+        doc, index = terms(words)
+        index = (index >> U(64 - BITS)).astype(np.int64)
+        used = weights[index] != 0
+        key, count = np.unique((doc[used].astype(np.int64) << BITS) | index[used], return_counts=True)
+        s = np.bincount(key >> BITS, weights[key & ((1 << BITS) - 1)] * np.log2(1.0 + count), words.n_docs)
+        over = 1 - sigmoid(t[None, :] - s[:, None])
+        share = -np.diff(np.concatenate([np.ones((len(s), 1)), over, np.zeros((len(s), 1))], 1), axis=1)
+        return pa.StructArray.from_arrays([pa.array(over.sum(1)), pa.array(share.argmax(1).astype(np.int32)), pa.array(over[:, 0] > 0.5)], ["severity", "grade", "toxic"])
+
+    @F.arrow_udf("severity double, grade int, toxic boolean")
+    def grades(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            parts = [graded(part) for part in text_slices(text)]
+            yield pa.concat_arrays(parts) if parts else graded(text)
+
+    return grades
+
+
 def severities(docs: DataFrame, labels: DataFrame, column: str = "toxic", keep: tuple[str, ...] = ("doc_id",), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs' `keep` columns, severity double (expected grade), grade int (the likeliest) and toxic boolean (a grade
     above 0 is likelier than 0), of every row's whole text.
 
-    Null and blank texts have no feature and get the grade of the thresholds alone; repeated rows get equal results;
-    without a labelled row nothing is toxic; other columns are ignored; an empty table gives an empty result.
+    Null and blank texts have no feature and get the grade of the thresholds alone; very long texts are scored whole, alone;
+    repeated rows get equal results; without a labelled row nothing is toxic; ids may be of any type; columns not kept are
+    ignored, and kept ones named severity, grade or toxic must be renamed first (grader() has no such names); an empty table
+    gives an empty result.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, column, sample_rows))
-    names = [c for c in keep if c != "text"]
-    schema, place = docs.select(*names, "text").schema, len(names)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, t = model.value
-        for batch in slices(batches):
-            words = Words(batch.column(place), PUNCT)
-            doc, index = terms(words)
-            index = (index >> U(64 - BITS)).astype(np.int64)
-            used = weights[index] != 0
-            key, count = np.unique((doc[used].astype(np.int64) << BITS) | index[used], return_counts=True)
-            s = np.bincount(key >> BITS, weights[key & ((1 << BITS) - 1)] * np.log2(1.0 + count), words.n_docs)
-            over = 1 - sigmoid(t[None, :] - s[:, None])
-            share = -np.diff(np.concatenate([np.ones((len(s), 1)), over, np.zeros((len(s), 1))], 1), axis=1)
-            columns = [c for i, c in enumerate(batch.columns) if i < place or "text" in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(over.sum(1)), pa.array(share.argmax(1).astype(np.int32)), pa.array(over[:, 0] > 0.5)], names=[*names, *(["text"] if "text" in keep else []), "severity", "grade", "toxic"])
-
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "text" or "text" in keep)
-    return docs.select(*names, "text").mapInArrow(score, f"{out}, severity double, grade int, toxic boolean")
+    graded = docs.select(*keep, grader(docs, labels, column, sample_rows)(F.col("text")).alias("graded_text"))
+    return graded.select(*keep, "graded_text.severity", "graded_text.grade", "graded_text.toxic")

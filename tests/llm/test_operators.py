@@ -128,12 +128,66 @@ def test_decontamination_of_repeated_items_by_either_branch(monkeypatch):
     found = {}
     for dense in (1, 10**9):
         monkeypatch.setattr(decontaminate, "DENSE_ITEMS", dense, raising=False)
-        index = decontaminate.Index(bench)
-        batch = decontaminate.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [f"so {twin} it", " ".join(words(400, 3))]})
-        found[dense] = sorted((r, i) for r, i, *_ in decontaminate._matches(batch, index))
+        texts = decontaminate.pa.array([f"so {twin} it", " ".join(words(400, 3))])
+        found[dense] = sorted((r, i) for r, i, *_ in decontaminate._matches(texts, decontaminate.indexed(bench)))
     assert found[1] == found[10**9] == [(0, 200 + i) for i in range(6)]
 
 
+def test_decontamination_shards_and_lengths_change_nothing(spark, monkeypatch):
+    items = [(i, " ".join(words(12 + 9 * (i % 7), i, 300)) + ".") for i in range(60)] + [(100 + i, " ".join(words(700 + 90 * i, 70 + i, 900))) for i in range(3)] + [(200, items_text) for items_text in [None, ""]]
+    rows = []
+    for n, (_, text) in enumerate(items[:63]):
+        w = text.split()
+        held = [x for j, x in enumerate(w) if n % 3 == 0 or j % (5 if n % 3 == 1 else 17)]
+        rows.append((n, " ".join([*words(200, 400 + n, 5000), *held, *words(300, 500 + n, 5000)]), "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap) for r in decontaminate.contaminations(docs(spark, rows), bench).collect())
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 4000)
+    assert decontaminate._shards(bench)[0] > 3 and found() == whole and {d for d, *_ in whole} >= set(range(0, 63, 3))
+    kept = {r.doc_id for r in decontaminate.decontaminated(docs(spark, rows), bench).collect()}
+    assert kept == {i for i, *_ in rows} - {d for d, *_ in whole}
+
+
+def test_decontamination_equals_brute_force(spark):
+    """BM25 of every window of twice 64 words by plain loops, then shares of 5-word shingles."""
+    import math
+
+    items = [(i, " ".join(words(30 + i % 5, i, 60))) for i in range(30)]
+    rows = []
+    for n in range(60):
+        w = items[n % 30][1].split()
+        kept = [x if (j * 7 + n) % 40 else "zz" for j, x in enumerate(w)] if n % 2 else w[: 10 + n % 25]
+        rows.append((n, " ".join([*words(150, 900 + n, 60), *kept, *words(40, 950 + n, 60)]), "a"))
+    bags = [t.split() for _, t in items]
+    mean = sum(map(len, bags)) / len(bags)
+    df = {t: sum(t in b for b in bags) for b in bags for t in b}
+
+    def weight(t, bag):
+        tf = bag.count(t)
+        return math.log1p((len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+
+    def grams(w):
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    own = [sum(weight(t, b) for t in set(b)) for b in bags]
+    want = set()
+    for n, text, _ in rows:
+        w = text.split()
+        ends = [w[a : a + 128] for a in range(0, max(1, len(w) - 64), 64)]
+        for (i, _), bag, full in zip(items, bags, own):
+            best = max(sum(weight(t, bag) for t in set(bag) & set(x)) / full for x in ends)
+            share = len(grams(bag) & grams(w)) / len(grams(bag))
+            first, last = (len(grams(h) & grams(w)) / len(grams(h)) for h in (bag[:29], bag[-29:]))
+            if best >= 0.75 and max(share, first) >= 0.8 and max(share, last) >= 0.8:
+                want.add((n, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 10 < len(want) < 60
+
+
 @pytest.mark.parametrize("model", ["toxicity", "quality"])
 def test_classifiers(spark, model):
     rows = [(i, " ".join(words(40, i) + (["vile", "vile", "scoundrel"] if i % 4 == 0 else [])), "a") for i in range(240)] + [(900, None, "a"), (901, "", "a")]
