@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from folioflow.llm.decontaminate import decontaminated
 from folioflow.llm.jaccard_join import jaccard_components
 from folioflow.llm.mixing import mixture
-from folioflow.llm.quality import quality_scores
+from folioflow.llm.quality import scorer
 from folioflow.llm.shared import table, written
-from folioflow.llm.toxicity import severities
+from folioflow.llm.toxicity import grader
 
 #: A document goes if its probability of good quality is below this.
 MIN_QUALITY = 0.3
@@ -23,12 +23,13 @@ ROW_KEY = "near_duplicate_row"
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose expected grade is toxic."""
-    return severities(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("not toxic").select(*docs.columns)
+    graded = grader(docs, table(spark, sf_dir, "labels"))(F.col("text"))
+    return docs.where(~graded["toxic"])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents scored below MIN_QUALITY."""
-    return quality_scores(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    return docs.where(scorer(docs, table(spark, sf_dir, "labels"))(F.col("text")) >= MIN_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
