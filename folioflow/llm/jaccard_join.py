@@ -10,15 +10,18 @@ prefix are its own. That needs exact document frequencies, which are counted wit
    a token of a third of all texts adds no more than HOT entries a batch to its bucket.
 2. Each bucket counts its tokens and returns, to the batch, those of two sets or more.
 3. Each batch finds its active sets: those with a shared token in a prefix. Equal active sets of all batches become one.
-4. Families: components of active sets over shared prefix tokens of the first order (rarest first).
-5. A family is worked on in blocks of bounded size, sorted by set size; two blocks meet only if their sizes allow a
-   link. Pairs must share prefix tokens under all three orders; what remains is verified on exact intersections (tokens
-   that no other set has can't be in one), except inside what is linked already. Only a spanning forest of links is
-   returned, never the pairs of a group.
+4. Families: components of active sets over shared prefix tokens of the first order (rarest first), split into components
+   over those of the second order, and these by the third: linked sets share a prefix token under each.
+5. A family is worked on in blocks of bounded size by set size. Sets are linked inside blocks first, then one set of each
+   component found so, and so on while that joins anything. What is left are pairs of different components: the sets
+   outside a family's largest component meet all of its blocks that their sizes allow. So a family of very many copies of
+   one text, which becomes one component early, is not compared block by block. Pairs must share prefix tokens under
+   all three orders; what remains is verified on exact intersections (tokens that no other set has can't be in one),
+   except inside what is linked already. Only a spanning forest of links is returned, never the pairs of a group.
 6. Components of the links, joined back to every document.
 
 Tokens are 48-bit hashes of shingles (a clash would have to fall into the same pair of texts to count), sets are told
-apart by 128 bits.
+apart by 128 bits, and sizes counted on 64 bits.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ from .components import Union, connected_components
 from .kernels import U, Words, distinct, mix, slices, starts
 from .shared import n_partitions, written
 
-HOT = 256
+HOT = 255
+#: Bytes of input, as Spark estimates them, for each bucket of tokens; and the most buckets.
+BUCKET_BYTES = 12 << 20
+MOST_BUCKETS = 1 << 16
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 2_000_000
 
@@ -68,12 +74,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterat
         key = (part << 32) | number
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         doc, token = distinct(*Words(batch.column(1)).shingles(k))
-        token = token >> U(16)
-        doc, token = distinct(doc, token)
         n = np.bincount(doc, minlength=len(ids))
+        doc, token = distinct(doc, token >> U(16))
         sums = np.zeros((2, len(ids)), U)
         if len(doc):
-            at = np.flatnonzero(n)
+            at = np.flatnonzero(np.bincount(doc, minlength=len(ids)))
             begin = starts(doc, len(ids))[at]
             for i in range(2):
                 sums[i, at] = np.add.reduceat(mix(token, 11 + i), begin)
@@ -91,8 +96,8 @@ def _tokenise(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterat
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
         size = np.diff(np.append(begin, len(token)))
         hot = np.repeat(size >= HOT, size)
-        rows = [(int(key % buckets), key, 0, ids.tobytes(), n.astype(np.int64).tobytes(), signs.tobytes(), local.astype(np.int32).tobytes())]
-        rows.append((int(key % buckets), key, 3, token[hot].tobytes(), owner[hot].astype(np.uint16).tobytes(), np.full(hot.sum(), HOT, np.uint16).tobytes(), b""))
+        rows = [(int(key % buckets), key, 0, ids.tobytes(), n.astype(np.int64).tobytes(), signs.tobytes(), local.astype(np.uint16).tobytes())]
+        rows.append((int(key % buckets), key, 3, _packed(token[hot]), owner[hot].astype(np.uint16).tobytes(), np.full(hot.sum(), HOT, np.uint8).tobytes(), b""))
         for kind, t, x in ((1, token[~hot], owner[~hot].astype(np.uint16)), (2, token[begin[size >= HOT]], size[size >= HOT].astype(np.uint16))):
             to = (t % U(buckets)).astype(np.int64)
             order = np.lexsort((x, to)) if kind == 1 else np.argsort(to, kind="stable")
@@ -100,12 +105,18 @@ def _tokenise(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterat
             cut = starts(to, buckets)
             for b in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[b], cut[b + 1])
-                rows.append((int(b), key, kind, (t[s] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t[s] >> U(32)).astype(np.uint16).tobytes(), x[s].tobytes(), b""))
+                rows.append((int(b), key, kind, _packed(t[s]), x[s].tobytes(), b"", b""))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
 
-def _wide(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, np.uint32).astype(U) | (np.frombuffer(high, np.uint16).astype(U) << U(32))
+def _packed(token: np.ndarray) -> bytes:
+    """48-bit numbers, six bytes each."""
+    return (token & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (token >> U(32)).astype(np.uint16).tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.uint32, n).astype(U) | (np.frombuffer(packed, np.uint16, n, 4 * n).astype(U) << U(32))
 
 
 def _count(group: pa.Table) -> pa.Table:
@@ -114,20 +125,20 @@ def _count(group: pa.Table) -> pa.Table:
     own = [r for r in rows if r["kind"] in (1, 2)]
     out = [tuple(r.values()) for r in rows if r["kind"] in (0, 3)]
     if own:
-        tokens = [_wide(r["a"], r["b"]) for r in own]
+        tokens = [_wide(r["a"]) for r in own]
         every = np.concatenate(tokens)
-        weight = np.concatenate([np.frombuffer(r["c"], np.uint16) if r["kind"] == 2 else np.ones(len(t), np.uint16) for r, t in zip(own, tokens)])
+        weight = np.concatenate([np.frombuffer(r["b"], np.uint16) if r["kind"] == 2 else np.ones(len(t), np.uint16) for r, t in zip(own, tokens)])
         order = np.argsort(every, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
         total = np.add.reduceat(weight[order].astype(np.int64), begin)
-        count = np.empty(len(every), np.uint16)
-        count[order] = np.repeat(np.minimum(total, HOT), np.diff(np.append(begin, len(every)))).astype(np.uint16)
+        count = np.empty(len(every), np.uint8)
+        count[order] = np.repeat(np.minimum(total, HOT), np.diff(np.append(begin, len(every)))).astype(np.uint8)
         at = 0
         for r, t in zip(own, tokens):
             c = count[at : at + len(t)]
             at += len(t)
             if r["kind"] == 1 and (more := c > 1).any():
-                out.append((r["bucket"], r["batch"], 3, t[more].tobytes(), np.frombuffer(r["c"], np.uint16)[more].tobytes(), c[more].tobytes(), b""))
+                out.append((r["bucket"], r["batch"], 3, _packed(t[more]), np.frombuffer(r["b"], np.uint16)[more].tobytes(), c[more].tobytes(), b""))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SENT)] if out else [pa.array([], f.type) for f in _SENT], schema=_SENT)
 
 
@@ -135,12 +146,12 @@ def _active(group: pa.Table, percent: int) -> pa.Table:
     """The sets of one batch that share a token in their prefix, with all tokens that they share."""
     rows = group.to_pylist()
     head = next(r for r in rows if r["kind"] == 0)
-    ids, n, local = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int64), np.frombuffer(head["d"], np.int32)
+    ids, n, local = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int64), np.frombuffer(head["d"], np.uint16).astype(np.int64)
     signs = np.frombuffer(head["c"], "V16")
     shared = [r for r in rows if r["kind"] == 3]
-    token = np.concatenate([np.zeros(0, U), *(np.frombuffer(r["a"], U) for r in shared)])
+    token = np.concatenate([np.zeros(0, U), *(_wide(r["a"]) for r in shared)])
     owner = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r["b"], np.uint16) for r in shared)]).astype(np.int64)
-    count = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r["c"], np.uint16) for r in shared)])
+    count = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["c"], np.uint8) for r in shared)])
     order = np.lexsort((token, owner))
     token, owner, count = token[order], owner[order], count[order]
     classes = int(local.max()) + 1
@@ -151,7 +162,7 @@ def _active(group: pa.Table, percent: int) -> pa.Table:
     size = n[first]
     cut = starts(owner, classes)
     prefix = _prefix(size, percent) - (size - np.diff(cut))
-    out = [(signs[first[c]].tobytes(), int(node[c]), int(size[c]), token[cut[c] : cut[c + 1]].tobytes(), count[cut[c] : cut[c + 1]].tobytes(), int(prefix[c])) for c in np.flatnonzero((prefix > 0) & (np.diff(cut) > 0) & (size > 0))]
+    out = [(signs[first[c]].tobytes(), int(node[c]), int(size[c]), _packed(token[cut[c] : cut[c + 1]]), count[cut[c] : cut[c + 1]].tobytes(), int(prefix[c])) for c in np.flatnonzero((prefix > 0) & (np.diff(cut) > 0) & (size > 0))]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS)] if out else [pa.array([], f.type) for f in _SETS], schema=_SETS)
 
 
@@ -160,12 +171,16 @@ def _keys(token: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return [(mix(token, 1), count), (mix(token, 2), np.zeros(len(token), np.int64)), (mix(token, 3), np.log2(np.maximum(count, 1)).astype(np.int64))]
 
 
-def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefix_tokens(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+    """(token, node) of the prefixes under an order."""
     for batch in batches:
+        found, node = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for r in batch.to_pylist():
-            token, count = np.frombuffer(r["tokens"], U), np.frombuffer(r["counts"], np.uint16)
-            order = np.lexsort(_keys(token, count)[0])[: r["prefix"]]
-            yield pa.RecordBatch.from_arrays([pa.array(token[order].view(np.int64)), pa.array(np.full(len(order), r["node"]))], names=["token", "node"])
+            token, count = _wide(r["tokens"]), np.frombuffer(r["counts"], np.uint8)
+            order = np.lexsort(_keys(token, count)[number])[: r["prefix"]]
+            found.append(token[order])
+            node.append(np.full(len(order), r["node"]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(node))], names=["token", "node"])
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,20 +190,24 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link(group: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest of the links in one block of a family, or between two."""
+    """A spanning forest of the links among the sets of a group, or, if it has two sides, between these; sets of one
+    component are linked already."""
     rows = group.to_pylist()
     rows.sort(key=lambda r: (r["n"], r["node"]))
-    cross = rows[0]["bi"] != rows[0]["bj"]
     size = np.array([r["n"] for r in rows])
-    second = np.array([r["block"] == r["bj"] for r in rows])
-    tokens = [np.frombuffer(r["tokens"], U) for r in rows]
-    every, count = np.concatenate(tokens), np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in rows])
+    second = np.array([r["side"] for r in rows])
+    tokens = [_wide(r["tokens"]) for r in rows]
+    every, count = np.concatenate(tokens), np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
     cut = starts(owner, len(rows))
     _, token_id = np.unique(every, return_inverse=True)
     allowed = np.triu(100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size), 1)
-    if cross:
+    if second.any():
         allowed &= second[:, None] != second[None, :]
+    component = np.array([r["component"] for r in rows])
+    allowed &= component[:, None] != component[None, :]
+    if not allowed.any():
+        return _LINKS.empty_table()
     limit = np.array([r["prefix"] for r in rows])
     for key in _keys(every, count):
         order = np.lexsort((*key, owner))
@@ -203,6 +222,9 @@ def _link(group: pa.Table, percent: int) -> pa.Table:
                 share[np.ix_(o[s:e], o[s:e])] = True
         allowed &= share
     union, links = Union(len(rows)), []
+    _, head, member = np.unique(component, return_index=True, return_inverse=True)
+    for i, j in enumerate(head[member].tolist()):
+        union.join(i, j)
     mark = np.zeros(token_id.max() + 1, np.int32) if len(token_id) else np.zeros(1, np.int32)
     for i in np.flatnonzero(allowed.any(axis=1)):
         root = union.find(i)
@@ -230,32 +252,89 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows count as equal texts; rows whose id is null are not documents and are left out; other columns are ignored; an
     empty table gives an empty result. percent is an integer from 1 to 100.
     """
-    spark = docs.sparkSession
-    buckets = 2 * n_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    buckets = _buckets(texts)
     sent = texts.mapInArrow(partial(_tokenise, k=k, buckets=buckets), _ddl(_SENT))
     back = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, _ddl(_SENT)))
     rows = back.where("kind = 0").select("a", "b", "c").mapInArrow(_headers, "id long, n_shingles long, class binary")
     active = back.groupBy("batch").applyInArrow(with_percent(_active, percent), _ddl(_SETS))
     sets = written(active.groupBy("class").agg(F.min("node").alias("node"), *(F.max(c).alias(c) for c in ("n", "tokens", "counts", "prefix"))))
 
-    owned = sets.select("node", "tokens", "counts", "prefix").mapInArrow(_prefix_tokens, "token long, node long")
-    least = owned.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").select("token", "low")
-    families = connected_components(owned.join(least, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-
-    inside = sets.join(families.withColumnRenamed("component", "family"), "node")
-    running = W.partitionBy("family").orderBy("n", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sized = inside.select("node", "family", "n", F.octet_length("tokens").alias("bytes"))
-    placed = written(sized.select("node", "family", "n", F.greatest(F.floor((F.count("*").over(running) - 1) / BLOCK_SETS), F.floor((F.sum("bytes").over(running) - F.col("bytes")) / (8 * BLOCK_TOKENS))).alias("block")))
-    spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    first, second = (spans.select("family", F.col("block").alias(f"b{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}")) for x in "ij")
-    meet = first.join(second, "family").where(f"bi <= bj and 100 * hii >= {percent} * loj").select("family", "bi", "bj")
-    meet = meet.select("family", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
-    work = sets.join(placed.drop("n"), "node").join(meet, ["family", "block"])
-    links = work.groupBy("family", "bi", "bj").applyInArrow(with_percent(_link, percent), _ddl(_LINKS))
-
-    joined = connected_components(links)
+    placed = _placed(sets, _families(sets))
+    joined = _components(placed, percent)
     classes = rows.groupBy("class").agg(F.min("id").alias("node"))
     classes = classes.join(joined, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     # the empty set links with nothing, not even itself
     return rows.join(classes, "class").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _buckets(texts: DataFrame) -> int:
+    """As many buckets as the input's bytes need, estimated if Spark knows the size of its files; their number changes no result."""
+    estimate = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > 1 << 50:  # unknown
+        estimate = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * n_partitions(texts.sparkSession), min(MOST_BUCKETS, estimate // BUCKET_BYTES))
+
+
+def _families(sets: DataFrame) -> DataFrame:
+    """(node, family) of sets that share prefix tokens, directly or not, under every order."""
+    families = sets.select("node", F.lit(0).cast("long").alias("family"))
+    for number in range(3):
+        owned = sets.select("tokens", "counts", "prefix", "node").mapInArrow(partial(_prefix_tokens, number=number), "token long, node long").join(families, "node")
+        least = owned.groupBy("family", "token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").select("family", "token", "low")
+        edges = owned.join(least, ["family", "token"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+        families = written(connected_components(edges).withColumnRenamed("component", "family"))
+    return families
+
+
+def _placed(sets: DataFrame, families: DataFrame) -> DataFrame:
+    """sets of families, with family, block and component (itself). Blocks are dealt by set size: running loads are summed
+    over the distinct sizes of a family, and sets of one size share its blocks by a hash."""
+    sized = sets.select("node", "n", F.octet_length("tokens").alias("bytes")).join(families, "node")
+    load = F.greatest(F.count("*") / BLOCK_SETS, F.sum("bytes") / (6.0 * BLOCK_TOKENS))
+    running = W.partitionBy("family").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    per = sized.groupBy("family", "n").agg(load.alias("load")).withColumn("upto", F.sum("load").over(running))
+    per = per.select("family", "n", F.floor(F.col("upto") - F.col("load")).alias("first"), F.greatest(F.ceil("upto") - F.floor(F.col("upto") - F.col("load")), F.lit(1)).alias("blocks"))
+    block = F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    where = sized.join(per, ["family", "n"]).select("node", "family", block.alias("block"))
+    return written(sets.select("node", "n", "tokens", "counts", "prefix", F.col("node").alias("component")).join(where, "node"))
+
+
+def _components(placed: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets that have a link."""
+    link = with_percent(_link, percent)
+    links = written(placed.withColumn("side", F.lit(0)).groupBy("family", "block").applyInArrow(link, _ddl(_LINKS)))
+    joined = written(connected_components(links))
+    spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    wide = written(spans.groupBy("family").agg(F.count("*").alias("blocks")).where("blocks > 1"))  # families of several blocks
+    if wide.isEmpty():
+        return joined
+    rest = placed.join(wide.select("family"), "family", "left_semi")
+
+    def with_components(df: DataFrame) -> DataFrame:
+        return df.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    while True:
+        # one set of each component of a family, in lots of a block's size
+        heads = with_components(rest.select("node", "family", "n", F.octet_length("tokens").alias("bytes"))).groupBy("family", "component").agg(F.min(F.struct("n", "node", "bytes")).alias("head"))
+        lots = heads.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("head.bytes") / (6.0 * BLOCK_TOKENS))).alias("lots"))
+        dealt = heads.join(lots, "family").select("family", "component", F.col("head.node").alias("node"), F.pmod(F.xxhash64("component"), F.col("lots")).alias("lot"))
+        met = rest.select("node", "n", "tokens", "counts", "prefix", F.lit(0).alias("side")).join(dealt, "node")
+        more = written(met.groupBy("family", "lot").applyInArrow(link, _ddl(_LINKS)))
+        if more.isEmpty():
+            break
+        links = written(links.union(more))
+        joined = written(connected_components(links))
+    parted = with_components(rest.select("node", "family", "n"))
+    largest = parted.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    minor = written(parted.join(largest, "family").where("component <> largest").select("node", "family"))
+    if minor.isEmpty():
+        return joined
+    few = _placed(rest.drop("family", "block", "component").join(minor.select("node"), "node", "left_semi"), minor).withColumnRenamed("block", "lot")
+    lots = few.groupBy("family", "lot").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meet = lots.join(spans, "family").where(f"100 * least(high, hi) >= {percent} * greatest(low, lo)").select("family", "lot", "block")
+    columns = ["family", "lot", "block", "node", "n", "tokens", "counts", "prefix", "component"]
+    every = with_components(rest).join(meet, ["family", "block"]).select(*columns, F.lit(0).alias("side"))
+    others = with_components(few).join(meet, ["family", "lot"]).select(*columns, F.lit(1).alias("side"))
+    last = every.union(others).groupBy("family", "lot", "block").applyInArrow(link, _ddl(_LINKS))
+    return connected_components(links.union(written(last)))
