@@ -1,19 +1,21 @@
-"""Main text of HTML pages, by mark-up where it tells, and by a suffix array over each host's pages.
+"""Main text of HTML pages: mark-up cuts pages into blocks, and a suffix array over each host's pages finds boilerplate.
 
-Blocks inside an article (else main) element are the page's text; navigation, headers, footers, forms, scripts, notices,
-adverts, sidebars and comments never are. On pages without such an element all other blocks are open: their token streams
-are concatenated by host, suffixes are sorted (prefix doubling), and runs of RUN tokens or more that stand on PAGES
-distinct pages or more are covered as boilerplate; what is unique stays. Blocks inside an article go through it too: one of
-RUN tokens or more that stands as a whole on PAGES distinct pages or more is boilerplate (a notice in a bare paragraph).
-Shorter repeats inside an article are its own words, as a quotation that other pages hold as well is still text.
+Blocks inside an article or main element are the page's text; navigation, headers, footers, forms, scripts, notices,
+adverts, sidebars and comments never are. On pages without such an element all other blocks are open. The token streams
+of all pages of a host are concatenated (a block's end counts as a token), their suffixes are sorted by prefix doubling
+and the lengths of common prefixes taken between neighbours. A substring of RUN tokens or more on PAGES distinct pages or
+more is boilerplate: on open pages all tokens that such substrings cover go, what is unique stays. Inside an article, a
+block goes if it is such a substring as a whole (a notice in a bare paragraph); shorter repeats inside an article are its
+own words, as a quotation that other pages hold as well is still text.
 
 Pages are distinct by their blocks: copies within a host count once. Near copies differ by less than 1 - NEARLY of a page:
 if that much of a page stands on m pages or more, these count as one page for it, so that no page loses its text to its
 copies. Pages without a host have no site to share boilerplate with and keep all their blocks.
 
-A host's pages are cut into shards by content, so that a host with a third of all pages isn't one task. The sorted suffixes
-of a shard name its repeated units; pages are counted over shards, so that shards change no result. What comes back to a
-page is which of its units stand on how many pages: texts are shuffled once, without copies of a task.
+A host's pages are cut into shards of about SHARD_BYTES of html by their content, so that a host with a third of all pages
+isn't one task. A host of one shard is judged by its suffix array alone; for the shards of a larger one, the units of its
+pages (blocks, or runs of RUN tokens) are counted over all shards first, so that shards change no result. Texts are
+shuffled twice, once by shard and once to the rows that have them, without copies of a task.
 """
 
 from __future__ import annotations
@@ -28,58 +30,112 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import _P, U, Words, mix, powers
+from .kernels import _P, U, Words, distinct, mix, powers, text_slices
 from .shared import written
 from .url_filter import host_and_path
 
 RUN = 8
 PAGES = 3
-SHARD_PAGES = 1000
+SHARD_BYTES = 8 << 20
 #: Of a page that its near copies share.
 NEARLY = 0.8
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>""", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "video", "audio", "canvas"}
 _CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements of text: a compound name such as related-work or share-prices says what it is about, not what it is for.
+_TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote", "figcaption", "caption", "article", "main"}
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Words of class, id and role that name what isn't main text.
 _UNWANTED = set("ad ads advert adverts advertisement sponsor sponsored promo nav navbar navigation menu sidebar header masthead footer breadcrumb breadcrumbs cookie cookies consent gdpr notice notices banner popup modal newsletter subscribe signup related share sharing social comment comments disqus respond replies widget pagination contentinfo complementary search".split())
-
-
-def _unwanted(attributes: str) -> bool:
-    return any(word in _UNWANTED for found in _NAMES.findall(attributes) for word in re.split(r"[^a-z0-9]+", "".join(found).lower()))
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]")
+_STOP = re.compile(r">|=\s*([\"'])")
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def _unwanted(name: str, attributes: str) -> bool:
+    """Whether class, id or role name the element as something other than text: as a whole, or, for classes of elements that
+    hold others, by a part of the name (sidebar-left, but not has-sidebar)."""
+    for kind, *value in _NAMES.findall(attributes):
+        for token in "".join(value).lower().split():
+            if token in _UNWANTED or re.sub("[^a-z0-9]", "", token) in _UNWANTED:
+                return True
+            if kind.lower() == "class" and name not in _TEXTUAL:
+                parts = re.split("[^a-z0-9]+", token)
+                if parts[0] not in ("has", "with", "no", "without", "is") and any(p in _UNWANTED for p in parts):
+                    return True
+    return False
+
+
+class Tags:
+    """The tags of a page one by one, in time linear in its length: (start, end, closing, name, attributes), name empty for
+    comments and declarations. What looks like a tag but never ends is text."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.low = page, page.translate(_LOWER)
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while m := _TAG.search(page, at):
+            start, at = m.span()
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if at > self.last[">"]:
+                return None
+            if m[2] is None:
+                return start, page.find(">", at) + 1, False, "", ""
+            inside = at
+            while s := _STOP.search(page, inside):
+                inside = s.end()
+                if s[0] == ">":
+                    return start, inside, bool(m[1]), m[2].lower(), page[at : inside - 1]
+                if inside <= self.last[s[1]]:
+                    inside = page.find(s[1], inside) + 1
+            # a quoted value held the last '>': nothing after it ends either
+            return None
+        return None
+
+    def after(self, name: str, at: int) -> int:
+        """The end of the closing tag of a raw text element, or of the page."""
+        while (at := self.low.find(f"</{name}", at)) >= 0:
+            at += len(name) + 2
+            if self.low[at : at + 1] in (">", "/", "", *" \t\n\r\f"):
+                end = self.low.find(">", at)
+                return len(self.page) if end < 0 else end + 1
+        return len(self.page)
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
-    """The blocks of a page in order, white space collapsed and references decoded, and whether they are open (judged by
-    repetition) instead of marked as the article."""
+    """The blocks of a page in order, white space collapsed and references decoded, and whether they are open (no article
+    or main element holds text) instead of marked as the article."""
     page = page or ""
-    found: dict[str, list[str]] = {"article": [], "main": [], "open": []}
+    marked: list[str] = []
+    opened: list[str] = []
     held: list[str] = []
     depth = {"article": 0, "main": 0}
     skip, nested, at = "", 0, 0
+    tags = Tags(page)
 
     def flush() -> None:
         text = re.sub(r"\s+", " ", "".join(held)).strip()
         held.clear()
         if text:
-            found["article" if depth["article"] else "main" if depth["main"] else "open"].append(text)
+            (marked if depth["article"] or depth["main"] else opened).append(text)
 
     n = 0
-    while m := _TOKEN.search(page, n):
-        if not skip and m.start() > at:
-            held.append(html.unescape(page[at : m.start()]))
-        at = n = m.end()
-        name = (m[2] or "").lower()
+    while tag := tags.next(n):
+        start, end, closing, name, attributes = tag
+        if not skip and start > at:
+            held.append(html.unescape(page[at:start]))
+        at = n = end
         if not name:
             continue
-        closing = bool(m[1])
-        if not closing and name in _RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, n)
-            at = n = end.end() if end else len(page)
+        if not closing and name in _RAW and not attributes.endswith("/"):
+            at = n = tags.after(name, n)
             continue
         if skip:
             if name == skip:
@@ -93,7 +149,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         if name in _INLINE:
             if name == "br":
                 held.append(" ")
-            if not closing and name not in _VOID and _unwanted(m[3]):
+            if not closing and name not in _VOID and _unwanted(name, attributes):
                 skip, nested = name, 1
             continue
         flush()
@@ -101,75 +157,149 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             if closing:
                 depth[name] = max(0, depth[name] - 1)
                 continue
-            if not (depth["article"] and _unwanted(m[3])):
+            if not _unwanted(name, attributes):
                 depth[name] += 1
                 continue
-        if not closing and name not in _VOID and name not in ("html", "body", "head") and (name in _CHROME and not (name == "header" and depth["article"]) or _unwanted(m[3])):
+        if not closing and name not in _VOID and name not in ("html", "body", "head") and (name in _CHROME and not (name == "header" and depth["article"]) or _unwanted(name, attributes)):
             skip, nested = name, 1
     if not skip and at < len(page):
         held.append(html.unescape(page[at:]))
     flush()
-    for kind in ("article", "main"):
-        if found[kind]:
-            return found[kind], False
-    return found["open"], True
-
-
-def suffix_groups(tokens: np.ndarray, depth: int, end: np.ndarray | None = None) -> np.ndarray:
-    """Rank of every suffix by its first `depth` tokens (or the next power of two), by prefix doubling; suffixes stop before
-    `end`, if given."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < depth:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-width] = rank[width:] if width < len(rank) else after[:-width]
-        if end is not None:
-            after[np.arange(len(rank)) + width >= end] = -1
-        key = rank * (len(rank) + 1) + after + 1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    return (marked, False) if marked else (opened, True)
+
+
+# ---- the suffix array
+
+
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The suffixes of tokens (their last is unique) in order, and the rank of every suffix by its first 1, 2, 4, ... tokens.
+
+    Prefix doubling; a rank is the place of the first suffix that shares the prefix, and only what isn't told apart yet is
+    sorted on."""
+    n = len(tokens)
+    sa = np.argsort(tokens, kind="stable")
+    new = np.concatenate([[True], tokens[sa[1:]] != tokens[sa[:-1]]]) if n else np.zeros(0, bool)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    levels, width = [rank], 1
+    while True:
+        alone = new & np.append(new[1:], True)
+        at = np.flatnonzero(~alone)
+        if not len(at):
+            return sa, levels
+        s = sa[at]
+        after = np.where(s + width < n, rank[np.minimum(s + width, n - 1)], -1)
+        order = np.argsort(rank[s].astype(np.int64) * (n + 1) + after, kind="stable")
+        s, after, low = s[order], after[order], rank[s][order]
+        sa[at] = s
+        first = np.concatenate([[True], (low[1:] != low[:-1]) | (after[1:] != after[:-1])])
+        new[at] = first
+        rank = rank.copy()
+        rank[s] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        levels.append(rank)
         width *= 2
-    return rank
-
-
-def _runs(pages: list[list[str]]) -> list[list[int]]:
-    """For each page, names of the runs of RUN tokens from each of its tokens on (0 at its end), equal ones alike."""
-    words = Words(pa.array(["\n".join(p) for p in pages], pa.string()))
-    tokens, page = words.hash, words.doc
-    name = np.zeros(len(tokens), U)
-    if len(tokens) >= RUN:
-        n = len(tokens) - RUN + 1
-        acc = np.zeros(n, U)
-        for j in range(RUN):
-            acc = mix(acc) + tokens[j : n + j]
-        first = np.unique(suffix_groups(tokens, RUN)[:n], return_index=True, return_inverse=True)[1:]
-        name[:n] = np.where(page[:n] == page[RUN - 1 :], mix(acc)[first[0]][first[1]], U(0))
-    return [x.tolist() for x in np.split(name.view(np.int64), np.cumsum(words.count)[:-1])]
-
-
-def _whole_blocks(pages: list[list[str]]) -> list[list[int]]:
-    """For each page, names of its blocks, equal ones alike; 0 for those of fewer than RUN tokens. Suffixes end with their
-    block and are ranked to the end of the longest; those that begin a block are compared."""
-    words = Words(pa.array([b for p in pages for b in p], pa.string()))
-    size = words.count
-    first = np.cumsum(size) - size
-    rank = suffix_groups(words.hash, int(size.max()), np.cumsum(size)[words.doc])[first]
-    place = np.arange(len(words.hash)) - first[words.doc]
-    hashed = np.zeros(len(size), U)
-    np.add.at(hashed, words.doc, mix(words.hash) * powers(_P, int(size.max()))[place])
-    same, back = np.unique(rank, return_index=True, return_inverse=True)[1:]
-    name = np.where(size >= RUN, mix(hashed, 1)[same][back], U(0)).view(np.int64)
-    return [x.tolist() for x in np.split(name, np.cumsum([len(p) for p in pages])[:-1])]
-
-
-def _entries(table: pa.Table) -> pa.Table:
-    """host, content and names of units of each distinct page of a shard."""
-    group = list({r["content"]: r for r in table.to_pylist()}.values())
-    names: list[list[int]] = [[]] * len(group)
-    for opened, of in ((True, _runs), (False, _whole_blocks)):
-        at = [i for i, r in enumerate(group) if r["open"] == opened]
-        for i, x in zip(at, of([group[i]["blocks"] for i in at]) if at else []):
-            names[i] = x
-    return pa.table({"host": pa.array([r["host"] for r in group], pa.string()), "content": pa.array([r["content"] for r in group], pa.binary()), "names": pa.array(names, pa.list_(pa.int64()))})
+
+
+def common_prefixes(sa: np.ndarray, levels: list[np.ndarray], least: int) -> np.ndarray:
+    """Of each suffix and the one before it in order, the length of their common prefix, or 0 if it is below `least`."""
+    n = len(sa)
+    out = np.zeros(n, np.int64)
+    base = least.bit_length() - 1
+    if len(levels) <= base or n < 2:
+        return out
+    at = np.flatnonzero(levels[base][sa[1:]] == levels[base][sa[:-1]]) + 1
+    a, b, long = sa[at - 1].copy(), sa[at].copy(), np.zeros(len(at), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        # suffixes that reach the end differ at the unique last token
+        same = (a < n) & (b < n)
+        same[same] = levels[k][a[same]] == levels[k][b[same]]
+        a[same] += 1 << k
+        b[same] += 1 << k
+        long[same] += 1 << k
+    out[at] = np.where(long >= least, long, 0)
+    return out
+
+
+def _pages_of(group: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each member of a group, the distinct pages of that group."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    g, _ = distinct(group, page)
+    return np.bincount(g)[group]
+
+
+class Stream:
+    """The concatenated tokens of the distinct pages of a shard: words, one token for a block's end, one for each page's."""
+
+    def __init__(self, pages: list[list[str]]) -> None:
+        words = Words(pa.array([b for p in pages for b in p], pa.string()))
+        per_page = np.array([len(p) for p in pages], np.int64)
+        page_of_block = np.repeat(np.arange(len(pages)), per_page)
+        self.block_words = words.count.astype(np.int64)
+        # a block takes its words and one place more; a page one more after its blocks
+        size = self.block_words + 1
+        self.block_at = np.cumsum(size) - size + page_of_block
+        total = int(size.sum()) + len(pages)
+        self.hash = np.zeros(total, U)
+        self.tokens = np.zeros(total, np.int64)
+        kinds, kind = np.unique(words.hash, return_inverse=True)
+        at = self.block_at[words.doc] + np.arange(len(words.hash)) - (np.cumsum(words.count) - words.count)[words.doc]
+        self.tokens[at], self.hash[at] = kind + 1, words.hash
+        self.word_at, self.block_of_word = at, words.doc
+        self.hash[self.block_at + self.block_words] = U(1)
+        self.page_of_block = page_of_block
+        self.page_end = np.bincount(page_of_block, size, len(pages)).astype(np.int64).cumsum() + np.arange(len(pages))
+        self.tokens[self.page_end] = len(kinds) + 1 + np.arange(len(pages))
+        self.page = np.repeat(np.arange(len(pages)), np.diff(np.concatenate([[-1], self.page_end])))
+        self.block_cut = np.concatenate([[0], np.cumsum(per_page)])
+
+    def names(self, opened: list[bool]) -> list[list[int]]:
+        """For each page, names of its units, equal ones alike, 0 for none: its blocks of RUN words or more, or if it is
+        open, the runs of RUN tokens from each place on."""
+        n = len(self.hash)
+        hashed = np.zeros(len(self.block_words), U)
+        np.add.at(hashed, self.block_of_word, mix(self.hash[self.word_at]) * powers(_P, int(self.block_words.max(initial=1)) + 1)[self.word_at - self.block_at[self.block_of_word]])
+        whole = np.where(self.block_words >= RUN, mix(hashed, 1) | U(1), U(0)).view(np.int64)
+        run = np.zeros(n, U)
+        if n > RUN:
+            for j in range(RUN):
+                run[: n - RUN] = mix(run[: n - RUN]) + self.hash[j : n - RUN + j]
+            run = np.where(self.page_end[self.page] - np.arange(n) >= RUN, mix(run, 2) | U(1), U(0))
+        run = run.view(np.int64)
+        begin = np.concatenate([[0], self.page_end[:-1] + 1]) if len(self.page_end) else np.zeros(0, int)
+        return [run[a:b].tolist() if o else whole[c:d].tolist() for o, a, b, c, d in zip(opened, begin, self.page_end, self.block_cut[:-1], self.block_cut[1:])]
+
+    def counts(self, opened: list[bool]) -> list[dict[int, int]]:
+        """For each page, the places of its units (blocks, or tokens of an open page) that stand on PAGES distinct pages or
+        more, with their numbers of pages, by the suffix array."""
+        sa, levels = suffix_array(self.tokens)
+        common = common_prefixes(sa, levels, RUN)
+        out: list[dict[int, int]] = [{} for _ in opened]
+        is_open = np.array(opened, bool)
+        begin = np.concatenate([[0], self.page_end[:-1] + 1])
+        # runs: neighbours that share RUN tokens
+        joint = np.flatnonzero((common > 0) | np.append(common[1:] > 0, False))
+        if len(joint):
+            group = np.cumsum(common[joint] == 0)
+            at = sa[joint]
+            some = is_open[self.page[at]]
+            pages = _pages_of(group[some], self.page[at[some]])
+            for p, count in zip(at[some][pages >= PAGES].tolist(), pages[pages >= PAGES].tolist()):
+                page = int(self.page[p])
+                out[page][p - int(begin[page])] = count
+        # whole blocks: neighbours among the suffixes of blocks that share all words and the end
+        long = np.flatnonzero((self.block_words >= RUN) & ~is_open[self.page_of_block])
+        if len(long):
+            where = levels[-1][self.block_at[long]]
+            order = np.argsort(where)
+            long, where = long[order], where[order]
+            least = np.minimum.reduceat(common, np.stack([where[:-1] + 1, where[1:] + 1], 1).reshape(-1))[::2] if len(long) > 1 else np.zeros(0, np.int64)
+            group = np.concatenate([[0], np.cumsum(least <= self.block_words[long[:-1]])])
+            pages = _pages_of(group, self.page_of_block[long])
+            for b, count in zip(long[pages >= PAGES].tolist(), pages[pages >= PAGES].tolist()):
+                page = int(self.page_of_block[b])
+                out[page][b - int(self.block_cut[page])] = count
+        return out
 
 
 def _repeated(weights: list[int], pages: dict[int, int]) -> list[int]:
@@ -184,22 +314,45 @@ def _repeated(weights: list[int], pages: dict[int, int]) -> list[int]:
 
 
 def _cut(blocks: list[str], opened: bool, pages: dict[int, int]) -> str:
+    if not pages:
+        return "\n".join(blocks)
     words = [_WORD.findall(b) for b in blocks]
     if not opened:
-        gone = _repeated([len(w) for w in words], pages)
+        gone = set(_repeated([len(w) for w in words], pages))
         return "\n".join(b for i, b in enumerate(blocks) if i not in gone)
-    n = sum(map(len, words))
+    n = sum(len(w) + 1 for w in words)
     covered = {i + j for i in _repeated([1] * (n - RUN + 1), pages) for j in range(RUN)}
     kept, p = [], 0
     for block, mine in zip(blocks, words):
         hit = any(i in covered for i in range(p, p + len(mine)))
         text = " ".join(w for i, w in enumerate(mine, p) if i not in covered) if hit else block
-        p += len(mine)
+        p += len(mine) + 1
         if text:
             kept.append(text)
     return "\n".join(kept)
 
 
+def _judge(mine: pa.Table, counted: pa.Table) -> pa.Table:
+    """host, page_key and text of every page of a shard; `counted` holds the counts over all shards of a host of several."""
+    rows = mine.to_pylist()
+    group = {r["content"]: r for r in rows}
+    order = list(group)
+    opened = [group[c]["open"] for c in order]
+    if rows[0]["shards"] == 1:
+        found = Stream([group[c]["blocks"] for c in order]).counts(opened) if any(group[c]["blocks"] for c in order) else [{}] * len(order)
+        pages = dict(zip(order, found))
+    else:
+        pages = {}
+        for r in counted.to_pylist():
+            pages.setdefault(r["content"], {})[r["pos"]] = r["pages"]
+    texts = {c: _cut(group[c]["blocks"], group[c]["open"], pages.get(c, {})) for c in order}
+    once = {r["page_key"]: texts[r["content"]] for r in rows}
+    return pa.table({"host": pa.array([rows[0]["host"]] * len(once), pa.string()), "page_key": pa.array(list(once), pa.binary()), "text": pa.array(list(once.values()), pa.string())})
+
+
+# ---- on Spark
+
+
 def _host(url: Column) -> Column:
     """The host, of an url without a scheme too."""
     bare = F.lower(F.regexp_extract(url, r"^(?://)?((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?::[0-9]+)?(?:[/?#]|$)", 1))
@@ -207,55 +360,76 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.when(host != "", host).otherwise(bare), F.lit(""))
 
 
+def _parsed(pages: pa.Array) -> Iterator[tuple[list[str], bool, bytes]]:
+    for page in pages.to_pylist():
+        found, opened = blocks(page)
+        yield found, opened, hashlib.md5("\n".join(found).encode("utf-8", "replace") + bytes([opened])).digest()
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, shards, page_key, html -> host, shards, shard, page_key, content, open, blocks; one of equal pages of a task."""
+    seen: set[tuple[str, bytes]] = set()
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.string()))
+    for batch in batches:
+        at = 0
+        for part in text_slices(batch.column(3), 4 << 20):
+            host, shards, key = (c.slice(at, len(part)).to_pylist() for c in batch.columns[:3])
+            at += len(part)
+            fresh = []
+            for i, k in enumerate(zip(host, key)):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            rows = [(host[i], shards[i], int.from_bytes(c[:7]) % shards[i], key[i], c, o, b) for i, (b, o, c) in zip(fresh, _parsed(part.take(pa.array(fresh, pa.int64()))))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shards", "shard", "page_key", "content", "open", "blocks"])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, shard, content and names of the units of each page."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            rows = [r for r in part.to_pylist() if r["blocks"]]
+            if rows:
+                names = Stream([r["blocks"] for r in rows]).names([r["open"] for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows]), pa.array([r["shard"] for r in rows], pa.int64()), pa.array([r["content"] for r in rows], pa.binary()), pa.array(names, pa.list_(pa.int64()))], names=["host", "shard", "content", "names"])
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = 0
+        for part in text_slices(batch.column(2), 4 << 20):
+            texts = ["\n".join(b) for b, *_ in _parsed(part)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            at += len(part)
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by line ends) and n_chars (its code points) of every row, from the whole html.
 
-    Null and empty html gives an empty text; repeated rows give repeated rows; pages with a null url or none of a host keep
-    all their blocks; other columns are ignored; an empty table gives an empty result.
+    Null and empty html gives an empty text; very long pages are read whole, in time linear in their length; repeated rows
+    give repeated rows; pages with a null url or none of a host keep all their blocks; other columns, whatever their names,
+    are ignored; an empty table gives an empty result.
     """
-
-    def parsed(part: pa.RecordBatch) -> tuple[list[list[str]], list[bool], list[bytes]]:
-        found = [blocks(h) for h in part.column(part.schema.get_field_index("html")).to_pylist()]
-        return [b for b, _ in found], [o for _, o in found], [hashlib.md5("\n".join(b).encode("utf-8", "replace") + bytes([o])).digest() for b, o in found]
-
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, bytes]] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for host, shards, b, o, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *parsed(part)):
-                    if b and (host, c) not in seen:
-                        seen.add((host, c))
-                        rows.append((host, int.from_bytes(c[:7]) % shards, c, o, b))
-                if rows:
-                    kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shard", "content", "open", "blocks"])
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                b, o, c = parsed(part)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(b, pa.list_(pa.string())), pa.array(o, pa.bool_()), pa.array(c, pa.binary())], names=["page_id", "url", "host", "blocks", "open", "content"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = ["\n".join(r["blocks"]) if r["hits"] is None else _cut(r["blocks"], r["open"], {h["pos"]: h["pages"] for h in r["hits"]}) for r in batch.select(["blocks", "open", "hits"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    id_type = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", _host(F.col("url")).alias("host"), "html")
+    rows = rows.withColumn("page_key", F.unhex(F.md5(F.coalesce("html", F.lit("")))))
     sited = rows.where("host <> ''")
-    large = sited.groupBy("host").agg((F.floor(F.count("*") / SHARD_PAGES) + 1).alias("shards")).where("shards > 1")  # one in SHARD_PAGES rows at most
-    dealt = sited.join(F.broadcast(large), "host", "left").select("host", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "html")
-    dealt = dealt.mapInArrow(streams, "host string, shard long, content binary, open boolean, blocks array<string>")
-    entries = written(dealt.groupBy("host", "shard").applyInArrow(_entries, "host string, content binary, names array<bigint>"))
-    pages_of = entries.select("host", F.explode(F.array_distinct("names")).alias("name")).where("name <> 0").groupBy("host", "name").agg(F.count("*").alias("pages"))
-    pages_of = written(pages_of.where(f"pages >= {PAGES}"))
-    units = entries.select("host", "content", F.posexplode("names").alias("pos", "name"))
-    hits = units.join(pages_of, ["host", "name"]).groupBy("host", "content").agg(F.collect_list(F.struct("pos", "pages")).alias("hits"))
-    hits = written(hits)  # joined by its size
-    texts = rows.mapInArrow(parse, f"page_id {id_type}, url string, host string, blocks array<string>, open boolean, content binary").join(hits, ["host", "content"], "left")
-    texts = texts.select("page_id", "url", "blocks", "open", "hits").mapInArrow(cut, f"page_id {id_type}, url string, text string")
-    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    # few hosts are of several shards; joined by the size of this table
+    large = written(sited.groupBy("host").agg((F.floor(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")) / SHARD_BYTES) + 1).cast("long").alias("shards")).where("shards > 1"))
+    one = F.coalesce("shards", F.lit(1).cast("long")).alias("shards")
+    parsed = "host string, shards long, shard long, page_key binary, content binary, open boolean, blocks array<string>"
+    dealt = sited.join(large, "host", "left").select("host", one, "page_key", "html").mapInArrow(_streams, parsed)
+
+    cut = sited.join(large, "host").select("host", "shards", "page_key", "html").mapInArrow(_streams, parsed)
+    units = cut.select("host", "shard", "content", "open", "blocks").mapInArrow(_units, "host string, shard long, content binary, names array<bigint>")
+    units = written(units.groupBy("host", "shard", "content").agg(F.first("names").alias("names")))
+    pages_of = units.select("host", F.explode(F.array_distinct("names")).alias("name")).where("name <> 0").groupBy("host", "name").agg(F.count("*").alias("pages")).where(f"pages >= {PAGES}")
+    placed = units.select("host", "shard", "content", F.posexplode("names").alias("pos", "name"))
+    counted = placed.join(pages_of, ["host", "name"]).select("host", "shard", "content", F.col("pos").cast("long").alias("pos"), "pages")
+
+    texts = dealt.groupBy("host", "shard").cogroup(counted.groupBy("host", "shard")).applyInArrow(_judge, "host string, page_key binary, text string")
+    # merged at any size, so that texts move alike
+    found = sited.select("page_id", "url", "host", "page_key").join(texts.hint("merge"), ["host", "page_key"]).select("page_id", "url", "text")
+    bare = rows.where("host = ''").select("page_id", "url", "html").mapInArrow(_plain, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return found.union(bare).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

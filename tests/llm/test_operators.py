@@ -3,13 +3,14 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
 pytest.importorskip("folioflow.llm")
 
-from folioflow.llm import decontaminate, html_text, licenses, mixing, mtree, quality, toxicity, url_filter, zipwarc  # noqa: E402
+from folioflow.llm import decontaminate, html_text, jaccard_join, licenses, mixing, mtree, quality, toxicity, url_filter, zipwarc  # noqa: E402
 from folioflow.llm.components import connected_components  # noqa: E402
 from folioflow.llm.jaccard_join import jaccard_components  # noqa: E402
 
@@ -32,14 +33,12 @@ def test_components(spark):
     assert {got[i] for i in (1, 2, 3, 8, 9)} == {1} and got[5] == got[4] == 4 and 7 not in got and {got[i] for i in range(100, 160)} == {100}
 
 
-def test_jaccard(spark):
-    base = words(80, 1)
-    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]]), "a") for i in range(0, 80, 8)]
-    rows += [(200 + i, " ".join(words(60, 50 + i)), "a") for i in range(10)] + [(300, "one two", "a"), (301, "ONE\ttwo", "b"), (302, None, None), (303, " ", "a"), (304, "", "a"), (305, "one two", "a")]
+def linked(rows, k, percent):
+    """Components by comparing all pairs."""
     sets = {}
     for i, t, _ in rows:
         w = (t or "").lower().split()
-        sets[i] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
     up = {i: i for i in sets}
 
     def find(x):
@@ -47,11 +46,41 @@ def test_jaccard(spark):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 up[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [3, 8])
+def test_jaccard_of_families_of_many_blocks(spark, monkeypatch, block):
+    """Chains of texts of growing length, copies of one text with words changed, and words that a third of all texts hold."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    r, base, rows = random.Random(2), words(60, 1, 10**6), []
+    for i in range(70):
+        w = list(base)
+        for _ in range(r.randrange(1, 6)):
+            w[r.randrange(60)] = f"y{r.randrange(6)}"
+        rows.append((i, " ".join(w), "a"))
+    chain = words(200, 3, 10**6)
+    rows += [(100 + i, " ".join(chain[: 30 + 5 * i]), "a") for i in range(30)]
+    rows += [(200 + i, " ".join([*base[:12], *words(20, 900 + i, 10**6)]), "a") for i in range(40)]
+    rows += [(300 + i, rows[i][1], "a") for i in range(20)]
+    got = {x.id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs(spark, rows).repartition(5), k=3, percent=80).collect()}
+    want = linked(rows, 3, 80)
+    assert got == want and len({c for _, c in want.values()}) > 45
+
+
+def test_jaccard(spark):
+    base = words(80, 1)
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]]), "a") for i in range(0, 80, 8)]
+    rows += [(200 + i, " ".join(words(60, 50 + i)), "a") for i in range(10)] + [(300, "one two", "a"), (301, "ONE\ttwo", "b"), (302, None, None), (303, " ", "a"), (304, "", "a"), (305, "one two", "a")]
+    rows += [(1000, " ".join(words(60_000, 8, 10**6)), "a"), (1001, " ".join(words(60_000, 8, 10**6)) + " end", "b")]
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(spark, rows), k=3, percent=90).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert got == linked(rows, 3, 90) and got[1001][1] == 1000
+    again = jaccard_components(docs(spark, rows[:9] + rows[:9] + [(None, rows[0][1], "a")]), k=3, percent=90).collect()
+    assert len(again) == 18 and {(r.id, r.component_id) for r in again} == {(i, c) for i, (_, c) in linked(rows[:9], 3, 90).items()}
     assert jaccard_components(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -255,6 +284,81 @@ def test_html():
     assert html_text.blocks(None) == ([], True)
 
 
+def test_html_marks():
+    def text(page):
+        return html_text.blocks(page)[0]
+
+    assert text('<main><p>Real story text</p><article class="comment">nice!</article></main>') == ["Real story text"]
+    assert text('<article><h2 id="share-prices">Up</h2><p class="related-work">It was</p><p class="ad">buy</p><div class="ad-slot">x</div></article>') == ["Up", "It was"]
+    assert text("<main><h1>One</h1><article><p>two</p></article><p>three</p></main><p>four</p>") == ["One", "two", "three"]
+    assert text('<div class="has-sidebar"><article><p data-id="ad">a < b &lt; c</p></article></div>') == ["a < b < c"]
+    assert text("<article><p title='5 > 4'>a</p><p title=don't>b</p><!-- x --><p>c<") == ["a", "b", "c<"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 10**6, '<a x="' * 10**6 + ">", "<script></script" * 10**5, "<!--" * 10**6, "<p class" * 10**5 + ">", "<" * 10**6, '<a ="' * 10**5 + "'>" * 10**5])
+def test_html_is_read_in_linear_time(page):
+    began = time.time()
+    html_text.blocks(page)
+    assert time.time() - began < 15
+
+
+def test_suffix_array_equals_sorting():
+    r = random.Random(8)
+    for size, kinds in ((1, 1), (40, 2), (300, 3), (500, 40)):
+        tokens = [*(r.randrange(kinds) for _ in range(size)), 99]
+        sa, levels = html_text.suffix_array(np.array(tokens))
+        assert sa.tolist() == sorted(range(len(tokens)), key=lambda i: tokens[i:])
+        common = html_text.common_prefixes(sa, levels, 4)
+        for a, b, got in zip(sa[:-1], sa[1:], common[1:]):
+            n = 0
+            while a + n < len(tokens) and b + n < len(tokens) and tokens[a + n] == tokens[b + n]:
+                n += 1
+            assert got == (n if n >= 4 else 0)
+
+
+@pytest.mark.parametrize("shard", [400, 100_000])
+def test_html_equals_brute_force(spark, monkeypatch, shard):
+    """Every run of RUN tokens of every page is looked for in all other pages of its host; whole blocks of articles too."""
+    monkeypatch.setattr(html_text, "SHARD_BYTES", shard)
+    r = random.Random(5)
+    pool = [" ".join(words(r.choice([3, 9, 14]), 700 + i, 10**6)) for i in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join([*words(5, 10 * i + j, 10**6), r.choice(pool), *words(r.randrange(6), 5000 + 10 * i + j, 10**6)]) if r.random() < 0.5 else r.choice(pool) if r.random() < 0.6 else " ".join(words(25, 9000 + 10 * i + j, 10**6)) for j in range(6)]
+        page = "".join(f"<p>{x}</p>" for x in parts)
+        rows.append((i, f"http://{'ab'[i % 2]}.org/{i}", f"<article>{page}</article>" if i % 3 == 0 else page))
+    rows += [(100 + i, f"http://a.org/x{i}", rows[2][2]) for i in range(4)]
+    got = {x.page_id: x.text for x in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    pages = {}
+    for i, url, page in rows:
+        found, opened = html_text.blocks(page)
+        tokens = [t for b in found for t in (*b.split(), "\n")]
+        units = [tuple(tokens[a : a + 8]) for a in range(len(tokens) - 7)] if opened else [tuple(b.split()) if len(b.split()) >= 8 else None for b in found]
+        pages[i] = (url.split("/")[2], tuple(found), opened, tokens, units)
+    for i, (host, found, opened, tokens, units) in pages.items():
+        others = {(p[1], p[2]): p for p in pages.values() if p[0] == host and p[2] == opened}.values()
+        sets = [set(p[4]) for p in others]
+        count = {n: c for n, u in enumerate(units) if u and (c := sum(u in s for s in sets)) >= 3}
+        gone = html_text._repeated([1] * len(units) if opened else [len(b.split()) for b in found], count)
+        if opened:
+            cover = {n + j for n in gone for j in range(8)}
+            left = " ".join("\n" if t == "\n" else t for n, t in enumerate(tokens) if t == "\n" or n not in cover)
+            want = "\n".join(x.strip() for x in left.split("\n") if x.strip())
+        else:
+            want = "\n".join(b for n, b in enumerate(found) if n not in gone)
+        assert got[i] == want, i
+    assert any(got[i] != "\n".join(pages[i][1]) for i in got)
+
+
+def test_html_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, host string, text string, shard int, page_key string"
+    rows = [(None, None, None, "h", "t", 1, "k"), (1, "http://a.b/", "", "h", "t", 1, "k"), (1, "http://a.b/", "", "h", "t", 1, "k"), (2, "http://a.b/2", "<p>" + "long " * 200_000 + "</p>", "h", "t", 1, "k")]
+    frame = spark.createDataFrame(rows, schema)
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_text.main_texts(frame).collect()))
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 999_999)]
+    assert html_text.main_texts(frame.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_text.main_texts(frame.limit(0)).count() == 0
+
+
 def test_html_boilerplate(spark):
     note = "Sign up for our weekly letter and never miss a story again okay"
     rows = [(i, f"http://a.b/{i}", f"<div>{note}</div><p>" + " ".join(f"p{i}w{j}" for j in range(20))) for i in range(4)]
@@ -294,9 +398,9 @@ def test_html_boilerplate_inside_articles(spark):
     assert {r.page_id: r.text for r in got} == want
 
 
-@pytest.mark.parametrize("shard", [1, 1000])
+@pytest.mark.parametrize("shard", [60, 100_000])
 def test_html_shards_change_nothing(spark, monkeypatch, shard):
-    monkeypatch.setattr(html_text, "SHARD_PAGES", shard)
+    monkeypatch.setattr(html_text, "SHARD_BYTES", shard)
     test_html_boilerplate(spark)
     test_html_copies_keep_their_text(spark)
     test_html_boilerplate_inside_articles(spark)
