@@ -13,9 +13,11 @@ if that much of a page stands on m pages or more, these count as one page for it
 copies. Pages without a host have no site to share boilerplate with and keep all their blocks.
 
 A host's pages are cut into shards of about SHARD_BYTES of html by their content, so that a host with a third of all pages
-isn't one task. A host of one shard is judged by its suffix array alone; for the shards of a larger one, the units of its
-pages (blocks, or runs of RUN tokens) are counted over all shards first, so that shards change no result. Texts are
-shuffled twice, once by shard and once to the rows that have them, without copies of a task.
+isn't one task. The suffix array of a shard says which units of its pages (blocks, or runs of RUN tokens) are alike and how
+many of its pages hold them; over the shards of a larger host these numbers are added by the units' names, so that shards
+change no result. Texts are shuffled by shard once, compressed and without copies of a task. What comes back is which
+pages hold which boilerplate. A bitmap of bounded size tells the pages that may hold some; only these are shuffled
+again to be cut, all others are done where they are read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ PAGES = 3
 SHARD_BYTES = 8 << 20
 #: Of a page that its near copies share.
 NEARLY = 0.8
+#: Bits of the bitmap for each page with boilerplate, and at most. With fewer bits more pages are shuffled, none is judged otherwise.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "video", "audio", "canvas"}
@@ -55,6 +60,12 @@ _STOP = re.compile(r">|=\s*([\"'])")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
+def _lowered(page: str) -> str:
+    """page with A-Z in lower case, every character at its place."""
+    low = page.lower()
+    return low if len(low) == len(page) else page.translate(_LOWER)
+
+
 def _unwanted(name: str, attributes: str) -> bool:
     """Whether class, id or role name the element as something other than text: as a whole, or, for classes of elements that
     hold others, by a part of the name (sidebar-left, but not has-sidebar)."""
@@ -74,7 +85,7 @@ class Tags:
     comments and declarations. What looks like a tag but never ends is text."""
 
     def __init__(self, page: str) -> None:
-        self.page, self.low = page, page.translate(_LOWER)
+        self.page, self.low = page, _lowered(page)
         self.last = {c: page.rfind(c) for c in ">\"'"}
 
     def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
@@ -121,7 +132,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     tags = Tags(page)
 
     def flush() -> None:
-        text = re.sub(r"\s+", " ", "".join(held)).strip()
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             (marked if depth["article"] or depth["main"] else opened).append(text)
@@ -220,14 +231,6 @@ def common_prefixes(sa: np.ndarray, levels: list[np.ndarray], least: int) -> np.
     return out
 
 
-def _pages_of(group: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """For each member of a group, the distinct pages of that group."""
-    if not len(group):
-        return np.zeros(0, np.int64)
-    g, _ = distinct(group, page)
-    return np.bincount(g)[group]
-
-
 class Stream:
     """The concatenated tokens of the distinct pages of a shard: words, one token for a block's end, one for each page's."""
 
@@ -253,53 +256,46 @@ class Stream:
         self.page = np.repeat(np.arange(len(pages)), np.diff(np.concatenate([[-1], self.page_end])))
         self.block_cut = np.concatenate([[0], np.cumsum(per_page)])
 
-    def names(self, opened: list[bool]) -> list[list[int]]:
-        """For each page, names of its units, equal ones alike, 0 for none: its blocks of RUN words or more, or if it is
-        open, the runs of RUN tokens from each place on."""
-        n = len(self.hash)
-        hashed = np.zeros(len(self.block_words), U)
-        np.add.at(hashed, self.block_of_word, mix(self.hash[self.word_at]) * powers(_P, int(self.block_words.max(initial=1)) + 1)[self.word_at - self.block_at[self.block_of_word]])
-        whole = np.where(self.block_words >= RUN, mix(hashed, 1) | U(1), U(0)).view(np.int64)
-        run = np.zeros(n, U)
-        if n > RUN:
-            for j in range(RUN):
-                run[: n - RUN] = mix(run[: n - RUN]) + self.hash[j : n - RUN + j]
-            run = np.where(self.page_end[self.page] - np.arange(n) >= RUN, mix(run, 2) | U(1), U(0))
-        run = run.view(np.int64)
-        begin = np.concatenate([[0], self.page_end[:-1] + 1]) if len(self.page_end) else np.zeros(0, int)
-        return [run[a:b].tolist() if o else whole[c:d].tolist() for o, a, b, c, d in zip(opened, begin, self.page_end, self.block_cut[:-1], self.block_cut[1:])]
-
-    def counts(self, opened: list[bool]) -> list[dict[int, int]]:
-        """For each page, the places of its units (blocks, or tokens of an open page) that stand on PAGES distinct pages or
-        more, with their numbers of pages, by the suffix array."""
+    def units(self, opened: list[bool]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each page, the places of its units (blocks of RUN words or more, or of an open page every token from which RUN
+        follow on the page) and their groups of equal ones, and of each group the number of distinct pages, by the suffix array."""
         sa, levels = suffix_array(self.tokens)
         common = common_prefixes(sa, levels, RUN)
-        out: list[dict[int, int]] = [{} for _ in opened]
         is_open = np.array(opened, bool)
         begin = np.concatenate([[0], self.page_end[:-1] + 1])
         # runs: neighbours that share RUN tokens
-        joint = np.flatnonzero((common > 0) | np.append(common[1:] > 0, False))
-        if len(joint):
-            group = np.cumsum(common[joint] == 0)
-            at = sa[joint]
-            some = is_open[self.page[at]]
-            pages = _pages_of(group[some], self.page[at[some]])
-            for p, count in zip(at[some][pages >= PAGES].tolist(), pages[pages >= PAGES].tolist()):
-                page = int(self.page[p])
-                out[page][p - int(begin[page])] = count
+        run = np.empty(len(sa), np.int64)
+        run[sa] = np.cumsum(common == 0)
+        at = np.arange(len(sa))
+        at = at[is_open[self.page] & (self.page_end[self.page] - at >= RUN)]
         # whole blocks: neighbours among the suffixes of blocks that share all words and the end
         long = np.flatnonzero((self.block_words >= RUN) & ~is_open[self.page_of_block])
-        if len(long):
-            where = levels[-1][self.block_at[long]]
-            order = np.argsort(where)
-            long, where = long[order], where[order]
-            least = np.minimum.reduceat(common, np.stack([where[:-1] + 1, where[1:] + 1], 1).reshape(-1))[::2] if len(long) > 1 else np.zeros(0, np.int64)
-            group = np.concatenate([[0], np.cumsum(least <= self.block_words[long[:-1]])])
-            pages = _pages_of(group, self.page_of_block[long])
-            for b, count in zip(long[pages >= PAGES].tolist(), pages[pages >= PAGES].tolist()):
-                page = int(self.page_of_block[b])
-                out[page][b - int(self.block_cut[page])] = count
-        return out
+        where = levels[-1][self.block_at[long]]
+        order = np.argsort(where)
+        sorted_, where = long[order], where[order]
+        least = np.minimum.reduceat(common, np.stack([where[:-1] + 1, where[1:] + 1], 1).reshape(-1))[::2] if len(long) > 1 else np.zeros(0, np.int64)
+        block = np.zeros(len(self.block_words), np.int64)
+        block[sorted_] = len(sa) + 1 + np.concatenate([[0], np.cumsum(least <= self.block_words[sorted_[:-1]])])[: len(sorted_)]
+        page = np.concatenate([self.page[at], self.page_of_block[long]])
+        place = np.concatenate([at - begin[self.page[at]], long - self.block_cut[self.page_of_block[long]]])
+        _, group = np.unique(np.concatenate([run[at], block[long]]), return_inverse=True)
+        one, _ = distinct(group, page)
+        order = np.lexsort((place, page))
+        cut = np.cumsum(np.bincount(page, minlength=len(opened)))[:-1]
+        return np.split(place[order], cut), np.split(group[order], cut), np.bincount(one)
+
+    def names(self, opened: list[bool], places: list[np.ndarray]) -> list[np.ndarray]:
+        """Names of units, equal in all streams for equal ones: hashes of the words of a block, or of RUN tokens."""
+        hashed = np.zeros(len(self.block_words), U)
+        np.add.at(hashed, self.block_of_word, mix(self.hash[self.word_at]) * powers(_P, int(self.block_words.max(initial=1)) + 1)[self.word_at - self.block_at[self.block_of_word]])
+        whole = mix(hashed, 1).view(np.int64)
+        n = len(self.hash)
+        run = np.zeros(n, U)
+        for j in range(RUN):
+            run[: max(0, n - RUN)] = mix(run[: max(0, n - RUN)]) + self.hash[j : max(j, n - RUN + j)]
+        run = mix(run, 2).view(np.int64)
+        begin = np.concatenate([[0], self.page_end[:-1] + 1])
+        return [run[begin[i] + p] if o else whole[self.block_cut[i] + p] for i, (o, p) in enumerate(zip(opened, places))]
 
 
 def _repeated(weights: list[int], pages: dict[int, int]) -> list[int]:
@@ -332,22 +328,32 @@ def _cut(blocks: list[str], opened: bool, pages: dict[int, int]) -> str:
     return "\n".join(kept)
 
 
-def _judge(mine: pa.Table, counted: pa.Table) -> pa.Table:
-    """host, page_key and text of every page of a shard; `counted` holds the counts over all shards of a host of several."""
+def _judge(mine: pa.Table) -> pa.Table:
+    """host, shards, shard, page_keys of every content of a shard, with its units: places, groups' names (0 for a host of
+    one shard, which needs none) and numbers of pages in this shard."""
     rows = mine.to_pylist()
-    group = {r["content"]: r for r in rows}
-    order = list(group)
-    opened = [group[c]["open"] for c in order]
-    if rows[0]["shards"] == 1:
-        found = Stream([group[c]["blocks"] for c in order]).counts(opened) if any(group[c]["blocks"] for c in order) else [{}] * len(order)
-        pages = dict(zip(order, found))
-    else:
-        pages = {}
-        for r in counted.to_pylist():
-            pages.setdefault(r["content"], {})[r["pos"]] = r["pages"]
-    texts = {c: _cut(group[c]["blocks"], group[c]["open"], pages.get(c, {})) for c in order}
-    once = {r["page_key"]: texts[r["content"]] for r in rows}
-    return pa.table({"host": pa.array([rows[0]["host"]] * len(once), pa.string()), "page_key": pa.array(list(once), pa.binary()), "text": pa.array(list(once.values()), pa.string())})
+    contents: dict[bytes, dict] = {}
+    keys: dict[bytes, dict[bytes, None]] = {}
+    for r in rows:
+        contents.setdefault(r["content"], r)
+        keys.setdefault(r["content"], {})[r["page_key"]] = None
+    order = [c for c, r in contents.items() if r["text"] is not None]
+    columns: list[list] = [[], [], [], []]
+    if order:
+        pages = [_unpacked(contents[c]["text"]) for c in order]
+        opened = [contents[c]["open"] for c in order]
+        stream = Stream(pages)
+        places, groups, many = stream.units(opened)
+        alone = rows[0]["shards"] == 1
+        names = [np.zeros(len(g), np.int64) for g in groups] if alone else stream.names(opened, places)
+        for c, p, g, name in zip(order, places, groups, names):
+            some = many[g] >= PAGES if alone else np.ones(len(g), bool)
+            if some.any():
+                for column, value in zip(columns, (list(keys[c]), p[some], name[some], many[g[some]])):
+                    column.append(value)
+    kinds = (pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    head = [pa.array([rows[0][c]] * len(columns[0]), k) for c, k in (("host", pa.string()), ("shards", pa.int64()), ("shard", pa.int64()))]
+    return pa.Table.from_arrays([*head, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["host", "shards", "shard", "page_keys", "pos", "name", "pages"])
 
 
 # ---- on Spark
@@ -360,16 +366,26 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.when(host != "", host).otherwise(bare), F.lit(""))
 
 
-def _parsed(pages: pa.Array) -> Iterator[tuple[list[str], bool, bytes]]:
-    for page in pages.to_pylist():
-        found, opened = blocks(page)
-        yield found, opened, hashlib.md5("\n".join(found).encode("utf-8", "replace") + bytes([opened])).digest()
+def _packed(found: list[str]) -> bytes | None:
+    """Blocks, none of which holds a line end, compressed; null for none."""
+    if not found:
+        return None
+    data = "\n".join(found).encode("utf-8", "surrogatepass")
+    return pa.compress(data, "zstd", asbytes=True) + struct.pack("<I", len(data))
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    return pa.decompress(packed[:-4], struct.unpack("<I", packed[-4:])[0], "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+
+
+def _parsed(pages: pa.Array) -> Iterator[tuple[list[str], bool]]:
+    return (blocks(page) for page in pages.to_pylist())
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, shards, page_key, html -> host, shards, shard, page_key, content, open, blocks; one of equal pages of a task."""
+    """host, shards, page_key, html -> host, shards, shard, page_key, content, open, text; one of equal pages of a task."""
     seen: set[tuple[str, bytes]] = set()
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.string()))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary())
     for batch in batches:
         at = 0
         for part in text_slices(batch.column(3), 4 << 20):
@@ -380,31 +396,63 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if k not in seen:
                     seen.add(k)
                     fresh.append(i)
-            rows = [(host[i], shards[i], int.from_bytes(c[:7]) % shards[i], key[i], c, o, b) for i, (b, o, c) in zip(fresh, _parsed(part.take(pa.array(fresh, pa.int64()))))]
+            rows = []
+            for i, (found, opened) in zip(fresh, _parsed(part.take(pa.array(fresh, pa.int64())))):
+                content = hashlib.md5("\n".join(found).encode("utf-8", "replace") + bytes([opened])).digest()
+                rows.append((host[i], shards[i], int.from_bytes(content[:7]) % shards[i], key[i], content, opened, _packed(found)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shards", "shard", "page_key", "content", "open", "blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["host", "shards", "shard", "page_key", "content", "open", "text"])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, shard, content and names of the units of each page."""
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, html -> page_id, url, text of all blocks."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            rows = [r for r in part.to_pylist() if r["blocks"]]
-            if rows:
-                names = Stream([r["blocks"] for r in rows]).names([r["open"] for r in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows]), pa.array([r["shard"] for r in rows], pa.int64()), pa.array([r["content"] for r in rows], pa.binary()), pa.array(names, pa.list_(pa.int64()))], names=["host", "shard", "content", "names"])
+        at = 0
+        for part in text_slices(batch.column(2), 4 << 20):
+            texts = ["\n".join(found) for found, _ in _parsed(part)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            at += len(part)
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, html, host, page_key -> page_id, url, host, page_key, open, text (packed blocks)."""
     for batch in batches:
         at = 0
         for part in text_slices(batch.column(2), 4 << 20):
-            texts = ["\n".join(b) for b, *_ in _parsed(part)]
-            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            found = [(opened, _packed(b)) for b, opened in _parsed(part)]
+            rest = [batch.column(i).slice(at, len(part)) for i in (0, 1, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([o for o, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.binary())], names=["page_id", "url", "host", "page_key", "open", "text"])
             at += len(part)
 
 
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, open, text (packed blocks), pos, pages -> page_id, url, text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = []
+            for opened, packed, pos, pages in zip(*(c.to_pylist() for c in part.columns[2:])):
+                texts.append(_cut(_unpacked(packed), opened, dict(zip(pos or [], pages or []))) if packed is not None else "")
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def boilerplate(sited: DataFrame) -> DataFrame:
+    """host, page_key, pos, pages: of pages (host, page_key, html) with units on PAGES pages or more, their places and numbers."""
+    # few hosts are of several shards; joined by the size of this table
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    large = written(sited.groupBy("host").agg((F.floor(F.sum(size) / SHARD_BYTES) + 1).cast("long").alias("shards")).where("shards > 1"))
+    dealt = sited.join(large, "host", "left").select("host", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "page_key", "html")
+    dealt = dealt.mapInArrow(_streams, "host string, shards long, shard long, page_key binary, content binary, open boolean, text binary")
+    units = written(dealt.groupBy("host", "shard").applyInArrow(_judge, "host string, shards long, shard long, page_keys array<binary>, pos array<bigint>, name array<bigint>, pages array<bigint>"))
+    # hosts of several shards: a unit has one number of pages in each shard
+    parts = units.where("shards > 1")
+    each = parts.select("host", "shard", F.inline(F.arrays_zip("name", "pages"))).distinct().groupBy("host", "name").agg(F.sum("pages").alias("pages")).where(f"pages >= {PAGES}")
+    placed = parts.select("host", "page_keys", F.inline(F.arrays_zip("pos", "name")))
+    found = placed.join(each, ["host", "name"]).select("host", F.explode("page_keys").alias("page_key"), "pos", "pages")
+    found = found.groupBy("host", "page_key").agg(F.collect_list(F.struct("pos", "pages")).alias("hits")).select("host", "page_key", F.col("hits.pos").alias("pos"), F.col("hits.pages").alias("pages"))
+    return units.where("shards = 1").select("host", F.explode("page_keys").alias("page_key"), "pos", "pages").union(found)
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by line ends) and n_chars (its code points) of every row, from the whole html.
 
@@ -412,24 +460,19 @@ def main_texts(pages: DataFrame) -> DataFrame:
     give repeated rows; pages with a null url or none of a host keep all their blocks; other columns, whatever their names,
     are ignored; an empty table gives an empty result.
     """
-    rows = pages.select("page_id", "url", _host(F.col("url")).alias("host"), "html")
-    rows = rows.withColumn("page_key", F.unhex(F.md5(F.coalesce("html", F.lit("")))))
-    sited = rows.where("host <> ''")
-    # few hosts are of several shards; joined by the size of this table
-    large = written(sited.groupBy("host").agg((F.floor(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")) / SHARD_BYTES) + 1).cast("long").alias("shards")).where("shards > 1"))
-    one = F.coalesce("shards", F.lit(1).cast("long")).alias("shards")
-    parsed = "host string, shards long, shard long, page_key binary, content binary, open boolean, blocks array<string>"
-    dealt = sited.join(large, "host", "left").select("host", one, "page_key", "html").mapInArrow(_streams, parsed)
-
-    cut = sited.join(large, "host").select("host", "shards", "page_key", "html").mapInArrow(_streams, parsed)
-    units = cut.select("host", "shard", "content", "open", "blocks").mapInArrow(_units, "host string, shard long, content binary, names array<bigint>")
-    units = written(units.groupBy("host", "shard", "content").agg(F.first("names").alias("names")))
-    pages_of = units.select("host", F.explode(F.array_distinct("names")).alias("name")).where("name <> 0").groupBy("host", "name").agg(F.count("*").alias("pages")).where(f"pages >= {PAGES}")
-    placed = units.select("host", "shard", "content", F.posexplode("names").alias("pos", "name"))
-    counted = placed.join(pages_of, ["host", "name"]).select("host", "shard", "content", F.col("pos").cast("long").alias("pos"), "pages")
-
-    texts = dealt.groupBy("host", "shard").cogroup(counted.groupBy("host", "shard")).applyInArrow(_judge, "host string, page_key binary, text string")
-    # merged at any size, so that texts move alike
-    found = sited.select("page_id", "url", "host", "page_key").join(texts.hint("merge"), ["host", "page_key"]).select("page_id", "url", "text")
-    bare = rows.where("host = ''").select("page_id", "url", "html").mapInArrow(_plain, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
-    return found.union(bare).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("page_key"))
+    hits = written(boilerplate(rows.where("host <> ''").select("host", "page_key", "html")))
+    bits = max(1 << 15, min(MOST_BITS, BITS_EACH * hits.count()))
+    bit = F.pmod(F.xxhash64("host", "page_key"), F.lit(bits))
+    # MOST_BITS bits at most
+    maps = hits.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (place % 8 + 1).cast("int"))) != 0, F.lit(False))
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "bucket", "left").withColumn("some", some & (F.col("host") != ""))
+    out = f"page_id {id_type}, url string, text string"
+    plain = marked.where("not some").select("page_id", "url", "html").mapInArrow(_plain, out)
+    held = marked.where("some").select("page_id", "url", "html", "host", "page_key").mapInArrow(_blocked, f"page_id {id_type}, url string, host string, page_key binary, open boolean, text binary")
+    cut = held.join(hits, ["host", "page_key"], "left").select("page_id", "url", "open", "text", "pos", "pages").mapInArrow(_cuts, out)
+    return plain.union(cut).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
