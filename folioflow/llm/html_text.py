@@ -39,7 +39,7 @@ from .url_filter import host_and_path
 
 RUN = 8
 PAGES = 3
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Of a page that its near copies share.
 NEARLY = 0.8
 #: Bits of the bitmap for each page with boilerplate, and at most. With fewer bits more pages are shuffled, none is judged otherwise.
@@ -388,7 +388,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary())
     for batch in batches:
         at = 0
-        for part in text_slices(batch.column(3), 4 << 20):
+        for part in text_slices(batch.column(3), 1 << 20):
             host, shards, key = (c.slice(at, len(part)).to_pylist() for c in batch.columns[:3])
             at += len(part)
             fresh = []
@@ -408,7 +408,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """page_id, url, html -> page_id, url, text of all blocks."""
     for batch in batches:
         at = 0
-        for part in text_slices(batch.column(2), 4 << 20):
+        for part in text_slices(batch.column(2), 1 << 20):
             texts = ["\n".join(found) for found, _ in _parsed(part)]
             yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
             at += len(part)
@@ -418,7 +418,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """page_id, url, html, host, page_key -> page_id, url, host, page_key, open, text (packed blocks)."""
     for batch in batches:
         at = 0
-        for part in text_slices(batch.column(2), 4 << 20):
+        for part in text_slices(batch.column(2), 1 << 20):
             found = [(opened, _packed(b)) for b, opened in _parsed(part)]
             rest = [batch.column(i).slice(at, len(part)) for i in (0, 1, 3, 4)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([o for o, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.binary())], names=["page_id", "url", "host", "page_key", "open", "text"])
