@@ -10,13 +10,13 @@ prefix are its own. That needs exact document frequencies, which are counted wit
    a token of a third of all texts adds no more than HOT entries a batch to its bucket.
 2. Each bucket counts its tokens and returns, to the batch, those of two sets or more.
 3. Each batch finds its active sets: those with a shared token in a prefix. Equal active sets of all batches become one.
-4. Families: components of active sets over shared prefix tokens of the first order (rarest first), split into components
-   over those of the second order, and these by the third: linked sets share a prefix token under each.
+4. Families: components of active sets over shared prefix tokens of the first order (rarest first). Those of more than a
+   block are split into components over the second order, and these by the third: linked sets share a prefix token
+   under each, and within a block pairs are held to that anyway.
 5. A family is worked on in blocks of bounded size by set size. Sets are linked inside blocks first, then one set of each
-   component found so, and so on while that joins anything. What is left are pairs of different components: the sets
-   outside a family's largest component meet all of its blocks that their sizes allow. So a family of very many copies of
-   one text, which becomes one component early, is not compared block by block. Pairs must share prefix tokens under
-   all three orders; what remains is verified on exact intersections (tokens that no other set has can't be in one),
+   component found so. What is left are pairs of different components: the sets outside a family's largest component
+   meet all of its blocks that their sizes allow. So a family of very many copies of one text, which becomes one
+   component early, is not compared block by block. Pairs must share prefix tokens under all three orders; what remains is verified on exact intersections (tokens that no other set has can't be in one),
    except inside what is linked already. Only a spanning forest of links is returned, never the pairs of a group.
 6. Components of the links, joined back to every document.
 
@@ -41,7 +41,7 @@ from .shared import n_partitions, written
 
 HOT = 255
 #: Bytes of input, as Spark estimates them, for each bucket of tokens; and the most buckets.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 16
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 2_000_000
@@ -276,15 +276,29 @@ def _buckets(texts: DataFrame) -> int:
     return max(2 * n_partitions(texts.sparkSession), min(MOST_BUCKETS, estimate // BUCKET_BYTES))
 
 
+def _split(sets: DataFrame, families: DataFrame, number: int) -> DataFrame:
+    """(node, family): components within families over shared prefix tokens of an order."""
+    owned = sets.select("tokens", "counts", "prefix", "node").mapInArrow(partial(_prefix_tokens, number=number), "token long, node long").join(families, "node")
+    least = owned.groupBy("family", "token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").select("family", "token", "low")
+    edges = owned.join(least, ["family", "token"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return written(connected_components(edges).withColumnRenamed("component", "family"))
+
+
 def _families(sets: DataFrame) -> DataFrame:
-    """(node, family) of sets that share prefix tokens, directly or not, under every order."""
-    families = sets.select("node", F.lit(0).cast("long").alias("family"))
-    for number in range(3):
-        owned = sets.select("tokens", "counts", "prefix", "node").mapInArrow(partial(_prefix_tokens, number=number), "token long, node long").join(families, "node")
-        least = owned.groupBy("family", "token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").select("family", "token", "low")
-        edges = owned.join(least, ["family", "token"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-        families = written(connected_components(edges).withColumnRenamed("component", "family"))
-    return families
+    """(node, family) of sets that share prefix tokens, directly or not; families of more than a block under every order."""
+    owned = sets.select("tokens", "counts", "prefix", "node").mapInArrow(partial(_prefix_tokens, number=0), "token long, node long")
+    least = owned.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").select("token", "low")
+    edges = owned.join(least, "token").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    families = written(connected_components(edges).withColumnRenamed("component", "family"))
+    load = sets.select("node", F.octet_length("tokens").alias("bytes")).join(families, "node").groupBy("family").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes"))
+    wide = written(load.where(f"sets > {BLOCK_SETS} or bytes > {6 * BLOCK_TOKENS}").select("family"))
+    if wide.isEmpty():
+        return families
+    mine = families.join(wide, "family", "left_semi")
+    inside = written(sets.join(mine.select("node"), "node", "left_semi"))
+    for number in (1, 2):
+        mine = _split(inside, mine, number)
+    return families.join(wide, "family", "left_anti").select("node", "family").union(mine.select("node", "family"))
 
 
 def _placed(sets: DataFrame, families: DataFrame) -> DataFrame:
@@ -314,17 +328,13 @@ def _components(placed: DataFrame, percent: int) -> DataFrame:
     def with_components(df: DataFrame) -> DataFrame:
         return df.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    while True:
-        # one set of each component of a family, in lots of a block's size
-        heads = with_components(rest.select("node", "family", "n", F.octet_length("tokens").alias("bytes"))).groupBy("family", "component").agg(F.min(F.struct("n", "node", "bytes")).alias("head"))
-        lots = heads.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("head.bytes") / (6.0 * BLOCK_TOKENS))).alias("lots"))
-        dealt = heads.join(lots, "family").select("family", "component", F.col("head.node").alias("node"), F.pmod(F.xxhash64("component"), F.col("lots")).alias("lot"))
-        met = rest.select("node", "n", "tokens", "counts", "prefix", F.lit(0).alias("side")).join(dealt, "node")
-        more = written(met.groupBy("family", "lot").applyInArrow(link, _ddl(_LINKS)))
-        if more.isEmpty():
-            break
-        links = written(links.union(more))
-        joined = written(connected_components(links))
+    # one set of each component of a family, in lots of a block's size
+    heads = with_components(rest.select("node", "family", "n", F.octet_length("tokens").alias("bytes"))).groupBy("family", "component").agg(F.min(F.struct("n", "node", "bytes")).alias("head"))
+    lots = heads.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("head.bytes") / (6.0 * BLOCK_TOKENS))).alias("lots"))
+    dealt = heads.join(lots, "family").select("family", "component", F.col("head.node").alias("node"), F.pmod(F.xxhash64("component"), F.col("lots")).alias("lot"))
+    met = rest.select("node", "n", "tokens", "counts", "prefix", F.lit(0).alias("side")).join(dealt, "node")
+    links = written(links.union(met.groupBy("family", "lot").applyInArrow(link, _ddl(_LINKS))))
+    joined = written(connected_components(links))
     parted = with_components(rest.select("node", "family", "n"))
     largest = parted.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
     minor = written(parted.join(largest, "family").where("component <> largest").select("node", "family"))
