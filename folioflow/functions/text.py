@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 #: The 81 characters that labels may hold.
 ALPHABET = "` ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'-\"/,.+_!#&():;?*"
 
@@ -82,7 +84,11 @@ def near_by_deletion(words: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
             df = df.withColumn("forms", F.array_distinct(F.concat("forms", F.flatten(F.transform("forms", cuts)))))
         return df.select(F.col("word").alias(name), F.explode("forms").alias("form"))
 
-    return formed(words, "word").join(formed(vocab, "candidate"), "form").where("word <> candidate").select("word", "candidate").distinct()
+    # written, so that Spark knows its size: a small vocabulary is broadcast, a large one is not
+    forms = stored(formed(vocab, "candidate"))
+    lengths = vocab.select(F.explode(F.sequence(F.length("word") - k, F.length("word") + k)).alias("n")).distinct()
+    near = words.select("word").distinct().withColumn("n", F.length("word")).join(lengths, "n", "left_semi")
+    return formed(near, "word").join(forms, "form").where("word <> candidate").select("word", "candidate").distinct()
 
 
 def one_edit(words: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 CELL = 64
 
 
@@ -16,10 +20,11 @@ def pad_clip(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.select("page_key", "box_id", x.alias("x"), y.alias("y"), F.least(width - x, F.col("w") + 2 * pad).alias("w"), F.least(height - y, F.col("h") + 2 * pad).alias("h"))
 
 
-def line_bbox(boxes: DataFrame) -> DataFrame:
-    """PRJ-7: the rectangle around a line's words, 4 pixels wider on each side, not below 0."""
+def line_bbox(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """PRJ-7: the rectangle around a line's words, 4 pixels wider on each side, clipped to the page."""
     zero = F.lit(0)
-    return boxes.groupBy("page_key", "line").agg(F.greatest(zero, F.min("x") - 4).alias("x0"), F.greatest(zero, F.min("y") - 4).alias("y0"), (F.max(F.col("x") + F.col("w")) + 4).alias("x1"), (F.max(F.col("y") + F.col("h")) + 4).alias("y1"))
+    x1, y1 = F.max(F.col("x") + F.col("w")) + 4, F.max(F.col("y") + F.col("h")) + 4
+    return boxes.groupBy("page_key", "line").agg(F.greatest(zero, F.min("x") - 4).alias("x0"), F.greatest(zero, F.min("y") - 4).alias("y0"), F.least(F.lit(width), x1).alias("x1"), F.least(F.lit(height), y1).alias("y1"))
 
 
 def active(boxes: DataFrame) -> DataFrame:
@@ -47,61 +52,96 @@ def upper_median(value: str) -> Column:
 
 def reading_order(boxes: DataFrame) -> DataFrame:
     """WIN-1: lines by centre height, a new one where the gap to the box before exceeds max(4, int(0.6 * upper median
-    height)), and words from left to right, both from 1."""
-    b = active(boxes)
-    heights = b.groupBy("page_key").agg(F.greatest(F.lit(4), (upper_median("h") * 0.6).cast("int")).alias("gap"))
-    cy = F.col("y") + F.col("h") / 2
-    by_height = W.partitionBy("page_key").orderBy("cy", "line", "word")
-    b = b.join(heights, "page_key").withColumn("cy", cy).withColumn("jump", F.coalesce((F.col("cy") - F.lag("cy").over(by_height) > F.col("gap")).cast("int"), F.lit(1)))
+    height)), and words from left to right, both from 1. Equal places go by stored order. All windows are over the page: one exchange."""
+    page = W.partitionBy("page_key")
+    b = active(boxes).select("page_key", "box_id", "box_ord", "x", "h", (F.col("y") + F.col("h") / 2).alias("cy"))
+    b = b.withColumn("n", F.count("*").over(page)).withColumn("r", F.row_number().over(page.orderBy("h")))
+    middle = F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("h"))).over(page)
+    gap = F.greatest(F.lit(4), (F.when(middle == 0, 1).otherwise(middle) * 0.6).cast("int"))
+    by_height = page.orderBy("cy", "box_ord")
+    b = b.withColumn("gap", gap).withColumn("jump", F.coalesce((F.col("cy") - F.lag("cy").over(by_height) > F.col("gap")).cast("int"), F.lit(1)))
     b = b.withColumn("out_line", F.sum("jump").over(by_height.rowsBetween(W.unboundedPreceding, 0)))
-    return b.withColumn("out_word", F.row_number().over(W.partitionBy("page_key", "out_line").orderBy("x", "line", "word"))).select("page_key", "box_id", "out_line", "out_word")
+    return b.withColumn("out_word", F.row_number().over(W.partitionBy("page_key", "out_line").orderBy("x", "cy", "box_ord"))).select("page_key", "box_id", "out_line", "out_word")
 
 
 def iou_pairs(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
-    """JON-7: pairs of a page whose intersection over union is `least` or more.
+    """JON-7: pairs of a page whose intersection over union is `least` or more: page_key, box_ord, det_ord, iou.
 
     Boxes are dealt to the grid cells that they touch, and a pair is compared only in the cell that holds the upper left
-    corner of its intersection: an equi-join on (page, cell) that gives each pair once.
+    corner of its intersection: an equi-join on (page, cell) that gives each pair once. Only places and geometry move.
     """
 
-    def celled(df: DataFrame, p: str) -> DataFrame:
+    def celled(df: DataFrame, p: str, key: str) -> DataFrame:
         cells = [F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(a) + F.greatest(F.col(n) - 1, F.lit(0))) / CELL)) for a, n in (("x", "w"), ("y", "h"))]
-        out = df.select("page_key", *(F.col(c).alias(f"{p}_{c}") for c in ("box_id", "x", "y", "w", "h", "text")), cells[1].alias("rows"), F.explode(cells[0]).alias("cx"))
+        out = df.select("page_key", key, *(F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "w", "h")), cells[1].alias("rows"), F.explode(cells[0]).alias("cx"))
         return out.withColumn("cy", F.explode("rows")).drop("rows")
 
-    j = celled(old, "old").join(celled(new, "new"), ["page_key", "cx", "cy"])
+    j = celled(old, "old", "box_ord").join(celled(new, "new", "det_ord"), ["page_key", "cx", "cy"])
     x0, y0 = F.greatest("old_x", "new_x"), F.greatest("old_y", "new_y")
     w = F.least(F.col("old_x") + F.col("old_w"), F.col("new_x") + F.col("new_w")) - x0
     h = F.least(F.col("old_y") + F.col("old_h"), F.col("new_y") + F.col("new_h")) - y0
     j = j.where((F.floor(x0 / CELL) == F.col("cx")) & (F.floor(y0 / CELL) == F.col("cy")) & (w > 0) & (h > 0))
     inter = w.cast("long") * h
     j = j.withColumn("iou", inter / (F.col("old_w").cast("long") * F.col("old_h") + F.col("new_w").cast("long") * F.col("new_h") - inter))
-    return j.where(F.col("iou") >= least)
-
-
-def merge_fast(old: DataFrame, new: DataFrame) -> DataFrame:
-    """GEO-2 for pages where each box meets one other at most (mutual best matches): a protected box stays, a refreshable one takes the new
-    text and geometry, unmatched old refreshable boxes go, unmatched new boxes come in; retired ones are carried on."""
-    pairs = iou_pairs(old, new)
-    best_old = F.row_number().over(W.partitionBy("page_key", "old_box_id").orderBy(F.desc("iou"), "new_box_id"))
-    best_new = F.row_number().over(W.partitionBy("page_key", "new_box_id").orderBy(F.desc("iou"), "old_box_id"))
-    pairs = pairs.withColumn("a", best_old).withColumn("b", best_new).where("a = 1 and b = 1")
-    kept = protection(old).join(pairs.select("page_key", F.col("old_box_id").alias("box_id"), "new_text", "new_x", "new_y"), ["page_key", "box_id"], "left")
-    refreshed = F.col("new_text").isNotNull() & (F.col("state") == "refreshable")
-    kept = kept.where((F.col("state") != "refreshable") | refreshed).select("page_key", "box_id", F.when(refreshed, F.col("new_x")).otherwise(F.col("x")).alias("x"), F.when(refreshed, F.col("new_y")).otherwise(F.col("y")).alias("y"), F.when(refreshed, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(refreshed, "refreshed").otherwise("kept").alias("outcome"))
-    taken = pairs.select("page_key", F.col("new_box_id").alias("box_id"))
-    added = new.join(taken, ["page_key", "box_id"], "left_anti").select("page_key", F.concat(F.lit("n"), "box_id").alias("box_id"), "x", "y", "text", F.lit("added").alias("outcome"))
-    return kept.union(added)
+    return j.where(F.col("iou") >= least).select("page_key", "box_ord", "det_ord", "iou")
+
+
+def _in_turn(pairs: pa.Table) -> pa.Table:
+    """Old boxes in stored order each take the free detection of greatest overlap, the first of equals."""
+    old, new, iou = (pairs[c].to_numpy() for c in ("box_ord", "det_ord", "iou"))
+    order = np.lexsort((new, -iou, old))
+    done, used, chosen = set(), set(), []
+    for i, o, n in zip(order.tolist(), old[order].tolist(), new[order].tolist()):
+        if o not in done and n not in used:
+            done.add(o)
+            used.add(n)
+            chosen.append(i)
+    return pairs.select(["page_key", "box_ord", "det_ord"]).take(pa.array(chosen, pa.int64()))
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """page_key, box_ord, det_ord: the pairs that a merge in stored order makes of candidate pairs. Where neither side has
+    another candidate there is nothing to decide; only contested boxes go through the ordered loop, page by page."""
+    rows = pairs.select("page_key", "box_ord", "det_ord", "iou").repartition("page_key")
+    rows = rows.withColumn("a", F.count("*").over(W.partitionBy("page_key", "box_ord"))).withColumn("b", F.count("*").over(W.partitionBy("page_key", "det_ord")))
+    rows = stored(rows.withColumn("contested", (F.col("a") > 1) | (F.col("b") > 1)).drop("a", "b"))
+    contested = rows.where("contested").groupBy("page_key").applyInArrow(_in_turn, "page_key string, box_ord long, det_ord long")
+    return rows.where("not contested").select("page_key", "box_ord", "det_ord").union(contested)
+
+
+def merge_detection(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """GEO-2: page_key, box_id, x, y, w, h, text, outcome of every old box and every detection that comes in.
+
+    Protected boxes are kept. Each refreshable box, in stored order, takes the free detection of greatest overlap if that is
+    `least` or more (refreshed: its id, the detection's text and geometry), else it is retired: soft-deleted. Boxes deleted
+    before are carried on. A detection that none took is added, unless it lies on a protected box, deleted or not.
+    """
+    geometry = ["x", "y", "w", "h", "text"]
+    old = protection(old)
+    pairs = stored(iou_pairs(old.where("state <> 'retired'"), new, least).join(old.select("page_key", "box_ord", "state"), ["page_key", "box_ord"]))
+    best = stored(matched(pairs.where("state = 'refreshable'")))
+    taken = best.join(new.select("page_key", "det_ord", *(F.col(c).alias(f"new_{c}") for c in geometry)), ["page_key", "det_ord"])
+    held = old.join(taken, ["page_key", "box_ord"], "left")
+    hit = F.col("det_ord").isNotNull()
+    outcome = F.when(F.col("state") == "protected", "kept").when(F.col("state") == "retired", "carried").when(hit, "refreshed").otherwise("retired")
+    held = held.select("page_key", "box_id", *(F.when(hit, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in geometry), outcome.alias("outcome"))
+    gone = best.select("page_key", "det_ord").union(pairs.where("state = 'protected'").select("page_key", "det_ord"))
+    added = new.join(gone, ["page_key", "det_ord"], "left_anti")
+    return held.union(added.select("page_key", F.concat(F.lit("n"), "box_id"), *geometry, F.lit("added")))
 
 
 def suppress(new: DataFrame, old: DataFrame) -> DataFrame:
-    """JON-8: detections that overlap no protected box."""
+    """JON-8: detections that overlap no protected box, deleted or not."""
     guards = protection(old).where("state = 'protected'")
-    return new.join(iou_pairs(guards, new).select("page_key", F.col("new_box_id").alias("box_id")).distinct(), ["page_key", "box_id"], "left_anti")
-
-
-def quality_gate(boxes: DataFrame) -> DataFrame:
-    """FLT-5 on geometry and confidence: the first failing reason, relative to the page's median height."""
-    median = boxes.groupBy("page_key").agg(F.percentile("h", 0.5).alias("mh"))
-    reason = F.when((F.col("w") < 20) | (F.col("h") < 16), "too_small").when(F.col("h") > 2.2 * F.col("mh"), "too_tall").when(F.col("w") > 12 * F.col("mh"), "off_page_scale").when(F.col("conf") < 0.1, "low_conf")
-    return boxes.join(median, "page_key").select("page_key", "box_id", reason.alias("reason"))
+    return new.join(iou_pairs(guards, new).select("page_key", "det_ord").distinct(), ["page_key", "det_ord"], "left_anti")
+
+
+def quality_gate(crops: DataFrame) -> DataFrame:
+    """FLT-5: page_key, box_id, reason: the first gate that a crop fails, null for none. The page's median height is taken over
+    crops that clear the least size; crops: h, w, ink, contrast, focus beside the ids. The limits are fixed values."""
+    plausible = F.when((F.col("h") >= 20) & (F.col("w") >= 14), F.col("h"))
+    median = crops.groupBy("page_key").agg(F.coalesce(F.percentile(plausible, 0.5), F.lit(0.0)).alias("mh"))
+    h, mh = F.col("h"), F.col("mh")
+    reason = F.when((h < 20) | (F.col("w") < 14), "too_small").when(h > 220, "too_tall").when((mh > 0) & ~h.between(0.55 * mh, 2.20 * mh), "off_page_scale")
+    reason = reason.when(~F.col("ink").between(0.05, 0.65), "bad_ink").when(F.col("contrast") < 45, "low_contrast").when(F.col("focus") < 55, "blurry")
+    return crops.join(median, "page_key").select("page_key", "box_id", reason.alias("reason"))

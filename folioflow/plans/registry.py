@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boxes as B
-from ..sources.fixtures import BOX_SQL, DET_SQL, TOK_SQL, boxes, detected, read, tokens
+from ..operators.ranks import numbered, quantiles, running
+from ..sources.fixtures import BOX_SQL, CROP_SQL, DET_SQL, TOK_SQL, boxes, crops, detected, read, tokens
+from ..sources.stored import shared_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,9 +44,9 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {BOX_SQL}, b AS (SELECT *, y + h / 2.0 AS cy FROM boxes WHERE NOT deleted),
 g AS (SELECT page_key, greatest(4, trunc(list_sort(list(h))[(count(*) // 2 + 1)::INT] * 0.6)::INT) AS gap FROM b GROUP BY page_key),
-j AS (SELECT b.*, CASE WHEN lag(cy) OVER o IS NULL OR cy - lag(cy) OVER o > gap THEN 1 ELSE 0 END AS jump FROM b JOIN g USING (page_key) WINDOW o AS (PARTITION BY page_key ORDER BY cy, line, word)),
-l AS (SELECT *, sum(jump) OVER (PARTITION BY page_key ORDER BY cy, line, word ROWS UNBOUNDED PRECEDING)::BIGINT AS out_line FROM j)
-SELECT page_key, box_id, out_line, row_number() OVER (PARTITION BY page_key, out_line ORDER BY x, line, word) AS out_word FROM l""")
+j AS (SELECT b.*, CASE WHEN lag(cy) OVER o IS NULL OR cy - lag(cy) OVER o > gap THEN 1 ELSE 0 END AS jump FROM b JOIN g USING (page_key) WINDOW o AS (PARTITION BY page_key ORDER BY cy, box_ord)),
+l AS (SELECT *, sum(jump) OVER (PARTITION BY page_key ORDER BY cy, box_ord ROWS UNBOUNDED PRECEDING)::BIGINT AS out_line FROM j)
+SELECT page_key, box_id, out_line, row_number() OVER (PARTITION BY page_key, out_line ORDER BY x, cy, box_ord) AS out_word FROM l""")
 def win1_reading_order(spark, d):
     return B.reading_order(_boxes(spark, d))
 
@@ -54,9 +57,9 @@ def prj4_pad_clip(spark, d):
     return B.pad_clip(_boxes(spark, d), 2000, 3000)
 
 
-@query(f"WITH {BOX_SQL} SELECT page_key, line, greatest(0, min(x) - 4) AS x0, greatest(0, min(y) - 4) AS y0, max(x + w) + 4 AS x1, max(y + h) + 4 AS y1 FROM boxes GROUP BY page_key, line")
+@query(f"WITH {BOX_SQL} SELECT page_key, line, greatest(0, min(x) - 4) AS x0, greatest(0, min(y) - 4) AS y0, least(2000, max(x + w) + 4) AS x1, least(3000, max(y + h) + 4) AS y1 FROM boxes GROUP BY page_key, line")
 def prj7_line_bbox(spark, d):
-    return B.line_bbox(_boxes(spark, d))
+    return B.line_bbox(_boxes(spark, d), 2000, 3000)
 
 
 @query(f"WITH {BOX_SQL} SELECT page_key, count(*) FILTER (WHERE NOT deleted) AS active FROM boxes GROUP BY page_key HAVING active > 0")
@@ -81,54 +84,66 @@ def flt4_body_column(spark, d):
     return B.body_column(_boxes(spark, d), 300).select("page_key", "box_id")
 
 
-@query(f"""WITH {BOX_SQL}, m AS (SELECT page_key, quantile_cont(h, 0.5) AS mh FROM boxes GROUP BY page_key)
-SELECT page_key, box_id, CASE WHEN w < 20 OR h < 16 THEN 'too_small' WHEN h > 2.2 * mh THEN 'too_tall' WHEN w > 12 * mh THEN 'off_page_scale' WHEN conf < 0.1 THEN 'low_conf' END AS reason FROM boxes JOIN m USING (page_key)""")
+_GATES = """m AS (SELECT page_key, coalesce(quantile_cont(h, 0.5) FILTER (WHERE h >= 20 AND w >= 14), 0) AS mh FROM crops GROUP BY page_key),
+r AS (SELECT page_key, box_id, CASE WHEN h < 20 OR w < 14 THEN 'too_small' WHEN h > 220 THEN 'too_tall' WHEN mh > 0 AND NOT (h BETWEEN 0.55 * mh AND 2.20 * mh) THEN 'off_page_scale' WHEN NOT (ink BETWEEN 0.05 AND 0.65) THEN 'bad_ink' WHEN contrast < 45 THEN 'low_contrast' WHEN focus < 55 THEN 'blurry' END AS reason FROM crops JOIN m USING (page_key))"""
+
+
+@query(f"WITH {CROP_SQL}, {_GATES} SELECT * FROM r")
 def flt5_quality_gates(spark, d):
-    return B.quality_gate(_boxes(spark, d))
+    return B.quality_gate(stored(crops(_tok(spark, d)).select("page_key", "box_id", "h", "w", "ink", "contrast", "focus")))
 
 
-@query(f"""WITH {BOX_SQL}, m AS (SELECT page_key, quantile_cont(h, 0.5) AS mh FROM boxes GROUP BY page_key),
-r AS (SELECT CASE WHEN w < 20 OR h < 16 THEN 'too_small' WHEN h > 2.2 * mh THEN 'too_tall' WHEN w > 12 * mh THEN 'off_page_scale' WHEN conf < 0.1 THEN 'low_conf' END AS reason FROM boxes JOIN m USING (page_key))
-SELECT reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM r), 4)::DOUBLE AS percent FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+@query(f"WITH {CROP_SQL}, {_GATES} SELECT reason, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM r), 4)::DOUBLE AS percent FROM r WHERE reason IS NOT NULL GROUP BY reason")
 def agg3_gate_tally(spark, d):
-    tally = B.quality_gate(_boxes(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
+    tally = flt5_quality_gates(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
     return tally.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 4)).where("reason is not null")
 
 
-_IOU = f"""WITH {DET_SQL}, iou AS (SELECT o.page_key, o.box_id AS old_id, n.box_id AS new_id, n.text, n.x, n.y,
- (least(o.x + o.w, n.x + n.w) - greatest(o.x, n.x))::BIGINT * (least(o.y + o.h, n.y + n.h) - greatest(o.y, n.y)) AS i, o.w::BIGINT * o.h + n.w::BIGINT * n.h AS s
- FROM boxes o JOIN det n ON o.page_key = n.page_key AND abs(o.line - n.line) <= 1 AND o.x < n.x + n.w AND n.x < o.x + o.w AND o.y < n.y + n.h AND n.y < o.y + o.h),
+_CELLS = "unnest(range(floor(x / 512)::INT, floor((x + w) / 512)::INT + 1)) AS c"
+_IOU = f"""WITH {DET_SQL}, st AS (SELECT *, CASE WHEN edited OR source = 'manual' THEN 'protected' WHEN NOT deleted THEN 'refreshable' ELSE 'retired' END AS state FROM boxes),
+oc AS (SELECT page_key, box_ord, state, x, y, w, h, line + unnest([-1, 0, 1]) AS near, c FROM (SELECT *, {_CELLS} FROM st)), nc AS (SELECT *, {_CELLS} FROM det),
+iou AS (SELECT o.page_key, o.box_ord, n.det_ord, o.state, (least(o.x + o.w, n.x + n.w) - greatest(o.x, n.x))::BIGINT * (least(o.y + o.h, n.y + n.h) - greatest(o.y, n.y)) AS i, o.w::BIGINT * o.h + n.w::BIGINT * n.h AS s
+ FROM oc o JOIN nc n ON o.page_key = n.page_key AND o.near = n.line AND o.c = n.c AND o.x < n.x + n.w AND n.x < o.x + o.w AND o.y < n.y + n.h AND n.y < o.y + o.h AND floor(greatest(o.x, n.x) / 512) = o.c),
 pairs AS (SELECT *, i / (s - i)::DOUBLE AS iou FROM iou WHERE i / (s - i)::DOUBLE >= 0.5)"""
 
 
-@query(_IOU + " SELECT page_key, old_id, new_id, iou FROM pairs")
+@query(_IOU + " SELECT p.page_key, b.box_id AS old_id, d.box_id AS new_id, iou FROM pairs p JOIN boxes b ON b.page_key = p.page_key AND b.box_ord = p.box_ord JOIN det d ON d.page_key = p.page_key AND d.det_ord = p.det_ord")
 def jon7_iou_pairs(spark, d):
-    tok = _tok(spark, d)
-    return B.iou_pairs(boxes(tok), detected(tok)).select("page_key", F.col("old_box_id").alias("old_id"), F.col("new_box_id").alias("new_id"), "iou")
+    tok = stored(_tok(spark, d))
+    # a box's id is a digest of its place
+    named = lambda ord_: F.substring(F.sha2(F.concat_ws(":", "page_key", F.shiftright(ord_, 32), F.col(ord_).bitwiseAND(F.lit((1 << 32) - 1))), 256), 1, 10)
+    return B.iou_pairs(boxes(tok), detected(tok)).select("page_key", named("box_ord").alias("old_id"), named("det_ord").alias("new_id"), "iou")
 
 
-@query(_IOU + " SELECT page_key, box_id FROM det WHERE (page_key, box_id) NOT IN (SELECT p.page_key, new_id FROM pairs p JOIN boxes b ON b.page_key = p.page_key AND b.box_id = p.old_id WHERE b.edited OR b.source = 'manual')")
+@query(_IOU + ", hit AS (SELECT DISTINCT page_key, det_ord FROM pairs WHERE state = 'protected') SELECT page_key, box_id FROM det ANTI JOIN hit USING (page_key, det_ord)")
 def jon8_protected_suppress(spark, d):
-    tok = _tok(spark, d)
+    tok = stored(_tok(spark, d))
     return B.suppress(detected(tok), boxes(tok)).select("page_key", "box_id")
 
 
-_MERGE = _IOU + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_key, old_id ORDER BY iou DESC, new_id) AS a, row_number() OVER (PARTITION BY page_key, new_id ORDER BY iou DESC, old_id) AS b FROM pairs) WHERE a = 1 AND b = 1),
-st AS (SELECT *, CASE WHEN edited OR source = 'manual' THEN 'protected' WHEN NOT deleted THEN 'refreshable' ELSE 'retired' END AS state FROM boxes),
-k AS (SELECT s.page_key, s.box_id, s.state, s.x, s.y, s.text, p.text AS nt, p.x AS nx, p.y AS ny FROM st s LEFT JOIN best p ON p.page_key = s.page_key AND p.old_id = s.box_id),
-merged AS (SELECT page_key, box_id, CASE WHEN r THEN nx ELSE x END AS x, CASE WHEN r THEN ny ELSE y END AS y, CASE WHEN r THEN nt ELSE text END AS text, CASE WHEN r THEN 'refreshed' ELSE 'kept' END AS outcome FROM (SELECT *, nt IS NOT NULL AND state = 'refreshable' AS r FROM k) WHERE state <> 'refreshable' OR r
-UNION ALL SELECT page_key, 'n' || box_id, x, y, text, 'added' FROM det WHERE (page_key, box_id) NOT IN (SELECT page_key, new_id FROM best))"""
+#: Candidates of refreshable boxes fall into islands of boxes that share detections; each island is worked through in order.
+_MERGE = _IOU.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT page_key, box_ord, list(det_ord ORDER BY iou DESC, det_ord) AS cands, min(det_ord) AS lo, max(det_ord) AS hi FROM pairs WHERE state = 'refreshable' GROUP BY page_key, box_ord),
+i AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY page_key ORDER BY box_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY page_key ORDER BY box_ord) AS island FROM i),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_key, island ORDER BY box_ord) AS k, count(*) OVER (PARTITION BY page_key, island) AS many FROM s),
+long AS (SELECT page_key, island, k, box_ord, cands FROM k WHERE many > 1),
+turn AS (SELECT page_key, island, k, box_ord, cands[1] AS pick, [cands[1]] AS used FROM long WHERE k = 1
+ UNION ALL SELECT l.page_key, l.island, l.k, l.box_ord, list_filter(l.cands, lambda x: NOT list_contains(t.used, x))[1], list_append(t.used, list_filter(l.cands, lambda x: NOT list_contains(t.used, x))[1]) FROM turn t JOIN long l ON l.page_key = t.page_key AND l.island = t.island AND l.k = t.k + 1),
+best AS (SELECT page_key, box_ord, pick AS det_ord FROM turn WHERE pick IS NOT NULL UNION ALL SELECT page_key, box_ord, cands[1] FROM k WHERE many = 1),
+merged AS (SELECT s.page_key, s.box_id, coalesce(d.x, s.x) AS x, coalesce(d.y, s.y) AS y, coalesce(d.w, s.w) AS w, coalesce(d.h, s.h) AS h, coalesce(d.text, s.text) AS text, CASE s.state WHEN 'protected' THEN 'kept' WHEN 'retired' THEN 'carried' ELSE CASE WHEN d.det_ord IS NULL THEN 'retired' ELSE 'refreshed' END END AS outcome
+ FROM st s LEFT JOIN best b ON b.page_key = s.page_key AND b.box_ord = s.box_ord LEFT JOIN det d ON d.page_key = b.page_key AND d.det_ord = b.det_ord
+ UNION ALL SELECT page_key, 'n' || box_id, x, y, w, h, text, 'added' FROM det ANTI JOIN (SELECT page_key, det_ord FROM best UNION ALL SELECT page_key, det_ord FROM pairs WHERE state = 'protected') USING (page_key, det_ord))"""
 
 
 @query(_MERGE + " SELECT * FROM merged")
 def geo2_merge_fast(spark, d):
-    tok = _tok(spark, d)
-    return B.merge_fast(boxes(tok), detected(tok))
+    tok = stored(_tok(spark, d))
+    return B.merge_detection(boxes(tok), detected(tok))
 
 
-@query(_MERGE + " SELECT outcome, count(*) AS n FROM merged GROUP BY outcome")
+@query(_MERGE + " SELECT coalesce(outcome, 'total') AS outcome, count(*) AS n FROM merged GROUP BY ROLLUP (outcome)")
 def agg4_merge_stats(spark, d):
-    return geo2_merge_fast(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    return geo2_merge_fast(spark, d).rollup("outcome").agg(F.count("*").alias("n")).withColumn("outcome", F.coalesce("outcome", F.lit("total")))
 
 
 @query(f"WITH {BOX_SQL} SELECT page_key, list_sort(list(h))[(count(*) // 2 + 1)::INT] AS median_h FROM boxes GROUP BY page_key")
@@ -212,11 +227,11 @@ def set1_vocabulary(spark, d):
     return T.vocabulary(read(spark, d, "benchmark"))
 
 
-_STEMS = f"WITH {TOK_SQL}, {_VOCAB}, stems AS (SELECT DISTINCT word FROM (SELECT {_STEM.format('tok')} AS word FROM tok) WHERE regexp_full_match(word, '[a-z]{{3,24}}'))"
+_STEMS = f"WITH {TOK_SQL}, {_VOCAB}, stems AS (SELECT DISTINCT word FROM (SELECT {_STEM.format('tok')} AS word FROM tok) WHERE regexp_full_match(word, '[a-z]{{2,}}'))"
 
 
 def _stems(spark: SparkSession, d: str) -> DataFrame:
-    return _tok(spark, d).select(T.stem(F.col("tok")).alias("word")).where("word rlike '^[a-z]{3,24}$'").distinct()
+    return _tok(spark, d).select(T.stem(F.col("tok")).alias("word")).where("word rlike '^[a-z]{2,}$'").distinct()
 
 
 #: The forms to look up for each word of a relation {0}.
@@ -250,26 +265,22 @@ _LAB = f"WITH {BOX_SQL}, lab AS (SELECT page_key || '__' || box_id AS image_path
 
 @query(_LAB + " SELECT image_path, text, writer, dense_rank() OVER (ORDER BY writer) - 1 AS wid FROM lab")
 def win3_writer_ids(spark, d):
-    lab = _labels(spark, d)
-    # ranks over the writers, not over their labels: a window on all labels would be one task
-    ids = lab.select("writer").distinct().withColumn("wid", (F.dense_rank().over(W.orderBy("writer")) - 1).cast("long"))
-    return lab.join(ids, "writer").select("image_path", "text", "writer", "wid")
+    return _writers(_labels(spark, d).select("image_path", "text", "writer"))
 
 
-def _running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """WIN-2: exclusive running sum in the order of a column, by range partitions: each is summed alone, then shifted by those before it."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    totals = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = totals.select("_part", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
-    return parts.withColumn("_inside", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+def _writers(labels: DataFrame) -> DataFrame:
+    """WIN-3: labels with wid, the place of their writer among all. Ranks are taken over the writers, not their labels, and a
+    writer with most labels is no join partition of its own: each partition looks its rows up in the written list of writers,
+    broadcast if it is small."""
+    ids = stored(labels.select("writer").distinct().withColumn("wid", (F.dense_rank().over(W.orderBy("writer")) - 1).cast("long")))
+    return labels.join(ids, "writer")
 
 
 @query(_LAB + " SELECT image_path, len(text) AS lb_len, (sum(len(text)) OVER (ORDER BY image_path ROWS UNBOUNDED PRECEDING) - len(text))::BIGINT AS lb_seek, array_to_string(list_transform(string_split(text, ''), lambda c: ord(c)::VARCHAR), ' ') AS codes FROM lab")
 def arr1_pack_offsets(spark, d):
     lab = _labels(spark, d).select("image_path", "text", F.length("text").cast("long").alias("lb_len"))
     codes = F.array_join(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), " ")
-    return _running(lab, "image_path", "lb_len", "lb_seek").select("image_path", "lb_len", "lb_seek", codes.alias("codes"))
+    return running(lab, ["image_path"], "lb_len", "lb_seek").select("image_path", "lb_len", "lb_seek", codes.alias("codes"))
 
 
 @query(_LAB + " SELECT image_path, text, greatest(8, round_even(w * 32.0 / h, 0))::BIGINT AS img_w FROM lab")
@@ -277,17 +288,14 @@ def prj10_resize_width(spark, d):
     return _labels(spark, d).select("image_path", "text", F.greatest(F.lit(8), F.bround(F.col("w") * 32.0 / F.col("h"), 0)).cast("long").alias("img_w"))
 
 
-@query(_LAB + " SELECT count(*) AS samples, count(DISTINCT page_key) AS pages, count(DISTINCT lower(text)) AS words, round(avg(len(text)), 6) AS avg_len, sum(len(text))::BIGINT AS chars FROM lab")
+@query(_LAB + """, c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM lab) SELECT count(*) AS samples, count(*) FILTER (WHERE trim(text) <> '') AS requested, count(DISTINCT page_key) AS pages, count(DISTINCT lower(text)) AS words, round(avg(len(text)), 6) AS avg_len, sum(len(text))::BIGINT AS total, (SELECT count(*) FROM c) AS n_chars, (SELECT string_agg(ch, '' ORDER BY ch) FROM c) AS chars FROM lab""")
 def agg6_dataset_info(spark, d):
     n = F.length("text")
-    return _labels(spark, d).agg(F.count("*").alias("samples"), F.countDistinct("page_key").alias("pages"), F.countDistinct(F.lower("text")).alias("words"), F.round(F.avg(n), 6).alias("avg_len"), F.sum(n).cast("long").alias("chars"))
-
-
-@query(_LAB + f", b AS (SELECT page_key, count(*) AS boxes, count(*) FILTER (WHERE conf < 0.3) AS flagged FROM boxes WHERE NOT deleted GROUP BY page_key), t AS (SELECT page_key, count(*) AS trainable FROM lab GROUP BY page_key) SELECT page_key, boxes, flagged, coalesce(trainable, 0) AS trainable FROM b LEFT JOIN t USING (page_key)")
-def agg5_page_rollup(spark, d):
-    b = B.active(_boxes(spark, d)).groupBy("page_key").agg(F.count("*").alias("boxes"), F.count_if(F.col("conf") < 0.3).alias("flagged"))
-    t = _labels(spark, d).groupBy("page_key").agg(F.count("*").alias("trainable"))
-    return b.join(t, "page_key", "left").fillna({"trainable": 0})
+    lab = stored(_labels(spark, d).select("page_key", "text"))
+    chars = lab.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    one = lab.agg(F.count("*").alias("samples"), F.count_if(F.trim("text") != "").alias("requested"), F.countDistinct("page_key").alias("pages"), F.countDistinct(F.lower("text")).alias("words"), F.round(F.avg(n), 6).alias("avg_len"), F.sum(n).cast("long").alias("total"))
+    both = one.join(chars.hint("broadcast"))  # one row each
+    return both.select("*", F.size("c").cast("long").alias("n_chars"), F.array_join("c", "").alias("chars")).drop("c")
 
 
 @query(_LAB + " SELECT page_key, count(*) AS pending FROM boxes WHERE NOT deleted AND page_key || '__' || box_id NOT IN (SELECT image_path FROM lab) GROUP BY page_key")
@@ -298,9 +306,9 @@ def jon3_resume_pending(spark, d):
 
 @query(_LAB + ", k AS (SELECT greatest(1, round_even(count(*) * 0.1, 0))::BIGINT AS k FROM lab) SELECT image_path, text FROM (SELECT *, row_number() OVER (ORDER BY sha256(image_path || '7'), image_path) AS r FROM lab), k WHERE r <= k")
 def smp1_qa_sample(spark, d):
-    lab = _labels(spark, d)
-    n = lab.count()
-    return lab.orderBy(F.sha2(F.concat("image_path", F.lit("7")), 256), "image_path").limit(min(n, max(1, round(n * 0.1)))).select("image_path", "text")
+    lab = _labels(spark, d).select("image_path", "text", F.sha2(F.concat("image_path", F.lit("7")), 256).alias("draw"))
+    placed = numbered(lab, ["draw", "image_path"], "place", total="n")
+    return placed.where(F.col("place") < F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).select("image_path", "text")
 
 
 @query(_LAB + ", r AS (SELECT image_path, text, CASE WHEN ascii(right(box_id, 1)) % 4 = 0 THEN text || '~' ELSE text END AS again FROM lab) SELECT CASE WHEN text = again THEN 'OK' ELSE 'MISMATCH' END AS status, count(*) AS n FROM r GROUP BY 1")
@@ -354,12 +362,16 @@ def win10_gap_median(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.98), 6) AS p98 FROM events GROUP BY event_type")
 def agg12_percentiles(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p2", 0.02), ("p50", 0.5), ("p98", 0.98))))
+    found = quantiles(read(spark, d, "events"), "event_type", "value", {"p2": 0.02, "p50": 0.5, "p98": 0.98})
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("p2", "p50", "p98")))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("SELECT 'scans' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'labelled', count(*) FROM labels WHERE quality = 1 UNION ALL SELECT 'checkpoints', count(*) FROM events WHERE event_type = 'click' UNION ALL SELECT 'samples', count(*) FROM events WHERE event_type <> 'click'")
 def agg16_status_counts(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Counts over the tables that stand for the folders of scans, labels, checkpoints and samples."""
+    click = F.col("event_type") == "click"
+    parts = {"scans": read(spark, d, "documents"), "labels": read(spark, d, "labels"), "labelled": read(spark, d, "labels").where("quality = 1"), "checkpoints": read(spark, d, "events").where(click), "samples": read(spark, d, "events").where(~click)}
+    return reduce(DataFrame.union, (t.agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k, t in parts.items()))
 
 
 # ---- beyond parity
@@ -377,15 +389,17 @@ def ext_grouping_sets(spark, d):
     return read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().cast("long").alias("g"), F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("SELECT o_orderkey, rank() OVER w AS r, ntile(4) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
+@query("SELECT o_orderkey, rank() OVER w AS r, ntile(4) OVER w AS q, round(percent_rank() OVER w, 9) AS pr, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
 def ext_rank_frames(spark, d):
     w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return read(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("r"), F.ntile(4).over(w).alias("q"))
+    near = W.partitionBy("o_custkey").orderBy("o_totalprice").rangeBetween(-10000, 10000)
+    return read(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("r"), F.ntile(4).over(w).alias("q"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.count("*").over(near).alias("near"))
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+@query("SELECT 'except' AS op, k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)")
 def ext_set_ops(spark, d):
-    return read(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(read(spark, d, "supplier").select("s_nationkey"))
+    a, b = read(spark, d, "customer").select(F.col("c_nationkey").alias("k")), read(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return reduce(DataFrame.union, (df.select(F.lit(op).alias("op"), "k") for op, df in (("except", a.exceptAll(b)), ("intersect", a.intersectAll(b)), ("union", a.union(b).distinct()))))
 
 
 @query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s")
@@ -414,4 +428,4 @@ def ext_stream_tumbling(spark, d):
     return daily_counts(spark, d)
 
 
-from . import sequence_queries, verdict_queries  # noqa: E402, F401
+from . import sequence_queries, verdict_queries, review_queries  # noqa: E402, F401, I001

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
+from ..operators.ranks import numbered
 from ..sources.fixtures import TOK_SQL, boxes, detected, read
+from ..sources.stored import stored
 from .registry import _boxes, _tok, query
 
 _EDGE = S.EDGE.replace("'", "''")
@@ -28,21 +30,12 @@ def txt4_similarity(spark, d):
 @query()
 def txt18_word_sync(spark, d):
     """Each turn of a conversation as an edit of the turn before it."""
-    turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("doc_id"), F.posexplode(F.split("text", r"\s+")).alias("ord", "word"))
-    return S.synced(turns.withColumn("doc_id", F.col("doc_id") + 1), turns)
-
-
-@query()
-def geo2_greedy_merge(spark, d):
-    tok = _tok(spark, d)
-    return S.greedy_merge(boxes(tok), detected(tok))
-
-
-@query()
-def arr5_line_wrap(spark, d):
-    """Every document's words wrapped to 40 units, 1,000 lines a page."""
-    words = _tok(spark, d).select("doc_id", (F.col("ln") * 100000 + F.col("wn")).alias("ord"), F.length("tok").alias("width"), ((F.col("wn") == 0) & (F.col("ln") > 0)).cast("int").alias("nl"), F.lit(0).alias("tabs"))
-    return S.wrapped(words, 0.0, 40.0, 999, 1.0, 4.0)
+    words = F.posexplode(F.split("text", r"\s+")).alias("ord", "word")
+    turns = stored(read(spark, d, "conversations").select("conv_id", "turn", words))
+    number = numbered(turns.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "doc_id")
+    after = turns.join(number, ["conv_id", "turn"]).select("doc_id", "ord", "word")
+    before = turns.withColumn("turn", F.col("turn") + 1).join(number, ["conv_id", "turn"]).select("doc_id", "ord", "word")
+    return S.synced(before, after)
 
 
 @query()
@@ -50,7 +43,3 @@ def noi1_unit_noise(spark, d):
     return read(spark, d, "documents").select("doc_id", S.unit_noise(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("u"), S.drift(F.lit(7), F.col("doc_id") % 9, F.col("doc_id") / 8, 0.5).alias("drift"))
 
 
-@query(f"WITH {TOK_SQL} SELECT doc_id, array_to_string(list(tok ORDER BY wn), ' ') AS line, ln FROM tok GROUP BY doc_id, ln")
-def txt15_rebuilt_lines(spark, d):
-    run = F.array_sort(F.collect_list(F.struct("wn", "tok")))
-    return _tok(spark, d).groupBy("doc_id", "ln").agg(F.array_join(F.transform(run, lambda s: s["tok"]), " ").alias("line"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokens(documents: DataFrame) -> DataFrame:
     """doc_id, ln, wn, tok: words between single spaces of every line, with 0-based places; empty ones are left out."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    lines = spread(documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     return lines.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("wn", "tok")).where("tok <> ''")
 
 
@@ -33,18 +35,28 @@ def boxes(tok: DataFrame) -> DataFrame:
         F.when((ln + wn) % 29 == 0, "manual").otherwise("detected").alias("source"),
         ((d + wn) % 13 == 0).alias("edited"),
         ((d + ln + wn) % 37 == 0).alias("deleted"),
+        (ln.cast("long") * (1 << 32) + wn).alias("box_ord"),
     )
 
 
+def crops(tok: DataFrame) -> DataFrame:
+    """boxes with the ink, contrast and focus that a segmenter would measure."""
+    d = F.col("page_key").cast("long")
+    ln, wn = F.col("line"), F.col("word")
+    return boxes(tok).withColumns({"ink": (d * 3 + ln * 5 + wn * 7) % 80 / F.lit(100.0), "contrast": ((d * 11 + ln + wn * 13) % 160).cast("double"), "focus": ((d * 17 + ln * 3 + wn * 5) % 300).cast("double")})
+
+
 def detected(tok: DataFrame) -> DataFrame:
     """A second detection of the same words: shifted, some missing, some read otherwise; det_ord is its order."""
     old = boxes(tok).withColumn("doc", F.col("page_key").cast("long")).where("(doc + word) % 11 <> 0")
-    return old.select("page_key", "box_id", (F.col("x") + F.col("word") % 5 - 2).alias("x"), (F.col("y") + F.col("line") % 3 - 1).alias("y"), "w", "h", F.when((F.col("line") + F.col("word")) % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"), "line", "word")
+    return old.select("page_key", "box_id", (F.col("x") + F.col("word") % 5 - 2).alias("x"), (F.col("y") + F.col("line") % 3 - 1).alias("y"), "w", "h", F.when((F.col("line") + F.col("word")) % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"), "line", "word", F.col("box_ord").alias("det_ord"))
 
 
 TOK_SQL = """tok AS (SELECT doc_id, ln, wn, string_split(lines[ln + 1], ' ')[wn + 1] AS tok FROM (SELECT doc_id, ln, lines, unnest(range(len(string_split(lines[ln + 1], ' ')))) AS wn
   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents)) WHERE tok <> '')"""
 BOX_SQL = TOK_SQL + """, boxes AS (SELECT doc_id::VARCHAR AS page_key, substr(sha256(doc_id || ':' || ln || ':' || wn), 1, 10) AS box_id, (wn * 60)::INT AS x, (ln * 40 + (doc_id * 7 + wn * 3) % 5)::INT AS y,
   (length(tok) * 10)::INT AS w, (24 + (doc_id + wn) % 5)::INT AS h, tok AS text, ((doc_id * 31 + ln * 17 + wn * 7) % 100) / 100.0::DOUBLE AS conf, ln::INT AS line, wn::INT AS word,
-  CASE WHEN (ln + wn) % 29 = 0 THEN 'manual' ELSE 'detected' END AS source, (doc_id + wn) % 13 = 0 AS edited, (doc_id + ln + wn) % 37 = 0 AS deleted FROM tok)"""
-DET_SQL = BOX_SQL + """, det AS (SELECT page_key, box_id, x + word % 5 - 2 AS x, y + line % 3 - 1 AS y, w, h, CASE WHEN (line + word) % 17 = 0 THEN text || 'x' ELSE text END AS text, line, word FROM boxes WHERE (page_key::BIGINT + word) % 11 <> 0)"""
+  CASE WHEN (ln + wn) % 29 = 0 THEN 'manual' ELSE 'detected' END AS source, (doc_id + wn) % 13 = 0 AS edited, (doc_id + ln + wn) % 37 = 0 AS deleted, ln::BIGINT * 4294967296 + wn AS box_ord FROM tok)"""
+CROP_SQL = BOX_SQL + """, crops AS (SELECT *, ((page_key::BIGINT * 3 + line * 5 + word * 7) % 80) / 100.0::DOUBLE AS ink, ((page_key::BIGINT * 11 + line + word * 13) % 160)::DOUBLE AS contrast,
+  ((page_key::BIGINT * 17 + line * 3 + word * 5) % 300)::DOUBLE AS focus FROM boxes)"""
+DET_SQL = BOX_SQL + """, det AS (SELECT page_key, box_id, x + word % 5 - 2 AS x, y + line % 3 - 1 AS y, w, h, CASE WHEN (line + word) % 17 = 0 THEN text || 'x' ELSE text END AS text, line, word, box_ord AS det_ord FROM boxes WHERE (page_key::BIGINT + word) % 11 <> 0)"""

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import shared_path
+
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling one-day windows of the event stream, read to its end; the state and its checkpoint live in the shared folder."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*")
     windows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/folioflow-shared"
-    path, out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}", []
+    path, out = shared_path(spark), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/{number}")

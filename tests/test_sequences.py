@@ -4,8 +4,13 @@ import hashlib
 import itertools
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from folioflow.functions import verdicts as V
+from folioflow.operators import boxes as B
 from folioflow.operators import sequences as S
+from folioflow.operators.ranks import numbered, quantiles, running
 from folioflow.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -36,19 +41,102 @@ def test_common_subsequence_is_longest():
         assert len(got) == longest
 
 
-def test_greedy_merge_takes_boxes_in_order(spark):
-    shape = "page_key string, box_id string, x int, y int, w int, h int, text string, line int, word int"
-    old = spark.createDataFrame([("p", "a", 0, 0, 10, 10, "a", 0, 0, "detected", False, False), ("p", "b", 1, 0, 10, 10, "b", 0, 1, "detected", False, False), ("p", "m", 50, 0, 10, 10, "m", 0, 2, "manual", False, True), ("p", "gone", 90, 0, 10, 10, "g", 0, 3, "detected", False, True)], shape + ", source string, edited boolean, deleted boolean")
-    new = spark.createDataFrame([("p", "n1", 1, 0, 10, 10, "one", 0, 0), ("p", "n2", 51, 0, 10, 10, "two", 0, 1), ("q", "n3", 5, 5, 5, 5, "three", 0, 0)], shape)
-    got = {(r.page_key, r.box_id): (r.text, r.outcome) for r in S.greedy_merge(old, new).collect()}
-    assert got == {("p", "m"): ("m", "kept"), ("p", "a"): ("one", "refreshed"), ("p", "b"): ("b", "retired"), ("q", "n3"): ("three", "added")}
-    assert S.greedy_merge(old.limit(0), new.limit(0)).count() == 0
-
-
-def test_greedy_merge_equals_fast_merge_where_boxes_are_apart(spark):
-    greedy = {(r.page_key, r.text, r.x, r.y) for r in QUERIES["geo2_greedy_merge"](spark, DATA).where("outcome = 'refreshed'").collect()}
-    fast = {(r.page_key, r.text, r.x, r.y) for r in QUERIES["geo2_merge_fast"](spark, DATA).where("outcome = 'refreshed'").collect()}
-    assert greedy == fast and greedy
+SHAPE = "page_key string, box_id string, x int, y int, w int, h int, text string"
+
+
+def merged_by_hand(old, new):
+    """The rules, one box at a time."""
+    out, used = [], set()
+
+    def iou(a, b):
+        w, h = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]), min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
+        return w * h / (a[4] * a[5] + b[4] * b[5] - w * h) if w > 0 and h > 0 else 0.0
+
+    guarded = [o for o in old if o[7] == "manual" or o[8]]
+    for o in sorted(old, key=lambda o: o[10]):
+        if o in guarded or o[9]:
+            out.append((o[0], o[1], o[2], o[6], "kept" if o in guarded else "carried"))
+            continue
+        free = [n for n in new if n[0] == o[0] and n not in used and iou(o, n) >= 0.5]
+        if free:
+            n = max(free, key=lambda n: (iou(o, n), -n[7]))
+            used.add(n)
+            out.append((o[0], o[1], n[2], n[6], "refreshed"))
+        else:
+            out.append((o[0], o[1], o[2], o[6], "retired"))
+    out += [(n[0], "n" + n[1], n[2], n[6], "added") for n in new if n not in used and not any(g[0] == n[0] and iou(g, n) >= 0.5 for g in guarded)]
+    return sorted(out)
+
+
+def test_merge_in_stored_order(spark):
+    rng = random.Random(3)
+    old, new = [], []
+    for page in "pqr":
+        for i in range(40):
+            old.append((page, f"o{i}", rng.randrange(60), rng.randrange(8), 20, 10, f"t{i}", rng.choice(["manual", "detected", "detected", "detected"]), rng.random() < 0.1, rng.random() < 0.2, i))
+            if i % 5:
+                new.append((page, f"d{i}", rng.randrange(60), rng.randrange(8), 20, 10, f"u{i}", i))
+    a = spark.createDataFrame(old, SHAPE + ", source string, edited boolean, deleted boolean, box_ord long")
+    b = spark.createDataFrame(new, SHAPE + ", det_ord long")
+    got = sorted((r.page_key, r.box_id, r.x, r.text, r.outcome) for r in B.merge_detection(a, b).collect())
+    assert got == merged_by_hand(old, new) and {x[4] for x in got} == {"kept", "refreshed", "retired", "carried", "added"}
+    assert B.merge_detection(a.limit(0), b.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts, adaptive", [(8, "true"), (16, "false"), (64, "true")])
+def test_running_sums_do_not_depend_on_partitions(spark, parts, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2048")
+        rows = [(f"k{i * 7919 % 5000:05}", i % 9) for i in range(5000)]
+        frame = spark.createDataFrame(rows, "k string, n int").withColumn("long_text", F.repeat("k", 20))
+        got = [(r.k, r.at) for r in running(frame, ["k"], "n", "at").select("k", "at").collect()]
+        at, want = 0, []
+        for k, n in sorted(rows):
+            want.append((k, at))
+            at += n
+        assert sorted(got) == want
+        assert numbered(frame.limit(0), ["k"]).count() == 0
+        q = quantiles(spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", None), ("c", 4.0)], "g string, v double"), "g", "v", {"p": 0.25, "m": 0.5}).collect()
+        assert {(r.g, r.p, r.m) for r in q} == {("a", 2.25, 4.5), ("c", 4.0, 4.0)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_alignment_equals_full_search():
+    """Against the best score over all local alignments of short lines, by recursion."""
+    rng = random.Random(6)
+    for _ in range(40):
+        texts, words = (["".join(rng.choice("abc1") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 5))] for _ in range(2))
+
+        def best(i, j):
+            """Best score of an alignment that ends before box i and word j."""
+            found = [0.0]
+            if i and j:
+                s = S.likeness(texts[i - 1], words[j - 1])
+                found.append(best(i - 1, j - 1) + s - 0.4)
+                if i > 1:
+                    two = S.likeness(texts[i - 2] + texts[i - 1], words[j - 1])
+                    if two >= max(s, S.likeness(texts[i - 2], words[j - 1])) + 0.1:
+                        found.append(best(i - 2, j - 1) + 2 * (two - 0.4) - 0.1)
+                found += [best(i - 1, j) - 0.35, best(i, j - 1) - 0.25]
+            return max(found)
+
+        top = max(best(i, j) for i in range(len(texts) + 1) for j in range(len(words) + 1))
+        got = S.aligned(texts, words)
+        places = [w for w, _, _ in got if w is not None]
+        assert places == sorted(places)
+        used = [i for i, (w, _, _) in enumerate(got) if w is not None]
+        if not used:
+            assert top < 1e-9
+            continue
+        pairs = {w: [i for i in used if got[i][0] == w] for w in places}
+        earned = sum(got[v[0]][1] - 0.4 if len(v) == 1 else 2 * (got[v[0]][1] - 0.4) - 0.1 for v in pairs.values())
+        cost = 0.35 * (used[-1] - used[0] + 1 - len(used)) + 0.25 * (places[-1] - places[0] + 1 - len(pairs))
+        assert abs(earned - cost - top) < 1e-9
 
 
 def test_wrap_against_a_loop(spark):
@@ -90,5 +178,5 @@ def test_verdicts_and_suggestions(spark):
 
 
 def test_queries_without_sql_run(spark):
-    for name in ("txt4_similarity", "txt18_word_sync", "arr5_line_wrap"):
+    for name in ("txt4_similarity", "txt18_word_sync"):
         assert QUERIES[name](spark, DATA).count() > 0, name
