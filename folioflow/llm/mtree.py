@@ -7,24 +7,27 @@ A query visits pages by their least possible distance; an entry whose stored dis
 the triangle inequality is left without computing its own. Scores are integers, computed exactly, ties to the smaller id;
 pruning keeps a margin above rounding errors.
 
-Queries go to every tree in blocks of rows, and start with a bound from a bounded sample, the same for all trees: the k-th best
-score among SAMPLE rows is no more than the k-th best of all. Trees return k rows a query, which a window ranks.
+Rows go to trees by the nearest of as many pivots, taken from the sample below, so that a tree covers a region and its root can
+rule it out; a region of too many rows (one vector many times over) is dealt to several trees. Each tree is a task. Queries go
+to every tree in blocks of rows, and start with a bound from a bounded sample, the same for all trees: the k-th best score among
+SAMPLE rows is no more than the k-th best of all. Trees return k rows a query, which a window ranks.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import written
 
-PAGE = 64
+PAGE = 256
 FANOUT = 16
 SAMPLE = 1024
 QUERY_BLOCK = 512
@@ -39,8 +42,10 @@ class Node:
 
 class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, bound: float) -> None:
-        self.ids, self.vectors, self.bound = ids, vectors, bound
+        self.ids, self.bound = ids, bound
         flat = vectors.astype(np.float64)
+        # no partial sum of an inner product exceeds bound, and doubles hold whole numbers below 2**53 exactly
+        self.vectors = flat if bound < 1 << 53 else vectors
         self.points = np.concatenate([flat, np.sqrt(np.maximum(bound - (flat**2).sum(1), 0))[:, None]], 1)
         self.root = self._build(np.arange(len(ids)), 0) if len(ids) else None
 
@@ -73,7 +78,7 @@ class MTree:
         """(score, id) of the k best rows but the query's own; fewer if the others score below `least`."""
         if self.root is None:
             return []
-        point = np.append(query.astype(np.float64), 0.0)
+        point, own_query = np.append(query.astype(np.float64), 0.0), query.astype(self.vectors.dtype)
         base = float((point**2).sum()) + self.bound
         best: list[tuple[int, int]] = []  # heap of (score, -id)
 
@@ -92,7 +97,7 @@ class MTree:
             near = np.abs(d - node.to_pivot)
             if node.rows is not None:
                 rows = node.rows[near <= limit]
-                scores = self.vectors[rows] @ query
+                scores = self.vectors[rows] @ own_query
                 floor = best[0][0] if len(best) == k else -(1 << 62)
                 floor = max(floor, least) if least is not None else floor
                 for i in np.flatnonzero(scores >= floor).tolist():
@@ -123,13 +128,36 @@ def _matrix(column: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _labels(spark: SparkSession, trees: int) -> Column:
+    """An array of integers, one for each tree, whose hashes fall into as many partitions one by one."""
+    found = spark.range(64 * trees).select(F.col("id").cast("int").alias("label")).select("label", F.pmod(F.hash("label"), F.lit(trees)).alias("p"))
+    least = {r.p: r.label for r in found.groupBy("p").agg(F.min("label").alias("label")).collect()}
+    spare = iter(set(range(trees)) - set(least.values()))
+    return F.array(*(F.lit(least[p] if p in least else next(spare)) for p in range(trees)))
+
+
+def _regions(held: Broadcast, width: int, trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the number of the nearest pivot among the first of the sample."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = np.unique(held.value[1][:trees].astype(np.float64), axis=0)
+        half = (pivots**2).sum(1) / 2
+        for batch in batches:
+            region = (_matrix(batch.column(1).to_pylist(), width).astype(np.float64) @ pivots.T - half).argmax(1) if len(pivots) else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(region.astype(np.int32))], names=["vec_id", "v", "region"])
+
+    return near
+
+
 def nearest_by_inner_product(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, trees: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest inner products of every query with all other rows.
 
-    vectors: vec_id, embedding. A component x counts as floor(scale * x) as an integer (below 2**31 in size). Queries are the rows
+    vectors: vec_id, embedding. A component x counts as floor(scale * x) as an integer; vectors whose inner products 64 bits can't
+    hold are an error. Queries are the rows
     whose vec_id is divisible by query_every. Rows with a null id, a null vector, or a null or non-finite component take no part; shorter
     vectors count as filled up with 0; repeated ids are rows of their own, except that none is compared with a query of its
-    id; ties go to the smaller vec_id. A query alone in the table has no row; an empty table gives an empty result.
+    id; ties go to the smaller vec_id. A query alone in the table has no row; other columns, whatever their names, are ignored; an
+    empty table gives an empty result.
     """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
@@ -141,6 +169,8 @@ def nearest_by_inner_product(vectors: DataFrame, k: int = 10, query_every: int =
 
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x)).alias("norm")).first()
     width, bound = int(size.width or 0), float(size.norm or 0.0)
+    if bound >= 1 << 62:
+        raise ValueError(f"squared norms of up to {bound:.3g} leave 64 bits")
     trees = trees or max(1, -(-size.n // 16384), vectors.sparkSession.sparkContext.defaultParallelism)
     rows = written(rows.mapInArrow(packed, "vec_id long, v binary"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().to_pylist()
@@ -158,7 +188,15 @@ def nearest_by_inner_product(vectors: DataFrame, k: int = 10, query_every: int =
 
     queries = rows.where(f"vec_id % {query_every} = 0").distinct().mapInArrow(bounded, "ids binary, queries binary, least binary")
     sent = queries.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    parts = rows.withColumn("tree", F.pmod(F.hash("vec_id", "v"), F.lit(trees)))
+    labels = _labels(vectors.sparkSession, trees)
+    sent = sent.withColumn("tree", F.element_at(labels, F.col("tree") + 1))
+    dealt = written(rows.mapInArrow(_regions(held, width, trees), "vec_id long, v binary, region int"))
+    # a region's share of the trees: one, or as many as its rows are worth
+    sizes = dealt.groupBy("region").agg(F.count("*").alias("n")).withColumn("n", F.ceil(F.col("n") * trees / max(1, size.n)))
+    upto = F.sum("n").over(W.orderBy("region").rowsBetween(W.unboundedPreceding, 0))
+    sizes = sizes.withColumn("first", upto - F.col("n"))  # at most as many rows as trees
+    place = F.pmod(F.col("first") + F.pmod(F.hash("vec_id", "v"), F.col("n")), F.lit(trees)).cast("int")
+    parts = dealt.join(F.broadcast(sizes), "region").select("vec_id", "v", F.element_at(labels, place + 1).alias("tree"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         tree = MTree(left.column("vec_id").to_numpy(), _matrix(left.column("v").to_pylist(), width), bound)

@@ -4,7 +4,7 @@ Accepted and rejected URLs are those that the rules decide. Each class has count
 alphabet (A symbols, so that no table exceeds A**3 rows however many URLs there are); a character's probability mixes the
 longest context with shorter ones by Witten and Bell's weights. A URL's score is its mean log-likelihood difference per
 character, and the threshold is the one with the least sum of both error rates on the URLs with a rule. DataFrame
-functions only: the score is one pass with a broadcast of the bounded table, summed where the URL was read.
+functions only: one pass with a broadcast of the bounded table sums each URL where it was read, and one row a URL is exchanged.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -
 def trigrams(url: Column) -> Column:
     """Codes of every character with the two before it."""
     symbols = F.transform(F.split(F.translate(F.coalesce(url, F.lit("")), UPPER, SMALL), ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    symbols = F.filter(symbols, lambda c: c >= 0)
+    symbols = F.when(F.length(url) > 0, symbols).otherwise(F.array().cast("array<int>"))  # '' splits into one empty string
     before = F.concat(F.array(F.lit(A - 1), F.lit(A - 1)), symbols)
     return F.transform(symbols, lambda c, i: (F.get(before, i) * A + F.get(before, i + 1)) * A + c)
 
@@ -86,7 +86,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     # at most 2 * BINS + 1 rows
     errors = bins.select("bin", F.coalesce(F.sum("good").over(below), F.lit(0)).alias("lost"), (F.sum("bad").over(every) - F.coalesce(F.sum("bad").over(below), F.lit(0))).alias("kept"), F.sum("good").over(every).alias("goods"), F.sum("bad").over(every).alias("bads")).where("goods > 0 and bads > 0")
-    best = errors.orderBy(F.col("lost") / F.col("goods") + F.col("kept") / F.col("bads"), F.abs("bin")).first()
+    best = errors.orderBy(F.col("lost") / F.col("goods") + F.col("kept") / F.col("bads"), F.abs("bin"), "bin").first()
     threshold = best.bin / 100 if best else 0.0
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")

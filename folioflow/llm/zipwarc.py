@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +69,7 @@ class Range:
         if isinstance(source, str):
             from pyarrow import fs
 
-            system, path = fs.FileSystem.from_uri(source if "://" in source else f"file://{source}")
+            system, path = fs.FileSystem.from_uri(source) if "://" in source else (fs.LocalFileSystem(), source)
             self.file, self.size = system.open_input_file(path), system.get_file_info(path).size
         else:
             self.file, self.size = pa.BufferReader(source), len(source)
@@ -164,14 +165,19 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes the WARC archives of pages (page_id, url, html) below path, as archive=<n>/*.
 
     Of pages with equal payloads (UTF-8 of html, null as empty) of at least min_bytes, that with the largest page_id is a
-    response and the others, repeated ids too, are revisits of it; smaller payloads are always responses. A hot payload is
-    counted before it is shuffled, and its rows need not meet: the join's partition can be split.
+    response and the others are revisits of it; smaller payloads are always responses. Null ids are less than any other. Rows
+    that share the largest id too, as repeated rows do, are responses alike. A hot payload is counted before it is
+    shuffled, and its rows need not meet: the join's partition can be split. Very long
+    payloads are records of their own; an empty table writes nothing; other columns, whatever their names, are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("long", F.octet_length("payload") >= min_bytes)
-    groups = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    groups = groups.where(F.octet_length("payload") >= min_bytes).groupBy(F.unhex(F.sha1("payload")).alias("sha1")).agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "last")
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    each = ids.where(F.octet_length("payload") >= min_bytes).select("page_id", F.unhex(F.sha1("payload")).alias("sha1"))
+    last = F.max(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", F.lit(1).alias("one")))
+    groups = each.groupBy("sha1").agg(last.alias("last"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "last.page_id", F.lit(True).alias("copied")).withColumnRenamed("page_id", "last")
     marked = rows.join(groups, "sha1", "left")
+    first = F.col("copied").isNull() | F.col("page_id").eqNullSafe(F.col("last"))
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,9 +190,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["archive", "value"])
 
         for batch in batches:
-            for sha1, page, url, payload, _, last in zip(*(c.to_pylist() for c in batch.columns)):
+            for sha1, page, url, payload, last, first in zip(*(c.to_pylist() for c in batch.columns)):
                 name = base64.b32encode(sha1).decode()
-                kind = "response" if last is None or page == last else "revisit"
+                kind = "response" if first else "revisit"
                 record = record_bytes(page, url, kind, payload, name, last)
                 index.append(f"{page} " + json.dumps({"offset": len(held), "length": len(record), "digest": name}) + "\n")
                 held += record
@@ -197,26 +203,33 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         if seen:
             yield close()
 
-    out = marked.select("sha1", "page_id", "url", "payload", "long", "last").mapInArrow(archives, "archive long, value binary")
+    out = marked.select("sha1", "page_id", "url", "payload", "last", first.alias("first")).mapInArrow(archives, "archive long, value binary")
     out.select("archive", F.col("value").cast("string").alias("value")).write.partitionBy("archive").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below path: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    payload_bytes and payload_digest are the whole payload's; payload is null for a revisit. Files are listed by Spark;
-    executors open them by ranges where pyarrow knows the file system, else Spark reads them whole.
+    payload_bytes and payload_digest are the whole payload's; payload is null for a revisit, page_id and refers_to where they were
+    null. Files are listed by Spark; executors open them by ranges where pyarrow knows the file system, else Spark reads them
+    whole. Blanks and other characters of a path may be encoded; an archive without a record gives no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     direct = path.split(":")[0] in ("file", "s3", "s3a", "gs", "hdfs") or path.startswith("/")
+
+    def opened(place: str) -> str:
+        """A path or URI as pyarrow takes it."""
+        if place.startswith("file:"):
+            return unquote(re.sub("^file:/+", "/", place))
+        return re.sub("^s3a:", "s3:", place)
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, size = [], 0
-                for head, payload in records(Range(re.sub("^file:/+", "/", place) if content is None else content)):
-                    number = lambda k: int(head[k].rpartition(":")[2].rstrip(">")) if k in head else None
+                for head, payload in records(Range(opened(place) if content is None else content)):
+                    number = lambda k: int(found[1]) if (found := re.search("([0-9-]+)>$", head.get(k, ""))) else None
                     response = head["warc-type"] == "response"
                     name = head["warc-payload-digest"].removeprefix("sha1:")
                     if response and (digest(payload) != name or len(payload) != int(head["x-payload-length"])):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +85,23 @@ def test_jaccard(spark):
     assert jaccard_components(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_and_odd_vectors(spark):
+    hot = [0.5, -0.25, 0.125]
+    rows = [(i, hot, i, i) for i in range(300)] + [(1000 + i, [float(i), 1.0, 0.0], 0, 0) for i in range(20)] + [(2000, [float("inf"), 0.0, 0.0], 0, 0), (2100, [float("-inf")], 0, 0), (2200, [], 0, 0), (2300, [1.0], 0, 0), (1000, [3.0, 1.0, 0.0], 0, 0), (None, hot, 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long, rank int")
+    got = {}
+    for r in mtree.nearest_by_inner_product(df, trees=5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    ints = [(i, np.floor(1024 * np.array((v + [0.0] * 3)[:3]))) for i, v, *_ in rows if i is not None and i not in (2000, 2100)]
+    for q in {i for i, _ in ints if i % 100 == 0}:
+        for own in [v for i, v in ints if i == q][:1]:
+            best = sorted((-int(own @ v), i) for i, v in ints if i != q)[:10]
+            if q != 1000:  # two vectors of one id are two queries
+                assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(best)}
+    with pytest.raises(ValueError):
+        mtree.nearest_by_inner_product(spark.createDataFrame([(1, [3e7]), (2, [3e7])], "vec_id long, embedding array<double>")).count()
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     x = [(i, [float(v) for v in r.normal(size=6)]) for i in range(350)] + [(400 + i, [1.0] * 6) for i in range(40)] + [(900, None), (901, [float("nan")] * 6), (902, [None, 1.0])]
@@ -232,6 +250,44 @@ def test_classifiers(spark, model):
     assert (toxicity.severities(df, empty) if model == "toxicity" else quality.quality_scores(df, empty)).count() == 242
 
 
+def test_scores_equal_plain_loops(spark):
+    """Toxicity grades and quality scores of the trained weights, feature by feature."""
+    import math
+
+    rows = [(i, " ".join(words(40, i) + (["Vile,", "vile", "scoundrel"] * (i % 3) if i % 4 == 0 else [])), "a") for i in range(120)] + [(900, None, "a"), (901, " ", "a"), (902, "long " * 300_000, "a"), (5, words(3, 1)[0], "a")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 != 0)) for i in range(90)] + [(7, 1, 0), (None, 1, 1), (8, None, None)], "doc_id long, toxic int, quality int")
+    df = docs(spark, rows)
+    weights, t = toxicity.train(df, labels)
+    graded = {(x.doc_id, x.text): x for x in toxicity.severities(df, labels, keep=("doc_id", "text")).collect()}
+    bias = quality.train(df, labels)
+    scored = {(x.doc_id, x.text): x.score for x in quality.quality_scores(df, labels, keep=("doc_id", "text")).collect()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for i, text, _ in rows:
+        own = toxicity.Words(toxicity.pa.array([text]), toxicity.PUNCT)
+        seen = Counter(int(f) >> (64 - toxicity.BITS) for f in toxicity.terms(own)[1].tolist())
+        s = sum(float(weights[f]) * math.log2(1 + n) for f, n in seen.items())
+        over = [1 - sig(x - s) for x in t]
+        share = [1 - over[0], *(a - b for a, b in zip(over, over[1:])), over[-1]]
+        r = graded[i, text]
+        assert abs(r.severity - sum(over)) < 1e-4 and r.grade == max(range(len(share)), key=lambda k: share[k]) and r.toxic == (over[0] > 0.5)
+        own = quality.Words(quality.pa.array([text]))
+        grams = [int(f) >> (64 - quality.BITS) for f in quality.ngrams(own)[1].tolist()]
+        want = sig(float(bias[-1]) + quality.SCALE * sum(float(bias[f]) for f in grams) / max(1, len((text or "").split())))
+        assert abs(scored[i, text] - want) < 1e-4
+    named = spark.createDataFrame([(str(i), t) for i, t, _ in rows], "doc_id string, text string")
+    by_name = labels.withColumn("doc_id", labels.doc_id.cast("string"))
+    assert toxicity.severities(named, by_name).count() == quality.quality_scores(named, by_name).count() == len(rows)
+    assert toxicity.severities(df.limit(0), labels).count() == quality.quality_scores(df.limit(0), labels).count() == 0
+
+
+def test_mixing_of_empty_and_repeated_rows(spark):
+    assert mixing.mixture(docs(spark, []).limit(0)).count() == 0
+    assert {(r["size"], r.taken, r.target) for r in mixing.mixture(docs(spark, [(1, None, "a"), (2, " ", None)])).collect()} == {(0, 0, 0.0)}
+    rows = [(1, "a b c", "x")] * 3 + [(2, "d e f g", "y"), (None, "h i", "y")]
+    out = mixing.mixture(docs(spark, rows)).collect()
+    assert len(out) == 5 and all(0 <= r.taken <= 2 * r["size"] for r in out)
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(words(50 + i % 7, i)), ["a", "b", "c", None][i % 4 if i < 40 else 0]) for i in range(200)] + [(500, None, "z"), (501, "", "z")]
     out = mixing.mixture(docs(spark, rows)).collect()
@@ -278,6 +334,20 @@ def test_warc(spark, tmp_path):
     assert bytes(got[5].payload).decode() == "é\r\n\r\nz"
 
 
+def test_warc_of_odd_rows(spark, tmp_path):
+    rows = [(None, None, "same", "x"), (7, "u", "same", "x"), (7, "u", "same", "x"), (3, "v", "same", "x"), (None, "w", None, "x"), (5, "l", "long " * 400_000, "x")]
+    folder = f"{tmp_path}/a folder/ünï"
+    zipwarc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string").repartition(2), folder)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in zipwarc.read_archives(spark, folder).collect()), key=str)
+    assert got == sorted([(None, "revisit", 7, 4), (7, "response", None, 4), (7, "response", None, 4), (3, "revisit", 7, 4), (None, "response", None, 0), (5, "response", None, 2_000_000)], key=str)
+    empty = f"{tmp_path}/empty"
+    zipwarc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert zipwarc.read_archives(spark, empty).count() == 0
+    small = f"{tmp_path}/small"
+    zipwarc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string"), small, min_bytes=5)
+    assert {r.record_type for r in zipwarc.read_archives(spark, small).collect()} == {"response"}
+
+
 def test_html():
     page = "<head><title>t</title></head><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<br>three<p>four<script>x</script><div class='ad'>buy</div><p>five</article><section class=comments>hi</section><footer>f</footer>"
     assert html_text.blocks(page) == (["A & B", "one two three", "four", "five"], False)
@@ -414,6 +484,78 @@ def test_urls(spark):
     assert (got[1].host, got[1].path) == ("a.example.org", "/en/12") and (got[5].host, got[6].host, got[7].path) == ("", "", "")
 
 
+def test_url_scores_equal_brute_force(spark):
+    """Witten and Bell's mixture of one to three characters by plain loops, and the threshold of least error."""
+    import math
+
+    r = random.Random(9)
+    pages = ["http://www.a.org/" + "".join(r.choice("abcdefg/") for _ in range(r.randrange(1, 12))) for _ in range(40)]
+    pages += ["http://x.com/de/" + "".join(r.choice("fghijk-%") for _ in range(r.randrange(1, 12))) for _ in range(40)]
+    pages += ["https://n.net/" + "".join(r.choice("abcdefghijk/É") for _ in range(9)) for _ in range(40)] + [None, "", "x" * 5000, "http://n.net/q"]
+    got = {x.page_id: x for x in url_filter.judged(spark.createDataFrame([(i, u, 0.0, "t") for i, u in enumerate(pages)], "page_id long, url string, score double, t string")).collect()}
+    a = url_filter.A
+
+    def codes(url):
+        s = [url_filter.ALPHABET.find(c.lower() if c.isascii() else c) + 1 for c in url or ""]
+        return list(zip([a - 1, a - 1, *s], [a - 1, *s], s))
+
+    counts = {label: [Counter(), Counter(), Counter()] for label in ("allow", "block")}
+    for i, u in enumerate(pages):
+        if got[i].rule:
+            for x in codes(u):
+                for k in range(3):
+                    counts[got[i].verdict][k][x[2 - k :]] += 1
+
+    def chance(label, x):
+        p = 1 / a
+        for k in range(3):
+            seen = {y: n for y, n in counts[label][k].items() if y[:-1] == x[2 - k : 2]}
+            total, kinds = sum(seen.values()), len(seen)
+            if total:
+                p = (seen.get(x[2 - k :], 0) + kinds * p) / (total + kinds)
+        return p
+
+    score = {i: (sum(math.log(chance("allow", x)) - math.log(chance("block", x)) for x in codes(u)) / len(codes(u)) if u else 0.0) for i, u in enumerate(pages)}
+    assert all(abs(got[i].score - s) < 1e-9 for i, s in score.items()) and got[120].score == got[121].score == 0.0
+    known = [(math.floor(min(max(got[i].score * 100, -200), 200)), got[i].verdict == "allow") for i in score if got[i].rule]
+
+    def cost(b):
+        lost, kept = sum(g and x < b for x, g in known), sum(not g and x >= b for x, g in known)
+        return lost / sum(g for _, g in known) + kept / sum(not g for _, g in known)
+
+    best = min({x for x, _ in known}, key=lambda b: (cost(b), abs(b), b)) / 100
+    assert all(got[i].verdict == ("allow" if got[i].score >= best else "block") for i in score if not got[i].rule)
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judged(empty).count() == 0
+
+
+def test_licenses_equal_brute_force(spark):
+    """Every window of every template's length, shifted by half of it, against all templates."""
+    r = random.Random(4)
+    rows = []
+    for i in range(60):
+        n = r.randrange(len(licenses.TEMPLATES))
+        w = licenses._words(licenses.TEMPLATES[n][1])
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = "zzz"
+        rows.append((i, " ".join([*words(r.randrange(80), i), *w, *words(r.randrange(80), 99 + i)]), "a"))
+    rows += [(100, None, "a"), (101, "", "a"), (102, " ".join(words(50_000, 3)) + " " + licenses.TEMPLATES[5][1], "a"), (0, rows[0][1], "a")]
+    got = {(x.doc_id, x.template, round(x.containment, 9), x.at) for x in licenses.license_matches(docs(spark, rows)).collect()}
+    want = set()
+    for i, text, _ in rows:
+        w = licenses._words(text or "")
+        for n, (_, template) in enumerate(licenses.TEMPLATES):
+            t = licenses._words(template)
+            k = min(5, len(t))
+            held = set(licenses._shingles(t, k))
+            size, step = -(-3 * len(t) // 2), max(1, len(t) // 2)
+            found = [(len(held & set(licenses._shingles(w[b : b + size], k))) / len(held), -b) for b in range(0, max(1, len(w)), step) if w]
+            if found and max(found)[0] >= 0.8:
+                want.add((i, n, round(max(found)[0], 9), -max(found)[1]))
+    assert got == want and len(want) > 20
+    assert licenses.license_matches(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_licenses(spark):
     text = licenses.TEMPLATES[1][1]
     rows = [(1, " ".join(words(300, 1)) + " " + text.upper(), "a"), (2, "Released under the MIT License.", "a"), (3, " ".join(words(300, 2)) + " license", "a"), (4, None, "a"), (5, "", "a"), (2, "All rights reserved. x", "a")]
