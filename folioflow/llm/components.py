@@ -5,7 +5,8 @@ Components in MapReduce and Beyond", 2014): a large step links all larger neighb
 its smallest one, a small step all smaller neighbours. Both are an aggregate with map-side combine
 and an equi-join, so that a node with very many edges is pre-aggregated and its join partition can
 be split. Before it, each partition replaces its edges by a spanning forest, which bounds the rows
-by the nodes a partition holds. Nothing is collected; each round is a written table.
+by the nodes a partition holds. Rounds contract the graph until LOCAL_EDGES edges are left, however many there were; one task
+finishes these. Nothing goes to the driver; each round is a written table.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+#: Edges, of 16 bytes each, that one task holds.
+LOCAL_EDGES = 1 << 18
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -75,7 +79,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a long, b long) that has a neighbour; component is the smallest
     node reachable. Loops and rows with a null are ignored; an empty table gives an empty table."""
     now = written(edges.select("a", "b").where("a <> b").distinct().mapInArrow(forest, "a long, b long"))
-    while not _stars(now):
+    while now.count() > LOCAL_EDGES and not _stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -83,4 +87,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = large.join(low, "a").select(F.inline(ends)).where("a <> b").distinct()
         now = written(small.mapInArrow(forest, "a long, b long"))
+    if now.count() <= LOCAL_EDGES:
+        now = written(now.coalesce(1).mapInArrow(forest, "a long, b long"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -49,6 +49,7 @@ BLOCK_TOKENS = 2_000_000
 _SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _SETS = pa.schema([("class", pa.binary()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("prefix", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LABELS = pa.schema([("node", pa.int64()), ("component", pa.int64())])
 
 
 def with_percent(kernel: Callable[[pa.Table, int], pa.Table], percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -189,9 +190,9 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["a"], np.int64)), pa.array(np.frombuffer(r["b"], np.int64)), pa.array([x.tobytes() for x in np.frombuffer(r["c"], "V16")], pa.binary())], names=["id", "n_shingles", "class"])
 
 
-def _link(group: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest of the links among the sets of a group, or, if it has two sides, between these; sets of one
-    component are linked already."""
+def _linked(group: pa.Table, percent: int) -> tuple[list[dict], Union]:
+    """The sets of a group and what links join: all with all, or, if there are two sides, one with the other; sets of one
+    component are joined already."""
     rows = group.to_pylist()
     rows.sort(key=lambda r: (r["n"], r["node"]))
     size = np.array([r["n"] for r in rows])
@@ -206,8 +207,6 @@ def _link(group: pa.Table, percent: int) -> pa.Table:
         allowed &= second[:, None] != second[None, :]
     component = np.array([r["component"] for r in rows])
     allowed &= component[:, None] != component[None, :]
-    if not allowed.any():
-        return _LINKS.empty_table()
     limit = np.array([r["prefix"] for r in rows])
     for key in _keys(every, count):
         order = np.lexsort((*key, owner))
@@ -221,7 +220,7 @@ def _link(group: pa.Table, percent: int) -> pa.Table:
             if e - s > 1:
                 share[np.ix_(o[s:e], o[s:e])] = True
         allowed &= share
-    union, links = Union(len(rows)), []
+    union = Union(len(rows))
     _, head, member = np.unique(component, return_index=True, return_inverse=True)
     for i, j in enumerate(head[member].tolist()):
         union.join(i, j)
@@ -238,9 +237,26 @@ def _link(group: pa.Table, percent: int) -> pa.Table:
         mark[mine] = 0
         whole = size[i] + size[others] - same
         for j in np.asarray(others)[100 * same >= percent * whole].tolist():
-            if union.join(i, j):
-                links.append((rows[i]["node"], rows[j]["node"]))
-    return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=_LINKS)
+            union.join(i, j)
+    return rows, union
+
+
+def _labels(group: pa.Table, percent: int) -> pa.Table:
+    """(node, smallest node of its component in this group)."""
+    rows, union = _linked(group, percent)
+    least: dict[int, int] = {}
+    roots = [union.find(i) for i in range(len(rows))]
+    for r, root in zip(rows, roots):
+        least[root] = min(r["node"], least.get(root, r["node"]))
+    return pa.Table.from_arrays([pa.array([r["node"] for r in rows], pa.int64()), pa.array([least[x] for x in roots], pa.int64())], schema=_LABELS)
+
+
+def _links(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs of components that links of this group join."""
+    rows, union = _linked(group, percent)
+    pairs = {(r["component"], rows[union.find(i)]["component"]) for i, r in enumerate(rows)}
+    pairs = [p for p in pairs if p[0] != p[1]]
+    return pa.Table.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=_LINKS)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -315,36 +331,35 @@ def _placed(sets: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def _components(placed: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the sets that have a link."""
-    link = with_percent(_link, percent)
-    links = written(placed.withColumn("side", F.lit(0)).groupBy("family", "block").applyInArrow(link, _ddl(_LINKS)))
-    joined = written(connected_components(links))
+    """(node, component) of the sets of families; component is the smallest node that links reach."""
+    label = with_percent(_labels, percent)
+    inside = written(placed.withColumn("side", F.lit(0)).groupBy("family", "block").applyInArrow(label, _ddl(_LABELS)))
     spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     wide = written(spans.groupBy("family").agg(F.count("*").alias("blocks")).where("blocks > 1"))  # families of several blocks
     if wide.isEmpty():
-        return joined
-    rest = placed.join(wide.select("family"), "family", "left_semi")
-
-    def with_components(df: DataFrame) -> DataFrame:
-        return df.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return inside
+    rest = placed.join(wide.select("family"), "family", "left_semi").drop("component")
 
     # one set of each component of a family, in lots of a block's size
-    heads = with_components(rest.select("node", "family", "n", F.octet_length("tokens").alias("bytes"))).groupBy("family", "component").agg(F.min(F.struct("n", "node", "bytes")).alias("head"))
-    lots = heads.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("head.bytes") / (6.0 * BLOCK_TOKENS))).alias("lots"))
-    dealt = heads.join(lots, "family").select("family", "component", F.col("head.node").alias("node"), F.pmod(F.xxhash64("component"), F.col("lots")).alias("lot"))
-    met = rest.select("node", "n", "tokens", "counts", "prefix", F.lit(0).alias("side")).join(dealt, "node")
-    links = written(links.union(met.groupBy("family", "lot").applyInArrow(link, _ddl(_LINKS))))
-    joined = written(connected_components(links))
-    parted = with_components(rest.select("node", "family", "n"))
+    heads = rest.join(inside.where("node = component"), "node").withColumn("side", F.lit(0))
+    lots = heads.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.octet_length("tokens")) / (6.0 * BLOCK_TOKENS))).alias("lots"))
+    dealt = heads.join(lots, "family").withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")))
+    between = dealt.groupBy("family", "lot").applyInArrow(label, _ddl(_LABELS)).toDF("component", "whole")
+    joined = written(inside.join(between, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+    parted = joined.join(rest.select("node", "family"), "node")
     largest = parted.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
     minor = written(parted.join(largest, "family").where("component <> largest").select("node", "family"))
     if minor.isEmpty():
         return joined
-    few = _placed(rest.drop("family", "block", "component").join(minor.select("node"), "node", "left_semi"), minor).withColumnRenamed("block", "lot")
+    few = _placed(rest.drop("family", "block").join(minor.select("node"), "node", "left_semi"), minor).drop("component").withColumnRenamed("block", "lot")
     lots = few.groupBy("family", "lot").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     meet = lots.join(spans, "family").where(f"100 * least(high, hi) >= {percent} * greatest(low, lo)").select("family", "lot", "block")
     columns = ["family", "lot", "block", "node", "n", "tokens", "counts", "prefix", "component"]
-    every = with_components(rest).join(meet, ["family", "block"]).select(*columns, F.lit(0).alias("side"))
-    others = with_components(few).join(meet, ["family", "lot"]).select(*columns, F.lit(1).alias("side"))
-    last = every.union(others).groupBy("family", "lot", "block").applyInArrow(link, _ddl(_LINKS))
-    return connected_components(links.union(written(last)))
+    every = rest.join(joined, "node").join(meet, ["family", "block"]).select(*columns, F.lit(0).alias("side"))
+    others = few.join(joined, "node").join(meet, ["family", "lot"]).select(*columns, F.lit(1).alias("side"))
+    links = written(every.union(others).groupBy("family", "lot", "block").applyInArrow(with_percent(_links, percent), _ddl(_LINKS)))
+    if links.isEmpty():
+        return joined
+    last = connected_components(links).toDF("component", "whole")
+    return joined.join(last, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))

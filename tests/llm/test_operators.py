@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("folioflow.llm")
 
-from folioflow.llm import decontaminate, html_text, jaccard_join, licenses, mixing, mtree, quality, toxicity, url_filter, zipwarc  # noqa: E402
+from folioflow.llm import components, decontaminate, html_text, jaccard_join, licenses, mixing, mtree, quality, toxicity, url_filter, zipwarc  # noqa: E402
 from folioflow.llm.components import connected_components  # noqa: E402
 from folioflow.llm.jaccard_join import jaccard_components  # noqa: E402
 
@@ -28,7 +28,9 @@ def words(n, seed, size=400):
     return [f"w{r.randrange(size)}" for _ in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges", [0, 1 << 18])
+def test_components(spark, monkeypatch, edges):
+    monkeypatch.setattr(components, "LOCAL_EDGES", edges)
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 3)] + [(100, i) for i in range(101, 160)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert {got[i] for i in (1, 2, 3, 8, 9)} == {1} and got[5] == got[4] == 4 and 7 not in got and {got[i] for i in range(100, 160)} == {100}
