@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import BUILT_IN
 from ..sources.stored import stored
 
 #: The 81 characters that labels may hold.
@@ -44,8 +47,17 @@ def offending(text: Column, alphabet: str = ALPHABET) -> Column:
 
 
 def vocabulary(benchmark: DataFrame) -> DataFrame:
-    """SRC-6, SET-1: the distinct stems of a word source."""
-    return benchmark.select(F.explode(F.split("text", r"[ \n]")).alias("t")).select(stem(F.col("t")).alias("word")).where("word rlike '^[a-z]+$'").distinct()
+    """SET-1: the distinct stems of a word source, with the built-in words."""
+    words = benchmark.select(F.explode(F.split("text", r"[ \n]")).alias("t")).select(stem(F.col("t")).alias("word")).where("word rlike '^[a-z]+$'")
+    return words.union(benchmark.sparkSession.createDataFrame([(w,) for w in BUILT_IN], "word string")).distinct()
+
+
+def alphabet_table(spark: SparkSession, source: str, name: str) -> DataFrame:
+    """TXT-22: ch, idx of the alphabet that a source text holds as a literal after 'name':, its escapes decoded. At most a few
+    hundred characters of program text, hence read here."""
+    found = re.search(rf"'{re.escape(name)}':\s*'((?:[^'\\]|\\.)*)'", source)
+    letters = re.sub(r"\\u([0-9a-fA-F]{4})|\\(.)", lambda m: chr(int(m[1], 16)) if m[1] else {"n": "\n", "t": "\t"}.get(m[2], m[2]), found[1]) if found else ""
+    return spark.createDataFrame([(c, i) for i, c in enumerate(letters)], "ch string, idx long")
 
 
 def document_frequency(tok: DataFrame, vocab: DataFrame) -> DataFrame:

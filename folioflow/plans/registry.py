@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import boxes as B
 from ..operators.ranks import numbered, quantiles, running
+from ..sources.files import BUILT_IN
 from ..sources.fixtures import BOX_SQL, CROP_SQL, DET_SQL, TOK_SQL, boxes, crops, detected, read, tokens
 from ..sources.stored import shared_path, stored
 
@@ -177,7 +178,8 @@ def txt7_clean_label(spark, d):
 
 
 _STEM = r"""regexp_replace(regexp_replace(lower({0}), '^[.,;:!?''"]+|[.,;:!?''"]+$', '', 'g'), '''s$', '')"""
-_VOCAB = f"vocab AS (SELECT DISTINCT word FROM (SELECT {_STEM.format('t')} AS word FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t FROM benchmark)) WHERE regexp_full_match(word, '[a-z]+'))"
+_BUILT = "SELECT unnest([" + ", ".join(f"'{w}'" for w in BUILT_IN) + "]) AS word"
+_VOCAB = f"vocab AS (SELECT DISTINCT word FROM (SELECT word FROM (SELECT {_STEM.format('t')} AS word FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t FROM benchmark)) WHERE regexp_full_match(word, '[a-z]+') UNION ALL {_BUILT}))"
 
 
 @query(f"WITH {TOK_SQL}, s AS (SELECT {_STEM.format('tok')} AS stem, count(*) AS n FROM tok GROUP BY 1) SELECT * FROM s")
@@ -354,12 +356,6 @@ def win8_smoothing(spark, d):
     return read(spark, d, "events").select("user_id", "event_id", F.round((v(2) + 4 * v(1) + 6 * F.col("value") + 4 * v(-1) + v(-2)) / 16, 6).alias("smooth"))
 
 
-@query("SELECT user_id, quantile_cont(gap, 0.5) AS spacing FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) WHERE gap > 15 AND gap < 4000 GROUP BY user_id HAVING count(*) >= 3")
-def win10_gap_median(spark, d):
-    gaps = read(spark, d, "events").select("user_id", (F.col("event_id") - F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))).alias("gap"))
-    return gaps.where("gap > 15 and gap < 4000").groupBy("user_id").agg(F.percentile("gap", 0.5).alias("spacing"), F.count("*").alias("n")).where("n >= 3").drop("n")
-
-
 @query("SELECT event_type, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.98), 6) AS p98 FROM events GROUP BY event_type")
 def agg12_percentiles(spark, d):
     found = quantiles(read(spark, d, "events"), "event_type", "value", {"p2": 0.02, "p50": 0.5, "p98": 0.98})
@@ -428,4 +424,4 @@ def ext_stream_tumbling(spark, d):
     return daily_counts(spark, d)
 
 
-from . import sequence_queries, verdict_queries, review_queries  # noqa: E402, F401, I001
+from . import sequence_queries, verdict_queries, review_queries, file_queries, text_queries, series_queries  # noqa: E402, F401, I001

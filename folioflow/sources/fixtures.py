@@ -60,3 +60,30 @@ BOX_SQL = TOK_SQL + """, boxes AS (SELECT doc_id::VARCHAR AS page_key, substr(sh
 CROP_SQL = BOX_SQL + """, crops AS (SELECT *, ((page_key::BIGINT * 3 + line * 5 + word * 7) % 80) / 100.0::DOUBLE AS ink, ((page_key::BIGINT * 11 + line + word * 13) % 160)::DOUBLE AS contrast,
   ((page_key::BIGINT * 17 + line * 3 + word * 5) % 300)::DOUBLE AS focus FROM boxes)"""
 DET_SQL = BOX_SQL + """, det AS (SELECT page_key, box_id, x + word % 5 - 2 AS x, y + line % 3 - 1 AS y, w, h, CASE WHEN (line + word) % 17 = 0 THEN text || 'x' ELSE text END AS text, line, word, box_ord AS det_ord FROM boxes WHERE (page_key::BIGINT + word) % 11 <> 0)"""
+
+
+def raster(spark: SparkSession) -> DataFrame:
+    """page, row, col, v: twenty grey pictures of 160 x 120 with bands of dark cells, by arithmetic."""
+    cell = spark.range(20 * 160 * 120).selectExpr("id div 19200 page", "cast(id div 120 % 160 as int) row", "cast(id % 120 as int) col")
+    dark = "row % 40 between 8 and 22 + page % 5 and col >= page and col < 100 - page % 7 and (col * 7 + row * 3 + page * 5) % 11 < 6"
+    return cell.selectExpr("page", "row", "col", f"cast(if({dark}, 20 + (row * 5 + col * 3 + page) % 60, 180 + (row * 3 + col * 7 + page * 11) % 60) as int) v")
+
+
+def flow_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ord, word, nl, tabs, aspect, box_rank, pin: the words of each conversation as one flowing text; a turn begins a line."""
+    from .stored import stored
+
+    tok = stored(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.split("text", "[ \n]")).alias("pos", "word")).where("word <> ''"))
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("turn", "pos")) - 1
+    new = F.row_number().over(W.partitionBy("doc_id", "turn").orderBy("pos")) == 1
+    out = tok.withColumn("ord", n.cast("long")).withColumn("nl", F.when(new & (F.col("turn") > 0), 1).otherwise(0))
+    return out.select("doc_id", "ord", "word", "nl", F.when(F.col("ord") % 31 == 7, 1).otherwise(0).alias("tabs"), (F.length("word") / 2.0).alias("aspect"), F.when(F.col("ord") % 8 == 3, F.col("ord") % 3).alias("box_rank"), (F.col("ord") % 23 == 11).alias("pin"))
+
+
+RASTER_SQL = """raster AS (SELECT page, row, col, CASE WHEN row % 40 BETWEEN 8 AND 22 + page % 5 AND col >= page AND col < 100 - page % 7 AND (col * 7 + row * 3 + page * 5) % 11 < 6 THEN 20 + (row * 5 + col * 3 + page) % 60 ELSE 180 + (row * 3 + col * 7 + page * 11) % 60 END::INT AS v
+  FROM (SELECT id // 19200 AS page, (id // 120 % 160)::INT AS row, (id % 120)::INT AS col FROM (SELECT unnest(range(384000)) AS id)))"""
+FLOW_SQL = """fw AS (SELECT conv_id AS doc_id, turn, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS t FROM conversations)),
+fn AS (SELECT doc_id, turn, word, row_number() OVER (PARTITION BY doc_id ORDER BY turn, pos) - 1 AS ord, row_number() OVER (PARTITION BY doc_id, turn ORDER BY pos) = 1 AS new FROM fw WHERE word <> ''),
+flow AS (SELECT doc_id, ord, word, CASE WHEN new AND turn > 0 THEN 1 ELSE 0 END AS nl, CASE WHEN ord % 31 = 7 THEN 1 ELSE 0 END AS tabs, len(word) / 2.0::DOUBLE AS aspect, CASE WHEN ord % 8 = 3 THEN ord % 3 END AS box_rank, ord % 23 = 11 AS pin FROM fn)"""
