@@ -8,7 +8,7 @@ the triangle inequality is left without computing its own. Scores are integers,
 pruning keeps a margin above rounding errors.
 
 Rows go to trees by the nearest of as many pivots, taken from the sample below, so that a tree covers a region and its root can
-rule it out; a region of too many rows (one vector many times over) is dealt to several trees. Each tree is a task. Queries go
+rule it out; trees are of about equal size, so a region of many rows (one vector many times over) takes several. Each tree is a task. Queries go
 to every tree in blocks of rows, and start with a bound from a bounded sample, the same for all trees: the k-th best score among
 SAMPLE rows is no more than the k-th best of all. Trees return k rows a query, which a window ranks.
 """
@@ -191,11 +191,11 @@ def nearest_by_inner_product(vectors: DataFrame, k: int = 10, query_every: int =
     labels = _labels(vectors.sparkSession, trees)
     sent = sent.withColumn("tree", F.element_at(labels, F.col("tree") + 1))
     dealt = written(rows.mapInArrow(_regions(held, width, trees), "vec_id long, v binary, region int"))
-    # a region's share of the trees: one, or as many as its rows are worth
-    sizes = dealt.groupBy("region").agg(F.count("*").alias("n")).withColumn("n", F.ceil(F.col("n") * trees / max(1, size.n)))
-    upto = F.sum("n").over(W.orderBy("region").rowsBetween(W.unboundedPreceding, 0))
-    sizes = sizes.withColumn("first", upto - F.col("n"))  # at most as many rows as trees
-    place = F.pmod(F.col("first") + F.pmod(F.hash("vec_id", "v"), F.col("n")), F.lit(trees)).cast("int")
+    # regions one after the other, cut into trees of equal numbers of rows; at most as many regions as trees
+    sizes = dealt.groupBy("region").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("first", F.sum("n").over(W.orderBy("region").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    share = F.pmod(F.hash("vec_id", "v"), F.lit(1 << 20)) / float(1 << 20)
+    place = F.floor((F.col("first") + share * F.col("n")) * trees / max(1, size.n)).cast("int")
     parts = dealt.join(F.broadcast(sizes), "region").select("vec_id", "v", F.element_at(labels, place + 1).alias("tree"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
