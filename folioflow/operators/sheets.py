@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 M = [f"m{i}" for i in range(9)]
 
 
@@ -24,11 +26,15 @@ def normalised(x: Column, y: Column) -> tuple[Column, Column]:
     return (x - F.col("img_w") / 2.0) * s, (y - F.col("img_h") / 2.0) * s
 
 
-def bow(u: Column) -> Column:
-    """How far the page bends at u, in lines; beyond the writing area it is held at a quarter of its width outside."""
+def _share(u: Column) -> Column:
+    """Where u lies in the writing area, from 0 to 1, held to a quarter of its width outside."""
     span = F.col("u_right") - F.col("u_left")
     t = F.when(F.abs(span) < 1e-9, 0.0).otherwise((u - F.col("u_left")) / F.when(F.abs(span) < 1e-9, 1.0).otherwise(span))
-    t = F.greatest(F.lit(-0.25), F.least(F.lit(1.25), t))
+    return F.greatest(F.lit(-0.25), F.least(F.lit(1.25), t))
+
+
+def _bubble(t: Column) -> Column:
+    """How far the page bends, in lines."""
     return F.col("c1") * t * (1 - t) + F.col("c2") * t * (1 - t) * (2 * t - 1)
 
 
@@ -38,38 +44,40 @@ def to_page(x: Column, y: Column) -> tuple[Column, Column]:
     row = lambda r: F.col(M[3 * r]) * xn + F.col(M[3 * r + 1]) * yn + F.col(M[3 * r + 2])
     w = _guard(row(2))
     u = row(0) / w
-    return u, row(1) / w + bow(u)
+    return u, row(1) / w + _bubble(_share(u))
 
 
-def to_image(line: Column, u: Column) -> tuple[Column, Column]:
-    """GEO-5: the pixel of a place on a line, through the adjugate, as a scale cancels in the quotient."""
+def to_image(rows: DataFrame, line: Column, u: Column, x: str, y: str) -> DataFrame:
+    """GEO-5: rows (with a sheet's columns) and in x and y the pixel of a place on a line, through the adjugate. By steps, as an
+    expression that held all of it would repeat its parts many times over."""
     a, b, c, d, e, f, g, h, i = (F.col(n) for n in M)
-    inverse = ((e * i - f * h, c * h - b * i, b * f - c * e), (f * g - d * i, a * i - c * g, c * d - a * f), (d * h - e * g, b * g - a * h, a * e - b * d))
+    inverse = {"_p": (e * i - f * h, c * h - b * i, b * f - c * e), "_q": (f * g - d * i, a * i - c * g, c * d - a * f), "_r": (d * h - e * g, b * g - a * h, a * e - b * d)}
     det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-    v = line - bow(u)
-    p, q, r = ((x * u + y * v + z) / det for x, y, z in inverse)
-    w, s = _guard(r), F.lit(2.0) / F.greatest("img_w", "img_h")
-    return p / w / s + F.col("img_w") / 2.0, q / w / s + F.col("img_h") / 2.0
+    out = rows.withColumns({"_u": u, "_l": line, "_det": det})
+    out = out.withColumn("_t", _share(F.col("_u"))).withColumn("_v", F.col("_l") - _bubble(F.col("_t")))
+    out = out.withColumns({n: (k[0] * F.col("_u") + k[1] * F.col("_v") + k[2]) / F.col("_det") for n, k in inverse.items()})
+    w, s = _guard(F.col("_r")), F.lit(2.0) / F.greatest("img_w", "img_h")
+    out = out.withColumns({x: F.col("_p") / w / s + F.col("img_w") / 2.0, y: F.col("_q") / w / s + F.col("img_h") / 2.0})
+    return out.drop("_u", "_l", "_det", "_t", "_v", *inverse)
 
 
-def spacing(line: Column, u: Column) -> Column:
-    """GEO-6: pixels from a place to the one on the next line."""
-    (x0, y0), (x1, y1) = to_image(line, u), to_image(line + 1.0, u)
-    return F.hypot(x1 - x0, y1 - y0)
+def with_spacing(rows: DataFrame, line: Column, u: Column, name: str = "spacing") -> DataFrame:
+    """GEO-6: rows and the pixels from a place to the one on the next line."""
+    out = to_image(to_image(rows, line, u, "_x0", "_y0"), line + 1.0, u, "_x1", "_y1")
+    return out.withColumn(name, F.hypot(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))).drop("_x0", "_y0", "_x1", "_y1")
 
 
-def tangent(line: Column, u: Column, reach: float = 0.05) -> Column:
-    """GEO-6: the direction of a line at u, in degrees."""
-    (x0, y0), (x1, y1) = to_image(line, u - reach), to_image(line, u + reach)
-    return F.degrees(F.atan2(y1 - y0, x1 - x0))
+def with_tangent(rows: DataFrame, line: Column, u: Column, name: str = "tangent", reach: float = 0.05) -> DataFrame:
+    """GEO-6: rows and the direction of a line at u, in degrees."""
+    out = to_image(to_image(rows, line, u - reach, "_x0", "_y0"), line, u + reach, "_x1", "_y1")
+    return out.withColumn(name, F.degrees(F.atan2(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0")))).drop("_x0", "_y0", "_x1", "_y1")
 
 
 def polylines(sheets: DataFrame, points: int = 24) -> DataFrame:
     """GEO-6: page, line, k, x, y: each line of the writing area as `points` points from left to right."""
     each = sheets.withColumn("line", F.explode(F.sequence(F.col("i_first"), F.col("i_first") + F.col("n_lines") - 1))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     u = F.col("u_left") + (F.col("u_right") - F.col("u_left")) * F.col("k") / (points - 1)
-    x, y = to_image(F.col("line").cast("double"), u)
-    return each.select("page", "line", "k", x.alias("x"), y.alias("y"))
+    return to_image(each, F.col("line").cast("double"), u, "x", "y").select("page", "line", "k", "x", "y")
 
 
 def shifted(sheets: DataFrame, by: Column) -> DataFrame:
@@ -81,8 +89,8 @@ def shifted(sheets: DataFrame, by: Column) -> DataFrame:
 def residuals(observations: DataFrame, sheets: DataFrame) -> DataFrame:
     """GEO-11: the observations (page, x, y, line_idx) with residual, their distance in pixels from the line that they belong to."""
     _, v = to_page(F.col("x"), F.col("y"))
-    step = spacing(F.col("i_first") + F.col("n_lines") / 2.0, (F.col("u_left") + F.col("u_right")) / 2.0)
-    return observations.join(sheets, "page").select(*observations.columns, (F.abs(v - F.col("line_idx")) * step).alias("residual"))
+    steps = with_spacing(sheets, F.col("i_first") + F.col("n_lines") / 2.0, (F.col("u_left") + F.col("u_right")) / 2.0, "_step")
+    return observations.join(steps, "page").select(*observations.columns, (F.abs(v - F.col("line_idx")) * F.col("_step")).alias("residual"))
 
 
 def fit_summary(residual: DataFrame) -> DataFrame:
@@ -283,7 +291,7 @@ def robust_lines(points: DataFrame, by: str, trims: int = 5) -> DataFrame:
         line = kept.groupBy(by).agg(F.regr_slope("v", "i").alias("a"), F.regr_intercept("v", "i").alias("b"), F.count("*").alias("n"))
         # a group left with fewer than four points keeps its last line
         fit = line if fit is None else fit.join(line.where("n >= 4").select(by, F.col("a").alias("a2"), F.col("b").alias("b2")), by, "left").select(by, F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
-        fit = fit.select(by, "a", "b")
+        fit = stored(fit.select(by, "a", "b"))  # read twice by the next round
         if n == trims:
             break
         off = points.join(fit, by).withColumn("r", F.abs(F.col("v") - F.col("a") * F.col("i") - F.col("b")))
