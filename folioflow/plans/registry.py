@@ -424,4 +424,4 @@ def ext_stream_tumbling(spark, d):
     return daily_counts(spark, d)
 
 
-from . import sequence_queries, verdict_queries, review_queries, file_queries, text_queries, series_queries, sheet_queries, layout_queries  # noqa: E402, F401, I001
+from . import sequence_queries, verdict_queries, review_queries, file_queries, text_queries, series_queries, sheet_queries, layout_queries, pixel_queries, extension_queries  # noqa: E402, F401, I001
