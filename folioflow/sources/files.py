@@ -36,7 +36,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """SNK-2: df as CSV with a header, its files in the order of these columns."""
-    df.orderBy(*order).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, nullValue="\\N", emptyValue="")
+    df.orderBy(*order).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def page_documents(boxes: DataFrame) -> DataFrame:
