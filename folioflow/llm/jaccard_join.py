@@ -44,7 +44,7 @@ HOT = 255
 BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 16
 BLOCK_SETS = 1024
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 
 _SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _SETS = pa.schema([("class", pa.binary()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("prefix", pa.int64())])
@@ -71,7 +71,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterat
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    for number, batch in enumerate(slices(batches)):
+    for number, batch in enumerate(slices(batches, 1 << 20)):
         key = (part << 32) | number
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         doc, token = distinct(*Words(batch.column(1)).shingles(k))
