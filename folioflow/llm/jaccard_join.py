@@ -264,9 +264,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words are runs of anything but ASCII white space, A-Z folded; a text of fewer than k words has its whole sequence as
     its only shingle. Returns one row per row of docs: id long, n_shingles long (size of the set), component_id long (the
-    smallest id reachable by links, its own included). Null, empty and blank texts have an empty set and no link; repeated
-    rows count as equal texts; rows whose id is null are not documents and are left out; other columns are ignored; an
-    empty table gives an empty result. percent is an integer from 1 to 100.
+    smallest id reachable by links, its own included). Null, empty and blank texts have an empty set and no link; very long
+    texts are tokenised whole, alone; repeated rows count as equal texts; rows whose id is null are not documents and are
+    left out; other columns, whatever their names, are ignored; an empty table gives an empty result. percent is an integer from 1 to 100.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     buckets = _buckets(texts)

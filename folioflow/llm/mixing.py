@@ -8,7 +8,7 @@ prefix of the schedule has the target weights nearly, and a source's words are t
 A block holds max(16, words of the mix / 2**20) words, hence no more than about a million slots at any input size: ranking
 them is bounded work. What blocks can't resolve is made up by slots after the last: once blocks are longer than 16 words, and
 for any source of fewer than FEW blocks, a source gets the ranks that its scheduled slots leave out, so that it takes the
-whole words of its target. (MIX_SQL has no such slots: the two agree for mixes of up to 2**24 words without such sources.)
+whole words of its target.
 Running word counts of a hot source are summed in 4,096 hash ranges first, so that no task gets a
 whole source; blocks join slots on (source, rank), which spreads any source over all tasks.
 """
@@ -87,7 +87,7 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shuffled order). pieces: those columns with slot, rank, first and length: the words of the repeated source that a slot
     takes from the document; slot is null where nothing is taken.
 
-    Null and blank texts have size 0 and take nothing; a null source is a source of its own, the last; repeated rows count
+    Null and blank texts have size 0 and take nothing; very long texts may fill many slots; a null source is a source of its own, the last; repeated rows count
     each; without any word all targets are 0; other columns are ignored; an empty table gives empty results.
     """
     sizes = written(sized(docs))  # the texts are read once
@@ -130,7 +130,7 @@ r5 AS (SELECT *, hi0 - target AS lo, CASE WHEN place = (SELECT max(place) FROM r
 s AS (SELECT i, (SELECT max(total) FROM r3) * (list_sum(list_transform(range(32), lambda b: ((i >> b) & 1) * (1::BIGINT << (31 - b))))::DOUBLE / 4294967296) AS u
     FROM range((SELECT ceil(max(total) / max(block))::BIGINT FROM r3)) AS g(i)),
 slots AS (SELECT r5.k, count(*) AS ranks FROM s JOIN r5 ON s.u >= r5.lo AND s.u < r5.hi WHERE r5.target > 0 GROUP BY r5.k),
-p AS (SELECT d.*, r5.source_size, r5.target, least(coalesce(ranks, 0) * block, floor(target)) AS upto, sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+p AS (SELECT d.*, r5.source_size, r5.target, CASE WHEN ceil(floor(target) / block) > coalesce(ranks, 0) AND (block > 16 OR ceil(floor(target) / block) < 64) THEN floor(target) ELSE least(coalesce(ranks, 0) * block, floor(target)) END AS upto, sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
     FROM d JOIN r5 USING (k) LEFT JOIN slots USING (k))
 SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, upto) - least(start, upto)) + greatest(0, least(start + source_size + size, upto) - least(start + source_size, upto)))::BIGINT AS taken FROM p
 """

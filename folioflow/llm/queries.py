@@ -78,4 +78,42 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_top_k, op3_benchmark_decontamination, op4_toxicity, op5_mixing_sources, op6_warc, op7_html_extraction, op8_url_filters, op9_quality_classifier, op10_license_scans)}
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": TOP_SQL, "op5_mixing_sources": MIX_SQL}
+#: All pairs of documents that share a shingle, by plain joins.
+LINK_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 90 * (x.n + y.n - same)),
+two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS c FROM two UNION SELECT two.b, r.c FROM r JOIN two ON two.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+#: Base 32 takes five hexadecimal digits, twenty bits, as four letters.
+WARC_SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, payload_bytes, hex, array_to_string(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, i * 5 + 1, 5))::BIGINT) >> s) & 31)::INT + 1, 1)))), '') AS payload_digest FROM d),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM l
+"""
+
+
+def _license_sql() -> str:
+    """Where each template's shingles stand, and how many of them each window of one and a half templates holds."""
+    from .licenses import MIN_CONTAINMENT, TEMPLATES, K, _shingles, _words
+
+    known = [(n, name, _words(text)) for n, (name, text) in enumerate(TEMPLATES)]
+    rows = ", ".join(f"({n}, '{name}', {len(w)}, {min(K, len(w))}, '{g}')" for n, name, w in known for g in sorted(set(_shingles(w, min(K, len(w))))))
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {rows}) AS t(template, license, words, k, g)), z AS (SELECT template, license, words, k, count(*) AS wanted, ceil(1.5 * words)::BIGINT AS size, greatest(1, words // 2) AS step FROM t GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents), ks AS (SELECT DISTINCT k FROM t),
+p AS (SELECT doc_id, k, w, unnest(range(0, len(w) - k + 1)) AS i FROM d, ks WHERE len(w) >= k),
+h AS (SELECT DISTINCT p.doc_id, t.template, p.i, t.g FROM p JOIN t ON t.k = p.k AND t.g = array_to_string(w[i + 1 : i + p.k], ' ')),
+b AS (SELECT h.*, z.license, z.wanted, step, unnest(range(greatest(0, ceil((i - size + k) / step)::BIGINT), i // step + 1)) AS b FROM h JOIN z USING (template)),
+c AS (SELECT doc_id, template, license, b * step AS at_, count(DISTINCT g) / wanted::DOUBLE AS containment FROM b GROUP BY doc_id, template, license, b, step, wanted)
+SELECT doc_id, template, license, max(containment) AS containment, arg_max(at_, (containment, -at_))::INT AS "at" FROM c WHERE containment >= {MIN_CONTAINMENT} GROUP BY doc_id, template, license
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": LINK_SQL, "op2_exact_top_k": TOP_SQL, "op5_mixing_sources": MIX_SQL, "op6_warc": WARC_SQL, "op10_license_scans": _license_sql()}
