@@ -64,26 +64,26 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return b.withColumn("out_word", F.row_number().over(W.partitionBy("page_key", "out_line").orderBy("x", "cy", "box_ord"))).select("page_key", "box_id", "out_line", "out_word")
 
 
-def iou_pairs(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
-    """JON-7: pairs of a page whose intersection over union is `least` or more: page_key, box_ord, det_ord, iou.
+def iou_pairs(old: DataFrame, new: DataFrame, least: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """JON-7: pairs of a page whose intersection over union is `least` or more: page_key, box_ord, det_ord, iou, and old's `keep`.
 
     Boxes are dealt to the grid cells that they touch, and a pair is compared only in the cell that holds the upper left
     corner of its intersection: an equi-join on (page, cell) that gives each pair once. Only places and geometry move.
     """
 
-    def celled(df: DataFrame, p: str, key: str) -> DataFrame:
+    def celled(df: DataFrame, p: str, *key: str) -> DataFrame:
         cells = [F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(a) + F.greatest(F.col(n) - 1, F.lit(0))) / CELL)) for a, n in (("x", "w"), ("y", "h"))]
-        out = df.select("page_key", key, *(F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "w", "h")), cells[1].alias("rows"), F.explode(cells[0]).alias("cx"))
+        out = df.select("page_key", *key, *(F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "w", "h")), cells[1].alias("rows"), F.explode(cells[0]).alias("cx"))
         return out.withColumn("cy", F.explode("rows")).drop("rows")
 
-    j = celled(old, "old", "box_ord").join(celled(new, "new", "det_ord"), ["page_key", "cx", "cy"])
+    j = celled(old, "old", "box_ord", *keep).join(celled(new, "new", "det_ord"), ["page_key", "cx", "cy"])
     x0, y0 = F.greatest("old_x", "new_x"), F.greatest("old_y", "new_y")
     w = F.least(F.col("old_x") + F.col("old_w"), F.col("new_x") + F.col("new_w")) - x0
     h = F.least(F.col("old_y") + F.col("old_h"), F.col("new_y") + F.col("new_h")) - y0
     j = j.where((F.floor(x0 / CELL) == F.col("cx")) & (F.floor(y0 / CELL) == F.col("cy")) & (w > 0) & (h > 0))
     inter = w.cast("long") * h
     j = j.withColumn("iou", inter / (F.col("old_w").cast("long") * F.col("old_h") + F.col("new_w").cast("long") * F.col("new_h") - inter))
-    return j.where(F.col("iou") >= least).select("page_key", "box_ord", "det_ord", "iou")
+    return j.where(F.col("iou") >= least).select("page_key", "box_ord", "det_ord", "iou", *keep)
 
 
 def _in_turn(pairs: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def merge_detection(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataF
     """
     geometry = ["x", "y", "w", "h", "text"]
     old = protection(old)
-    pairs = stored(iou_pairs(old.where("state <> 'retired'"), new, least).join(old.select("page_key", "box_ord", "state"), ["page_key", "box_ord"]))
+    pairs = stored(iou_pairs(old.where("state <> 'retired'"), new, least, ("state",)))
     best = stored(matched(pairs.where("state = 'refreshable'")))
     taken = best.join(new.select("page_key", "det_ord", *(F.col(c).alias(f"new_{c}") for c in geometry)), ["page_key", "det_ord"])
     held = old.join(taken, ["page_key", "box_ord"], "left")

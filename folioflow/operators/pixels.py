@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -249,3 +250,61 @@ def margin_position(picture: np.ndarray, step: float = 1.0) -> int | None:
         if share > 0.55 and score > top:
             found, top = at, score
     return found
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """SRC-11: name, width, height, v (grey values by rows) of PGM and PPM files (name, content), colours by their usual weights;
+    null width and values for content that can't be read, to be warned of and skipped."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [netpbm(c) for c in batch.column(1).to_pylist()]
+            shape = [(None, None) if f is None else f.shape for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for _, w in shape], pa.int32()), pa.array([h for h, _ in shape], pa.int32()), pa.array([None if f is None else f.ravel().tolist() for f in found], pa.list_(pa.int32()))], names=["name", "width", "height", "v"])
+
+    return files.select("name", "content").mapInArrow(read, "name string, width int, height int, v array<int>")
+
+
+def netpbm(content: bytes | None) -> np.ndarray | None:
+    """Grey values of a PGM or PPM file of one byte a sample, plain or raw, else None."""
+    head = re.match(rb"P([2356])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)(?:\s|$)", content or b"")
+    if not head or not 0 < int(head[4]) < 256:
+        return None
+    w, h, many = int(head[2]), int(head[3]), 3 if head[1] in b"36" else 1
+    rest = content[head.end() :]
+    try:
+        flat = np.frombuffer(rest, np.uint8)[: w * h * many] if head[1] in b"56" else np.array(rest.split()[: w * h * many], int)
+    except ValueError:
+        return None
+    if len(flat) < w * h * many or not w * h:
+        return None
+    picture = flat.reshape(h, w, many).astype(float) * 255.0 / int(head[4])
+    return np.rint(picture[..., 0] if many == 1 else picture @ [0.299, 0.587, 0.114]).astype(int)
+
+
+def upright_cells(cells: DataFrame, orientation: Column, height: int, width: int) -> DataFrame:
+    """SRC-12: cells where they belong once a photo's orientation tag (1 to 8; others count as 1) is carried out."""
+    row, col = F.col("row"), F.col("col")
+    low, right = height - 1 - row, width - 1 - col
+    to = {2: (row, right), 3: (low, right), 4: (low, col), 5: (col, row), 6: (col, low), 7: (right, low), 8: (right, row)}
+    at = [F.coalesce(*(F.when(orientation == k, v[i]) for k, v in to.items()), (row, col)[i]) for i in (0, 1)]
+    return cells.withColumns({"row": at[0], "col": at[1]})
+
+
+def composited(cells: DataFrame) -> DataFrame:
+    """PIX-12: cells with out: paper under ink: paper * (1 - alpha + alpha * tone), in whole grey values. cells: paper, alpha, tone."""
+    mixed = F.col("paper") * (1 - F.col("alpha") + F.col("alpha") * F.col("tone"))
+    return cells.withColumn("out", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(mixed, 6)))).cast("int"))
+
+
+def changed_span(one: DataFrame, other: DataFrame) -> DataFrame:
+    """PIX-14: page, lo, hi, centre: the columns in which two pictures of a word differ most: around the largest difference, smoothed
+    over five columns, as far as it stays over 0.35 of that. Pages without a difference have no row."""
+    j = one.join(other.select("page", "row", "col", F.col("v").alias("w")), ["page", "row", "col"])
+    d = j.groupBy("page", "col").agg(F.sum(F.abs(F.col("v") - F.col("w"))).cast("double").alias("d"))
+    order, page = W.partitionBy("page").orderBy("col"), W.partitionBy("page")
+    d = d.withColumn("s", F.sum("d").over(order.rowsBetween(-2, 2)) / 5).withColumn("top", F.max("s").over(page)).where("top > 0")
+    d = d.withColumn("peak", F.min(F.when(F.col("s") == F.col("top"), F.col("col"))).over(page)).withColumn("off", F.col("s") <= 0.35 * F.col("top"))
+    d = d.withColumn("lo", F.coalesce(F.max(F.when(F.col("off") & (F.col("col") < F.col("peak")), F.col("col"))).over(page) + 1, F.min("col").over(page)))
+    d = d.withColumn("hi", F.coalesce(F.min(F.when(F.col("off") & (F.col("col") > F.col("peak")), F.col("col"))).over(page) - 1, F.max("col").over(page)))
+    return d.where("col between lo and hi").groupBy("page", "lo", "hi").agg((F.sum(F.col("col") * F.col("s")) / F.sum("s")).alias("centre"))

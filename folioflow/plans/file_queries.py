@@ -164,3 +164,52 @@ def txt22_alphabet_table(spark, d):
     """TXT-22: an alphabet's characters with their places, read from the literal of a source text with escapes."""
     literal = "LETTERS = {'some': 'abc', 'all': '" + T.ALPHABET.replace("\\", "\\\\").replace("'", "\\u0027") + "'}"
     return T.alphabet_table(spark, literal, "all")
+
+
+@query("SELECT p_partkey, i, 'out/part' || p_partkey || CASE WHEN n > 1 THEN '_p' || lpad(i::VARCHAR, greatest(2, len(i::VARCHAR))::INT, '0') ELSE '' END || '.png' AS path FROM (SELECT p_partkey, p_size % 5 + 1 AS n, unnest(range(1, p_size % 5 + 2)) AS i FROM part)")
+def snk7_page_names(spark, d):
+    """SNK-7: names of the files that pages are saved as, numbered only if there are several."""
+    p = read(spark, d, "part").select("p_partkey", (F.col("p_size") % 5 + 1).alias("n")).withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
+    path = S.page_file(F.concat(F.lit("out/part"), F.col("p_partkey").cast("string"), F.lit(".png")), F.col("i"), F.col("n"))
+    return p.select("p_partkey", F.col("i").cast("long").alias("i"), path.alias("path"))
+
+
+@query("SELECT conv_id, turn, 'data: ' || replace(replace(text, chr(10), chr(10) || 'data: '), chr(13), '') || chr(10) || chr(10) AS event FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'data: __DONE__ 0' || chr(10) || chr(10) FROM conversations GROUP BY conv_id")
+def snk9_server_events(spark, d):
+    """SNK-9: the lines of a run as server-sent events, with its end."""
+    t = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    done = t.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("text", F.lit("__DONE__ 0"))
+    return t.unionByName(done).select("conv_id", "turn", S.server_event(F.col("text")).alias("event"))
+
+
+@query("SELECT event_id, event_id % 5 IN (0, 1) AS safe FROM events")
+def flt20_safe_paths(spark, d):
+    """FLT-20: paths below a folder, upward ones and others that only look so."""
+    e = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ("a/b.png", "a/../b.png", "../secret", "/etc/passwd", "a/../../b"))), (e % 5 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", S.contained(name).alias("safe"))
+
+
+_QUOTED = """SELECT doc_id, CASE WHEN regexp_full_match(x, '[A-Za-z0-9_@%+=:,./-]+') THEN x ELSE '''' || replace(x, '''', '''"''"''') || '''' END AS quoted FROM (SELECT doc_id, left(text, 40) AS x FROM documents)"""
+
+
+@query(_QUOTED)
+def txt24_shell_quoted(spark, d):
+    """TXT-24: the beginnings of documents as words of a shell command."""
+    return read(spark, d, "documents").select("doc_id", S.shell_quoted(F.expr("left(text, 40)")).alias("quoted"))
+
+
+@query("SELECT label, count(*) AS rows_, sum(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))))::BIGINT AS bad, round(sqrt(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS norm FROM embeddings GROUP BY label")
+def agg18_norms(spark, d):
+    """AGG-18: of each label's vectors as one gradient: elements that aren't finite, and the L2 norm."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    v = read(spark, d, "embeddings").select("label", F.size(F.filter("embedding", bad)).alias("bad"), square.alias("q"))
+    return v.groupBy("label").agg(F.count("*").alias("rows_"), F.sum("bad").alias("bad"), F.round(F.sqrt(F.sum("q")), 5).alias("norm"))
+
+
+@query("SELECT event_id, event_id % 25 = 0 AND event_id > 0 AS sample, event_id % 100 = 0 AND event_id > 0 AS checkpoint, event_id // 8 AS batches FROM events")
+def mdl1_schedule(spark, d):
+    """MDL-1, the part that is a query: at which steps a run samples and saves, and how many whole batches so many samples make."""
+    e = F.col("event_id")
+    return read(spark, d, "events").select("event_id", ((e % 25 == 0) & (e > 0)).alias("sample"), ((e % 100 == 0) & (e > 0)).alias("checkpoint"), F.floor(e / 8).alias("batches"))

@@ -111,3 +111,35 @@ def geo12_margin(spark, d):
         return {"at": [] if found is None else [found]}
 
     return P.kernel(lit, work, "at long")
+
+
+@query(f"WITH {RASTER_SQL} SELECT page, row, col, v FROM raster WHERE page <> 7 AND page < 10")
+def src11_decoded_pictures(spark, d):
+    """Pictures written as plain PGM text and decoded; one of them is broken and skipped."""
+    px = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "v"))), lambda s: s["v"].cast("string")), " ")
+    files = raster(spark).where("page < 10").groupBy("page").agg(px.alias("px"))
+    content = F.when(F.col("page") == 7, "P2 oops").otherwise(F.concat(F.lit("P2\n# a picture\n120 160\n255\n"), "px"))
+    found = P.decoded(files.select(F.col("page").cast("string").alias("name"), content.cast("binary").alias("content"))).where("width is not null")
+    cells = found.select(F.col("name").cast("long").alias("page"), "width", F.posexplode("v").alias("at", "v"))
+    return cells.select("page", F.floor(F.col("at") / F.col("width")).cast("int").alias("row"), (F.col("at") % F.col("width")).cast("int").alias("col"), "v")
+
+
+@query(f"WITH {RASTER_SQL} SELECT page, CASE page % 9 WHEN 3 THEN 159 - row WHEN 4 THEN 159 - row WHEN 5 THEN col WHEN 6 THEN col WHEN 7 THEN 119 - col WHEN 8 THEN 119 - col ELSE row END::INT AS row, CASE page % 9 WHEN 2 THEN 119 - col WHEN 3 THEN 119 - col WHEN 5 THEN row WHEN 6 THEN 159 - row WHEN 7 THEN 159 - row WHEN 8 THEN row ELSE col END::INT AS col, v FROM raster")
+def src12_oriented_pictures(spark, d):
+    return P.upright_cells(raster(spark), F.col("page") % 9, 160, 120)
+
+
+@query(f"WITH {RASTER_SQL} SELECT page, row, col, greatest(0, least(255, floor(round((200 + row % 40) * (1 - a + a * (v / 255.0::DOUBLE)), 6))))::INT AS out FROM (SELECT *, (col % 5) / 4.0::DOUBLE AS a FROM raster)")
+def pix12_composited(spark, d):
+    cells = raster(spark).withColumns({"paper": 200 + F.col("row") % 40, "alpha": F.col("col") % 5 / F.lit(4.0), "tone": F.col("v") / F.lit(255.0)})
+    return P.composited(cells).select("page", "row", "col", "out")
+
+
+@query(f"""WITH {RASTER_SQL}, d AS (SELECT page, col, sum(CASE WHEN col BETWEEN 30 + page AND 44 + page THEN (col * 7 + row) % 50 ELSE 0 END)::DOUBLE AS d FROM raster GROUP BY ALL), s AS (SELECT *, sum(d) OVER (PARTITION BY page ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS s FROM d), t AS (SELECT *, max(s) OVER (PARTITION BY page) AS top FROM s),
+p AS (SELECT *, min(CASE WHEN s = top THEN col END) OVER (PARTITION BY page) AS peak, s <= 0.35::DOUBLE * top AS off FROM t WHERE top > 0), l AS (SELECT *, coalesce(max(CASE WHEN off AND col < peak THEN col END) OVER (PARTITION BY page) + 1, min(col) OVER (PARTITION BY page)) AS lo, coalesce(min(CASE WHEN off AND col > peak THEN col END) OVER (PARTITION BY page) - 1, max(col) OVER (PARTITION BY page)) AS hi FROM p)
+SELECT page, lo, hi, round(sum(col * s) / sum(s), 6) AS centre FROM l WHERE col BETWEEN lo AND hi GROUP BY page, lo, hi""")
+def pix14_changed_span(spark, d):
+    """Each picture against itself with one letter's columns changed."""
+    cells = raster(spark)
+    new = cells.withColumn("v", F.when(F.col("col").between(30 + F.col("page"), 44 + F.col("page")), F.col("v") + (F.col("col") * 7 + F.col("row")) % 50).otherwise(F.col("v")))
+    return P.changed_span(cells, new).withColumn("centre", F.round("centre", 6))

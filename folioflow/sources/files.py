@@ -102,3 +102,30 @@ def rewritten(spark: SparkSession, path: str, rows: DataFrame, by: str) -> DataF
     """SNK-4, SNK-5: the partitions of the table at path that rows has, replaced whole; all others stay."""
     rows.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def page_file(path: Column, page: Column, pages: Column) -> Column:
+    """SNK-7: the file of one of `pages` pages: the path itself if it is the only one, else with _p01, _p02, ... before its ending."""
+    number = F.lpad(page.cast("string"), F.greatest(F.lit(2), F.length(page.cast("string"))), F.lit("0"))
+    stem, ending = F.regexp_replace(path, r"\.[^./]*\z", ""), F.regexp_extract(path, r"\.[^./]*\z", 0)
+    return F.when(pages > 1, F.concat(stem, F.lit("_p"), number, ending)).otherwise(path)
+
+
+def server_event(text: Column) -> Column:
+    """SNK-9: a text as one server-sent event, each of its lines as data."""
+    lines = F.replace(F.replace(text, F.lit("\n"), F.lit("\ndata: ")), F.lit("\r"), F.lit(""))
+    return F.concat(F.lit("data: "), lines, F.lit("\n\n"))
+
+
+def contained(path: Column) -> Column:
+    """FLT-20: whether a relative path stays below its folder: it names no root, and no part of it climbs higher than it came."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    step = lambda a, p: a["now"] + F.when(p == "..", -1).otherwise(1)
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda a, p: F.struct(step(a, p).alias("now"), F.least(a["least"], step(a, p)).alias("least")))
+    return ~path.startswith("/") & (depth["least"] >= 0) & (depth["now"] > 0)
+
+
+def shell_quoted(text: Column) -> Column:
+    """TXT-24: a text as one word of a shell command."""
+    whole = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    return F.when(text.rlike(r"\A[A-Za-z0-9_@%+=:,./-]+\z"), text).otherwise(whole)
