@@ -5,8 +5,9 @@ adverts, sidebars and comments never are. On pages without such an element all o
 of all pages of a host are concatenated (a block's end counts as a token), their suffixes are sorted by prefix doubling
 and the lengths of common prefixes taken between neighbours. A substring of RUN tokens or more on PAGES distinct pages or
 more is boilerplate: on open pages all tokens that such substrings cover go, what is unique stays. Inside an article, a
-block goes if it is such a substring as a whole (a notice in a bare paragraph); shorter repeats inside an article are its
-own words, as a quotation that other pages hold as well is still text.
+block goes only if it is such a substring as a whole and stands on more than half of the host's pages, as what a template
+puts on every page does (a notice in a bare paragraph); all else inside an article is its own words, as a line or a
+quotation that other pages hold as well is still text.
 
 Pages are distinct by their blocks: copies within a host count once. Near copies differ by less than 1 - NEARLY of a page:
 if that much of a page stands on m pages or more, these count as one page for it, so that no page loses its text to its
@@ -39,6 +40,8 @@ from .url_filter import host_and_path
 
 RUN = 8
 PAGES = 3
+#: Of a host's pages that a block inside an article must stand on, and more, to be its template's.
+TEMPLATE = 0.5
 SHARD_BYTES = 2 << 20
 #: Of a page that its near copies share.
 NEARLY = 0.8
@@ -329,8 +332,9 @@ def _cut(blocks: list[str], opened: bool, pages: dict[int, int]) -> str:
 
 
 def _judge(mine: pa.Table) -> pa.Table:
-    """host, shards, shard, page_keys of every content of a shard, with its units: places, groups' names (0 for a host of
-    one shard, which needs none) and numbers of pages in this shard."""
+    """host, shards, shard, page_keys and open of contents of a shard, with units: places, groups' names (0 for a host of one
+    shard, which needs none) and numbers of pages in this shard. Of a host of one shard, what is boilerplate by its number
+    of pages; of others, every content and unit."""
     rows = mine.to_pylist()
     contents: dict[bytes, dict] = {}
     keys: dict[bytes, dict[bytes, None]] = {}
@@ -338,7 +342,7 @@ def _judge(mine: pa.Table) -> pa.Table:
         contents.setdefault(r["content"], r)
         keys.setdefault(r["content"], {})[r["page_key"]] = None
     order = [c for c, r in contents.items() if r["text"] is not None]
-    columns: list[list] = [[], [], [], []]
+    columns: list[list] = [[], [], [], [], []]
     if order:
         pages = [_unpacked(contents[c]["text"]) for c in order]
         opened = [contents[c]["open"] for c in order]
@@ -346,14 +350,14 @@ def _judge(mine: pa.Table) -> pa.Table:
         places, groups, many = stream.units(opened)
         alone = rows[0]["shards"] == 1
         names = [np.zeros(len(g), np.int64) for g in groups] if alone else stream.names(opened, places)
-        for c, p, g, name in zip(order, places, groups, names):
-            some = many[g] >= PAGES if alone else np.ones(len(g), bool)
-            if some.any():
-                for column, value in zip(columns, (list(keys[c]), p[some], name[some], many[g[some]])):
+        for c, o, p, g, name in zip(order, opened, places, groups, names):
+            some = many[g] >= (PAGES if o else max(PAGES, int(TEMPLATE * len(order)) + 1)) if alone else np.ones(len(g), bool)
+            if some.any() or not alone:
+                for column, value in zip(columns, (list(keys[c]), o, p[some], name[some], many[g[some]])):
                     column.append(value)
-    kinds = (pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    kinds = (pa.list_(pa.binary()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
     head = [pa.array([rows[0][c]] * len(columns[0]), k) for c, k in (("host", pa.string()), ("shards", pa.int64()), ("shard", pa.int64()))]
-    return pa.Table.from_arrays([*head, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["host", "shards", "shard", "page_keys", "pos", "name", "pages"])
+    return pa.Table.from_arrays([*head, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["host", "shards", "shard", "page_keys", "open", "pos", "name", "pages"])
 
 
 # ---- on Spark
@@ -443,12 +447,13 @@ def boilerplate(sited: DataFrame) -> DataFrame:
     large = written(sited.groupBy("host").agg((F.floor(F.sum(size) / SHARD_BYTES) + 1).cast("long").alias("shards")).where("shards > 1"))
     dealt = sited.join(large, "host", "left").select("host", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "page_key", "html")
     dealt = dealt.mapInArrow(_streams, "host string, shards long, shard long, page_key binary, content binary, open boolean, text binary")
-    units = written(dealt.groupBy("host", "shard").applyInArrow(_judge, "host string, shards long, shard long, page_keys array<binary>, pos array<bigint>, name array<bigint>, pages array<bigint>"))
+    units = written(dealt.groupBy("host", "shard").applyInArrow(_judge, "host string, shards long, shard long, page_keys array<binary>, open boolean, pos array<bigint>, name array<bigint>, pages array<bigint>"))
     # hosts of several shards: a unit has one number of pages in each shard
     parts = units.where("shards > 1")
     each = parts.select("host", "shard", F.inline(F.arrays_zip("name", "pages"))).distinct().groupBy("host", "name").agg(F.sum("pages").alias("pages")).where(f"pages >= {PAGES}")
-    placed = parts.select("host", "page_keys", F.inline(F.arrays_zip("pos", "name")))
-    found = placed.join(each, ["host", "name"]).select("host", F.explode("page_keys").alias("page_key"), "pos", "pages")
+    total = parts.groupBy("host").agg(F.count("*").alias("total"))
+    placed = parts.select("host", "page_keys", "open", F.inline(F.arrays_zip("pos", "name")))
+    found = placed.join(each, ["host", "name"]).join(total, "host").where(F.col("open") | (F.col("pages") > F.floor(TEMPLATE * F.col("total")))).select("host", F.explode("page_keys").alias("page_key"), "pos", "pages")
     found = found.groupBy("host", "page_key").agg(F.collect_list(F.struct("pos", "pages")).alias("hits")).select("host", "page_key", F.col("hits.pos").alias("pos"), F.col("hits.pages").alias("pages"))
     return units.where("shards = 1").select("host", F.explode("page_keys").alias("page_key"), "pos", "pages").union(found)
 
