@@ -38,12 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     link with nothing and stay.
     """
     keyed = written(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()))
-    groups = jaccard_components(keyed, id_col=ROW_KEY, k=5, percent=80).where("n_shingles > 0").withColumnRenamed("id", ROW_KEY)
-    members = written(groups.join(keyed.select(ROW_KEY, "doc_id"), ROW_KEY).select(ROW_KEY, "doc_id", "component_id"))
+    groups = written(jaccard_components(keyed, id_col=ROW_KEY, k=5, percent=80).withColumnRenamed("id", ROW_KEY))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW_KEY))[ROW_KEY]
-    kept = members.groupBy("component_id").agg(first.alias("kept"), F.count("*").alias("rows")).where("rows > 1")
-    dropped = members.join(kept, "component_id").where(F.col(ROW_KEY) != F.col("kept")).select(ROW_KEY)
-    return keyed.join(dropped, ROW_KEY, "left_anti").select(*docs.columns)
+    named = groups.where("n_shingles > 0").join(keyed.select(ROW_KEY, "doc_id"), ROW_KEY)
+    # a group of very many rows is pre-aggregated, and its rows look for their own key, not for their group
+    kept = named.groupBy("component_id").agg(first.alias(ROW_KEY)).select(ROW_KEY)
+    return keyed.join(kept.union(groups.where("n_shingles = 0").select(ROW_KEY)), ROW_KEY, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
