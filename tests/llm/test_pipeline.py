@@ -65,3 +65,19 @@ def test_pipeline(spark, tmp_path):
     want = [r for r in one_of_each_group([tuple(r) for r in judged.collect()]) if item not in (r[1] or "")]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert want and Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], len((r[1] or "").split())) for r in want)
+
+
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, tmp_path):
+    """Columns that bear the names of the operators' own results, nulls everywhere, and no rows at all."""
+    extra = "score double, grade int, toxic boolean, severity string, component_id long, hit int, text_ string"
+    rows = [(*r, 0.5, 1, None, "s", 7, None, None) for r in table_rows()] + [(None,) * 12]
+    spark.createDataFrame([(1, " ".join(words(60, 25)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(20 + i, i % 2, int(i % 4 == 0)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, f"{DOCS}, {extra}").repartition(2)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        found = Counter(map(tuple, kept.collect()))
+        assert found and not found - Counter(map(tuple, rows))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.mixing(spark, docs, "").count() == len(rows) and corpus_pipeline.mixing(spark, docs.limit(0), "").count() == 0
