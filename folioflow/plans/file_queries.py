@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import boxes as B
 from ..operators.ranks import numbered, running
 from ..sources import files as S
-from ..sources.fixtures import BOX_SQL, crops, read
+from ..sources.fixtures import BOX_SQL, read, synthetic_pages
 from ..sources.stored import shared_path, stored
-from .registry import _ALPHA, _BUILT, _LAB, _boxes, _labels, _tok, query
+from .registry import _ALPHA, _BUILT, _LAB, _boxes, _labels, query
 from .review_queries import _PACK, _packable
 
 _BOXES = "page_key, box_id, x, y, w, h, text, conf, line, word, source, edited, deleted"
@@ -213,3 +212,17 @@ def mdl1_schedule(spark, d):
     """MDL-1, the part that is a query: at which steps a run samples and saves, and how many whole batches so many samples make."""
     e = F.col("event_id")
     return read(spark, d, "events").select("event_id", ((e % 25 == 0) & (e > 0)).alias("sample"), ((e % 100 == 0) & (e > 0)).alias("checkpoint"), F.floor(e / 8).alias("batches"))
+
+
+_SAID = ("Small pages teach a patient reader.", "Each line knows the words it holds.", "Slanted photos bend what was level.", "A crop should end where the word ends.", "Truth is kept beside every picture.")
+
+
+def _turned(k: int) -> str:
+    x, y = (f"({a}{f' + {b}' if k in on else ''})" for a, b, on in (("x", "w", (1, 2)), ("y", "48", (2, 3))))
+    c, s, dx, dy = "cos(radians(4.5))", "sin(radians(4.5))", f"({x} - 850.0)", f"({y} - 1100.0)"
+    return f"round({c} * {dx} + {s} * {dy} + 850.0, 6) AS x{k}, round(-{s} * {dx} + {c} * {dy} + 1100.0, 6) AS y{k}"
+
+
+@query("WITH l AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_SAID, 1)) + f") AS t(line, content)), w AS (SELECT line, unnest(string_split(content, ' ')) AS text, generate_subscripts(string_split(content, ' '), 1) AS word, content FROM l), p AS (SELECT line, word, text, 140 + (line * 7 % 5 - 2) + 24 * (len(array_to_string(string_split(content, ' ')[1:word - 1], ' ')) + CASE WHEN word > 1 THEN 1 ELSE 0 END) AS x, 260 + (line - 1) * 90 + line * 3 % 5 - 2 AS y, len(text) * 24 AS w FROM w) SELECT line, word::INT AS word, text, {', '.join(_turned(k) for k in range(4))} FROM p")
+def src14_synthetic_page(spark, d):
+    return synthetic_pages(spark, list(_SAID), 4.5)

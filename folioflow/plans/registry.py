@@ -14,7 +14,7 @@ from ..operators import boxes as B
 from ..operators.ranks import numbered, quantiles, running
 from ..sources.files import BUILT_IN
 from ..sources.fixtures import BOX_SQL, CROP_SQL, DET_SQL, TOK_SQL, boxes, crops, detected, read, tokens
-from ..sources.stored import shared_path, stored
+from ..sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,10 +271,9 @@ def win3_writer_ids(spark, d):
 
 
 def _writers(labels: DataFrame) -> DataFrame:
-    """WIN-3: labels with wid, the place of their writer among all. Ranks are taken over the writers, not their labels, and a
-    writer with most labels is no join partition of its own: each partition looks its rows up in the written list of writers,
-    broadcast if it is small."""
-    ids = stored(labels.select("writer").distinct().withColumn("wid", (F.dense_rank().over(W.orderBy("writer")) - 1).cast("long")))
+    """WIN-3: labels with wid, the place of their writer among all. Places are taken over the writers, not their labels; the list of
+    writers is written, and broadcast if it is small."""
+    ids = stored(numbered(labels.select("writer").distinct(), ["writer"], "wid"))
     return labels.join(ids, "writer")
 
 

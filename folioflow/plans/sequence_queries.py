@@ -8,7 +8,7 @@ from ..operators import sequences as S
 from ..operators.ranks import numbered
 from ..sources.fixtures import TOK_SQL, boxes, detected, read
 from ..sources.stored import stored
-from .registry import _boxes, _tok, query
+from .registry import _tok, query
 
 _EDGE = S.EDGE.replace("'", "''")
 

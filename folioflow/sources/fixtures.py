@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +88,21 @@ RASTER_SQL = """raster AS (SELECT page, row, col, CASE WHEN row % 40 BETWEEN 8 A
 FLOW_SQL = """fw AS (SELECT conv_id AS doc_id, turn, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS t FROM conversations)),
 fn AS (SELECT doc_id, turn, word, row_number() OVER (PARTITION BY doc_id ORDER BY turn, pos) - 1 AS ord, row_number() OVER (PARTITION BY doc_id, turn ORDER BY pos) = 1 AS new FROM fw WHERE word <> ''),
 flow AS (SELECT doc_id, ord, word, CASE WHEN new AND turn > 0 THEN 1 ELSE 0 END AS nl, CASE WHEN ord % 31 = 7 THEN 1 ELSE 0 END AS tabs, len(word) / 2.0::DOUBLE AS aspect, CASE WHEN ord % 8 = 3 THEN ord % 3 END AS box_rank, ord % 23 = 11 AS pin FROM fn)"""
+
+
+def synthetic_pages(spark: SparkSession, texts: list[str], degrees: float, width: int = 1700, height: int = 2200, step: int = 90, left: int = 140, top: int = 260, letter: int = 24) -> DataFrame:
+    """SRC-14: the known truth of a page of text lines photographed at a slant: line and word (from 1), text, and the corners x0, y0 to
+    x3, y3 (TL, TR, BR, BL) of each word's rectangle, turned about the page's centre. Each line is off by a pixel or so, by
+    its number; letters are of equal width."""
+    lines = spark.createDataFrame(list(enumerate(texts, 1)), "line int, content string")
+    words = lines.select("line", F.posexplode(F.split("content", " ")).alias("pos", "text"), "content")
+    before = F.length(F.array_join(F.slice(F.split("content", " "), 1, F.col("pos")), " ")) + F.when(F.col("pos") > 0, 1).otherwise(0)
+    x = left + (F.col("line") * 7 % 5 - 2) + before * letter
+    y = top + (F.col("line") - 1) * step + F.col("line") * 3 % 5 - 2
+    w, h = F.length("text") * letter, 2 * letter
+    c, s = float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))
+    out = {}
+    for k, (px, py) in enumerate(((x, y), (x + w, y), (x + w, y + h), (x, y + h))):
+        dx, dy = px - width / 2.0, py - height / 2.0
+        out |= {f"x{k}": c * dx + s * dy + width / 2.0, f"y{k}": -s * dx + c * dy + height / 2.0}
+    return words.select("line", (F.col("pos") + 1).alias("word"), "text", *(F.round(v, 6).alias(n) for n, v in out.items()))
