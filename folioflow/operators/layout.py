@@ -43,29 +43,26 @@ def boxed(words: DataFrame, space: float, tab: float) -> DataFrame:
     """ARR-7: doc_id, box_id, ord, v, u, overflow of the words of each text box, wrapped inside it at its own size.
 
     words: doc_id, box_id, ord, nl, tabs, aspect, and the box's u0, v0, u1, v1, size. Lines are a size apart, the first a size
-    below the top, or on the bottom edge of a box thinner than that. Words below the bottom overflow.
+    below the top, or on the bottom edge of a box thinner than that. Words below the bottom overflow. A box holds tens of
+    words, so its words are folded as an array.
     """
-
-    def fill(group: pa.Table) -> pa.Table:
-        rows = _rows(group)
-        size = rows[0]["size"]
-        (left, right), (top, bottom) = (sorted((rows[0][f"{a}0"], rows[0][f"{a}1"])) for a in "uv")
-        v, u, out = min(top + size, bottom), left, []
-        for n, r in enumerate(rows):
-            if n and r["nl"]:
-                v, u = v + size * r["nl"], left
-            u += r["tabs"] * tab * size
-            width = r["aspect"] * size
-            if u > left + 1e-9 and u + width > right:
-                v, u = v + size, left
-            over = v > bottom + 1e-6
-            out.append((None, None, True) if over else (v, u, False))
-            if not over:
-                u += width + space * size
-        return pa.table({**{c: group.sort_by("ord")[c] for c in ("doc_id", "box_id", "ord")}, **{c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate((("v", pa.float64()), ("u", pa.float64()), ("overflow", pa.bool_())))}})
-
-    rows = words.selectExpr("cast(doc_id as long) doc_id", "cast(box_id as string) box_id", "cast(ord as long) ord", "nl", "tabs", *(f"cast({c} as double) {c}" for c in ("aspect", "u0", "v0", "u1", "v1", "size")))
-    return rows.groupBy("doc_id", "box_id").applyInArrow(fill, "doc_id long, box_id string, ord long, v double, u double, overflow boolean")
+    size, left, right, bottom = (F.col(c) for c in ("size", "left", "right", "bottom"))
+    edges = {"left": F.least("u0", "u1"), "right": F.greatest("u0", "u1"), "top": F.least("v0", "v1"), "bottom": F.greatest("v0", "v1")}
+    one = F.array_sort(F.collect_list(F.struct("ord", "nl", "tabs", F.col("aspect").cast("double").alias("aspect"))))
+    boxes = words.withColumns(edges).groupBy("doc_id", "box_id").agg(one.alias("run"), *(F.max(c).cast("double").alias(c) for c in ("size", *edges)))
+    start = F.struct(F.least(F.col("top") + size, bottom).alias("v"), left.alias("u"), F.array().cast("array<struct<ord:bigint,v:double,u:double,overflow:boolean>>").alias("out"))
+
+    def place(so_far: Column, word: Column) -> Column:
+        fresh = (word["nl"] > 0) & (F.size(so_far["out"]) > 0)
+        u = F.when(fresh, left).otherwise(so_far["u"]) + word["tabs"] * tab * size
+        width = word["aspect"] * size
+        wraps = (u > left + 1e-9) & (u + width > right)
+        v = so_far["v"] + F.when(fresh, size * word["nl"]).otherwise(0.0) + F.when(wraps, size).otherwise(0.0)
+        over, u = v > bottom + 1e-6, F.when(wraps, left).otherwise(u)
+        found = F.struct(word["ord"].cast("bigint").alias("ord"), F.when(~over, v).alias("v"), F.when(~over, u).alias("u"), over.alias("overflow"))
+        return F.struct(v.alias("v"), F.when(over, u).otherwise(u + width + space * size).alias("u"), F.concat(so_far["out"], F.array(found)).alias("out"))
+
+    return boxes.select("doc_id", "box_id", F.inline(F.aggregate("run", start, place)["out"]))
 
 
 def paged(pictures: DataFrame, width: int, height: int, margin: int, word_gap: int, line_gap: int, word_height: int) -> DataFrame:
