@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import stored
 
-CELL = 64
+CELL = 256
 
 
 def pad_clip(boxes: DataFrame, width: int, height: int) -> DataFrame:
