@@ -61,9 +61,12 @@ def alphabet_table(spark: SparkSession, source: str, name: str) -> DataFrame:
 
 
 def document_frequency(tok: DataFrame, vocab: DataFrame) -> DataFrame:
-    """AGG-1: occurrences of stems that pass the letter gate and are real words."""
-    stems = tok.select(stem(F.col("tok")).alias("word")).where("word rlike '^[a-z]{2,}$'").groupBy("word").agg(F.count("*").alias("n"))
-    return stems.join(vocab, "word", "left_semi")
+    """AGG-1: occurrences of words, outer punctuation off, that pass the letter gate and are real: in the vocabulary or an inflection
+    of a word there. Words are counted first, so that each is judged once."""
+    core = F.regexp_replace(F.lower(F.trim("tok")), r"\A[.,;:!?'\"]+|[.,;:!?'\"]+\z", "")
+    counts = tok.select(core.alias("word")).where(r"word rlike '\\A[a-z][a-z\'-]+\\z'").groupBy("word").agg(F.count("*").alias("n"))
+    counts = stored(counts)  # judged and counted from one pass
+    return counts.join(inflected(counts, vocab).where("known"), "word", "left_semi")
 
 
 def inflected(stems: DataFrame, vocab: DataFrame) -> DataFrame:

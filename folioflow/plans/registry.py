@@ -211,7 +211,12 @@ def agg7_unsupported_characters(spark, d):
     return chars.where(~F.col("ch").isin(list(T.ALPHABET))).groupBy("ch").agg(F.count("*").alias("n"))
 
 
-_DF = f"WITH {TOK_SQL}, {_VOCAB}, df AS (SELECT word, count(*) AS n FROM (SELECT {_STEM.format('tok')} AS word FROM tok) WHERE regexp_full_match(word, '[a-z]{{2,}}') AND word IN (SELECT word FROM vocab) GROUP BY word)"
+#: The forms to look up for each word of a relation {0}.
+_FORMS = """f AS (SELECT word, unnest([word, CASE WHEN word LIKE '%ies' AND len(word) > 5 THEN left(word, -3) || 'y' END, CASE WHEN word LIKE '%es' AND len(word) > 4 THEN left(word, -2) END, CASE WHEN word LIKE '%s' AND len(word) > 3 THEN left(word, -1) END] ||
+ flatten(list_transform(list_filter(['ed', 'ing', 'ly', 'er', 'est'], lambda e: suffix(word, e) AND len(word) - len(e) >= 3), lambda e: [left(word, -len(e)), left(word, -len(e)) || 'e', CASE WHEN word[-len(e) - 1] = 'i' THEN left(word, -len(e) - 1) || 'y' END, CASE WHEN word[-len(e) - 1] = word[-len(e) - 2] THEN left(word, -len(e) - 1) END]))) AS form FROM {0})"""
+
+_DF = f"""WITH {TOK_SQL}, {_VOCAB}, seen AS (SELECT word, count(*) AS n FROM (SELECT regexp_replace(lower(trim(tok)), '^[.,;:!?''"]+|[.,;:!?''"]+$', '', 'g') AS word FROM tok) WHERE regexp_full_match(word, '[a-z][a-z''-]+') GROUP BY word),
+{_FORMS.format('seen')}, df AS (SELECT word, n FROM seen WHERE word IN (SELECT word FROM f WHERE form IN (SELECT word FROM vocab)))"""
 
 
 @query(_DF + " SELECT * FROM df")
@@ -236,11 +241,6 @@ def _stems(spark: SparkSession, d: str) -> DataFrame:
     return _tok(spark, d).select(T.stem(F.col("tok")).alias("word")).where("word rlike '^[a-z]{2,}$'").distinct()
 
 
-#: The forms to look up for each word of a relation {0}.
-_FORMS = """f AS (SELECT word, unnest([word, CASE WHEN word LIKE '%ies' AND len(word) > 5 THEN left(word, -3) || 'y' END, CASE WHEN word LIKE '%es' AND len(word) > 4 THEN left(word, -2) END, CASE WHEN word LIKE '%s' AND len(word) > 3 THEN left(word, -1) END] ||
- flatten(list_transform(list_filter(['ed', 'ing', 'ly', 'er', 'est'], lambda e: suffix(word, e) AND len(word) - len(e) >= 3), lambda e: [left(word, -len(e)), left(word, -len(e)) || 'e', CASE WHEN word[-len(e) - 1] = 'i' THEN left(word, -len(e) - 1) || 'y' END, CASE WHEN word[-len(e) - 1] = word[-len(e) - 2] THEN left(word, -len(e) - 1) END]))) AS form FROM {0})"""
-
-
 @query(_STEMS + ", " + _FORMS.format("stems") + " SELECT word, bool_or(coalesce(form IN (SELECT word FROM vocab), false)) AS known FROM f GROUP BY word")
 def txt9_inflection_known(spark, d):
     return T.inflected(_stems(spark, d), T.vocabulary(read(spark, d, "benchmark")))
