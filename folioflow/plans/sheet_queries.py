@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W
@@ -237,7 +239,7 @@ def geo17_rule_polynomials(spark, d):
 @query("WITH c AS (SELECT user_id AS page, value AS x, event_id % 37 AS prominence, 20.0 + user_id % 5 AS x_min, 95.0 AS x_max FROM events) SELECT page, arg_max(x, (prominence, -x)) AS x FROM c WHERE x BETWEEN x_min - 0.10 * (x_max - x_min) AND x_min + 0.35 * (x_max - x_min) GROUP BY page")
 def geo18_margin_choice(spark, d):
     u = F.col("user_id")
-    return G.margin_choice(read(spark, d, "events").select(u.alias("page"), F.col("value").alias("x"), (F.col("event_id") % 37).alias("prominence"), (20.0 + u % 5).alias("x_min"), F.lit(95.0).alias("x_max")))
+    return G.margin_choice(read(spark, d, "events").select(u.alias("page"), F.col("value").alias("x"), (F.col("event_id") % 37).alias("prominence"), (F.lit(Decimal("20.0")) + u % 5).alias("x_min"), F.lit(Decimal("95.0")).alias("x_max")))
 
 
 @query(f"WITH {_POINT_SQL} SELECT event_id, round(cos(radians(7)) * (x - 600) - sin(radians(7)) * (y - 800) + 600, 6) AS x, round(sin(radians(7)) * (x - 600) + cos(radians(7)) * (y - 800) + 800, 6) AS y FROM points")
