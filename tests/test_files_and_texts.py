@@ -151,6 +151,6 @@ def test_page_documents_are_packed_and_only_keys_move(spark, tmp_path, monkeypat
     want = pages.join(files.read_page_documents(spark, path), "page_key", "left")
     assert got == sorted((r.page_key, r.text or "") for r in want.collect()) and len(got) == 8
     spark.createDataFrame([(k, "one two three " * k) for k in range(1, 31)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/d/documents.parquet")
-    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    monkeypatch.setattr("folioflow.plans.file_queries.shared_path", lambda spark: f"file://{tmp_path}/kept")
     assert QUERIES["src4_page_documents"](spark, f"file://{tmp_path}/d").count() == 3 * (465 - 60) + 3
-    assert not list(tmp_path.glob("folioflow-shared/*/pages/*.json")) and list(tmp_path.glob("folioflow-shared/*/pages/*.json.gz"))
+    assert not list(tmp_path.glob("kept/pages/*.json")) and list(tmp_path.glob("kept/pages/*.json.gz"))
