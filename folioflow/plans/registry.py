@@ -257,8 +257,10 @@ def jon12_edit1(spark, d):
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     """ord, image_path, text, writer_id: one label for each active box of a page of good quality."""
     good = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("page_key"))
-    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.col("source").alias("writer"))
-    b = B.active(_boxes(spark, d)).where("w >= 10 and h >= 16").join(good.distinct(), "page_key", "left_semi").join(docs, "page_key")
+    docs = read(spark, d, "documents").select("doc_id", "text", "source", F.col("doc_id").cast("string").alias("page_key"))
+    writers = docs.select("page_key", F.col("source").alias("writer"))
+    texts = docs.drop("source").join(good.distinct(), "page_key", "left_semi").join(writers, "page_key")  # texts, as boxes are many times larger
+    b = B.active(boxes(tokens(texts, "writer", dealt=True), "writer")).where("w >= 10 and h >= 16")
     return b.select(F.concat_ws("__", "page_key", "box_id").alias("image_path"), "text", "writer", "page_key", "box_id", "w", "h")
 
 
