@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import Union, connected_components
 from .kernels import U, Words, distinct, mix, slices, starts
-from .shared import n_partitions, written
+from .shared import collected, n_partitions, written
 
 HOT = 255
 #: Bytes of input, as Spark estimates them, for each bucket of tokens; and the most buckets.
@@ -272,11 +272,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = _buckets(texts)
     sent = texts.mapInArrow(partial(_tokenise, k=k, buckets=buckets), _ddl(_SENT))
     back = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, _ddl(_SENT)))
+    collected(docs.sparkSession)
     rows = back.where("kind = 0").select("a", "b", "c").mapInArrow(_headers, "id long, n_shingles long, class binary")
     active = back.groupBy("batch").applyInArrow(with_percent(_active, percent), _ddl(_SETS))
     sets = written(active.groupBy("class").agg(F.min("node").alias("node"), *(F.max(c).alias(c) for c in ("n", "tokens", "counts", "prefix"))))
+    collected(docs.sparkSession)
 
     placed = _placed(sets, _families(sets))
+    collected(docs.sparkSession)
     joined = _components(placed, percent)
     classes = rows.groupBy("class").agg(F.min("id").alias("node"))
     classes = classes.join(joined, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
@@ -289,7 +292,7 @@ def _buckets(texts: DataFrame) -> int:
     estimate = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if estimate > 1 << 50:  # unknown
         estimate = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(2 * n_partitions(texts.sparkSession), min(MOST_BUCKETS, estimate // BUCKET_BYTES))
+    return max(n_partitions(texts.sparkSession), min(MOST_BUCKETS, estimate // BUCKET_BYTES))
 
 
 def _split(sets: DataFrame, families: DataFrame, number: int) -> DataFrame:

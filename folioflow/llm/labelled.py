@@ -1,8 +1,9 @@
-"""A bounded sample of labelled texts, as sparse features on the driver."""
+"""What a bounded sample of labelled texts, as sparse features, teaches; learnt by one task, so that the driver gets the weights only."""
 
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,13 +24,17 @@ def _order(identity: object) -> int:
     return number * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
-def sampled_features(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[Words], tuple[np.ndarray, np.ndarray]], bits: int, rows: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(label, feature indexes, counts, words) of at most `rows` labelled documents, in an order set by a hash of the id.
+#: (label, feature indexes, counts, words) of a text.
+Row = tuple[int, np.ndarray, np.ndarray, int]
+
+
+def learnt(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[Words], tuple[np.ndarray, np.ndarray]], bits: int, rows: int, learn: Callable[[list[Row]], list[np.ndarray]]) -> list[np.ndarray]:
+    """What learn() makes of at most `rows` labelled documents, in an order set by a hash of the id.
 
     labels: doc_id and the label column; null labels are left out, of several labels for one id the largest holds, and of
     several texts with one id the one with the least features by their bytes. The sample (not above `rows` ids) is
     broadcast, so that the texts are read once and not shuffled; features past SAMPLE_BYTES, in the order of a hash of the
-    id, are left out.
+    id, are left out. The task that ends with all features runs learn(); only its arrays go to the driver.
     """
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -56,6 +61,20 @@ def sampled_features(docs: DataFrame, labels: DataFrame, column: str, features:
     found = found.groupBy("doc_id").agg(F.min(F.struct("idx", "count", "words", "label")).alias("f"))
     # one task for a sample of bounded rows
     held = F.sum(F.octet_length("f.idx").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    found = found.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("doc_id", "f.*").toArrow().to_pylist()
-    found.sort(key=lambda r: (_order(r["doc_id"]), str(r["doc_id"]), r["idx"]))
-    return [(r["label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["count"], np.int32), r["words"]) for r in found]
+    found = found.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("doc_id", "f.*")
+
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [(_order(r["doc_id"]), str(r["doc_id"]), r["idx"], r) for batch in batches for r in batch.to_pylist()]
+        every.sort(key=lambda x: x[:3])
+        arrays = learn([(r["label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["count"], np.int32), r["words"]) for *_, r in every])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(arrays)), pa.int32()), pa.array([_saved(x) for x in arrays], pa.binary())], names=["number", "array"])
+
+    parts = sorted(found.mapInArrow(taught, "number int, array binary").toArrow().to_pylist(), key=lambda r: r["number"])
+    # an empty table may have no task
+    return [np.load(io.BytesIO(r["array"])) for r in parts] if parts else learn([])
+
+
+def _saved(array: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, array)
+    return out.getvalue()

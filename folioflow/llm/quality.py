@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, sigmoid
 from .kernels import U, Words, mix, text_slices
-from .labelled import sampled_features
+from .labelled import Row, learnt
 
 BITS = 20
 SAMPLE_ROWS = 8000
@@ -55,7 +55,11 @@ def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights (the last is the bias) from at most sample_rows labelled rows; a documented bound, not a cut of what is scored."""
-    rows = sampled_features(docs, labels, column, ngrams, BITS, sample_rows)
+    return learnt(docs, labels, column, ngrams, BITS, sample_rows, learn)[0]
+
+
+def learn(rows: list[Row]) -> list[np.ndarray]:
+    """[weights]"""
     model, bias = Ftrl(BITS, alpha=0.3, beta=0.05, l1=0.02, l2=0.0), 0.0
     for _ in range(EPOCHS):
         for label, idx, count, n in rows:
@@ -63,7 +67,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_ro
             g = float(sigmoid(bias + model.score(idx, val))) - min(max(label, 0), 1)
             model.step(idx, val, g)
             bias -= 0.02 * g
-    return np.append(model.weights(), bias).astype(np.float32)
+    return [np.append(model.weights(), bias).astype(np.float32)]
 
 
 def scorer(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Callable[[Column], Column]:

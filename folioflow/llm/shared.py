@@ -34,6 +34,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the garbage of the driver's JVM. Only that lets Spark remove shuffle files and broadcasts of tables that are
+    written, and a heap that grew under many tasks' results shrinks again."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import time
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 
 pytest.importorskip("folioflow.llm")
 
-from folioflow.llm import components, decontaminate, html_text, jaccard_join, licenses, mixing, mtree, quality, toxicity, url_filter, zipwarc  # noqa: E402
+from folioflow.llm import components, decontaminate, html_text, jaccard_join, labelled, licenses, mixing, mtree, quality, toxicity, url_filter, zipwarc  # noqa: E402
 from folioflow.llm.components import connected_components  # noqa: E402
 from folioflow.llm.jaccard_join import jaccard_components  # noqa: E402
 
@@ -237,6 +238,19 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and 10 < len(want) < 60
 
 
+def test_models_are_learnt_by_a_task(spark):
+    """The sample's features stay out of the driver: learn() runs once, in a worker, on all rows in their order."""
+    df = spark.createDataFrame([(i, " ".join(words(20, i))) for i in range(60)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+
+    def learn(rows):
+        return [np.array([os.getpid()]), np.array([label for label, *_ in rows]), np.array([idx.sum() + count.sum() for _, idx, count, _ in rows])]
+
+    got = [labelled.learnt(docs, labels, "toxic", toxicity.terms, toxicity.BITS, 40, learn) for docs in (df, df.repartition(2), df.limit(0))]
+    assert got[0][0] != os.getpid() and len(got[0][1]) == 40 and len(got[2][1]) == 0
+    assert all((a == b).all() for a, b in zip(got[0][1:], got[1][1:]))
+
+
 @pytest.mark.parametrize("model", ["toxicity", "quality"])
 def test_classifiers(spark, model):
     rows = [(i, " ".join(words(40, i) + (["vile", "vile", "scoundrel"] if i % 4 == 0 else [])), "a") for i in range(240)] + [(900, None, "a"), (901, "", "a")]
