@@ -138,7 +138,10 @@ merged AS (SELECT s.page_key, s.box_id, coalesce(d.x, s.x) AS x, coalesce(d.y, s
 
 @query(_MERGE + " SELECT * FROM merged")
 def geo2_merge_fast(spark, d):
-    tok = stored(_tok(spark, d))
+    documents = read(spark, d, "documents")
+    # texts become boxes of some 50 times their bytes, which a task sorts by page
+    parts = max(spark.sparkContext.defaultParallelism, int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 20)
+    tok = tokens(documents, dealt=min(parts, 1 << 16))
     return B.merge_detection(boxes(tok), detected(tok))
 
 

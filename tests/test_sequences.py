@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,23 @@ def test_merge_in_stored_order(spark):
     assert B.merge_detection(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_merge_moves_texts_only(spark, tmp_path):
+    """Boxes of dealt texts are merged without an exchange or a table of boxes; pages may have one side, or more candidates than one lot."""
+    rng = random.Random(4)
+    spark.createDataFrame([(i, "a bb ccc\nd e") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["geo2_merge_fast"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # of (doc_id, text), below what makes words
+    below = [plan[m.start() :].split("\n", 1)[1] for m in re.finditer("Exchange ", plan)]
+    assert len(below) == 2 and not any("Generate" in x.split("FileScan")[0] for x in below)
+    assert plan.count("FileScan") == plan.count("ReadSchema: struct<doc_id:bigint,text:string>") == 2
+    old = [("p", f"o{i}", rng.randrange(90), rng.randrange(90), 20, 10, f"t{i}", "detected", False, False, i) for i in range(600)] + [("q", "o", 0, 0, 9, 9, "t", "manual", False, False, 1)]
+    new = [("p", f"d{i}", rng.randrange(90), rng.randrange(90), 20, 10, f"u{i}", i) for i in range(600)] + [("r", "d", 0, 0, 9, 9, "u", 1)]
+    a = spark.createDataFrame(old, SHAPE + ", source string, edited boolean, deleted boolean, box_ord long")
+    b = spark.createDataFrame(new, SHAPE + ", det_ord long")
+    assert sorted((r.page_key, r.box_id, r.x, r.text, r.outcome) for r in B.merge_detection(a, b).collect()) == merged_by_hand(old, new)
+
+
 @pytest.mark.parametrize("parts, adaptive", [(8, "true"), (16, "false"), (64, "true")])
 def test_running_sums_do_not_depend_on_partitions(spark, parts, adaptive):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
