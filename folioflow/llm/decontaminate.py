@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import PUNCT, Words, distinct, slices, text_slices
+from .kernels import PUNCT, Words, distinct, released, slices, text_slices
 from .shared import written
 
 #: Words of a passage, at least; passages are twice as long as the longest item of the class and half overlap, so that one of
@@ -389,6 +389,9 @@ def _holder(held: Broadcast) -> Callable[[Column], Column]:
 
     @F.arrow_udf("boolean")
     def holds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(hits(texts))
+
+    def hits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             hit, at = np.zeros(len(text), bool), 0
             for part in text_slices(text):

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import Union, connected_components
-from .kernels import U, Words, distinct, mix, slices, starts
+from .kernels import U, Words, distinct, mix, released, slices, starts
 from .shared import collected, n_partitions, written
 
 HOT = 255
@@ -270,7 +270,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     buckets = _buckets(texts)
-    sent = texts.mapInArrow(partial(_tokenise, k=k, buckets=buckets), _ddl(_SENT))
+    sent = texts.mapInArrow(lambda batches: released(_tokenise(batches, k, buckets)), _ddl(_SENT))
     back = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, _ddl(_SENT)))
     collected(docs.sparkSession)
     rows = back.where("kind = 0").select("a", "b", "c").mapInArrow(_headers, "id long, n_shingles long, class binary")

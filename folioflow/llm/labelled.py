@@ -9,14 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .kernels import U, Words, slices
+from .kernels import U, Words, released, slices
 
 
-#: Bytes of features of a sample, at most.
+#: Bytes of features of a sample, at most; and of the texts that a worker makes features of, or scores, at a time.
 SAMPLE_BYTES = 128 << 20
+TEXT_BYTES = 1 << 18
 
 
 def _order(identity: object) -> int:
@@ -41,7 +41,7 @@ def learnt(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[
     texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, TEXT_BYTES):
             words = Words(batch.column(1), *getattr(features, "args", ()))
             doc, feature = features(words)
             feature = (feature >> U(64 - bits)).astype(np.int64)
@@ -57,19 +57,25 @@ def learnt(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(extract, f"doc_id {kind}, label int, idx binary, count binary, words long")
-    found = found.groupBy("doc_id").agg(F.min(F.struct("idx", "count", "words", "label")).alias("f"))
-    # one task for a sample of bounded rows
-    held = F.sum(F.octet_length("f.idx").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    found = found.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("doc_id", "f.*")
+    found = texts.mapInArrow(lambda batches: released(extract(batches)), f"doc_id {kind}, label int, idx binary, count binary, words long")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("idx", "count", "words", "label")).alias("f")).select("doc_id", "f.*")
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [(_order(r["doc_id"]), str(r["doc_id"]), r["idx"], r) for batch in batches for r in batch.to_pylist()]
+        every, held = [], 0
+        for batch in batches:
+            for number, label, idx, count, words in zip(*(batch.column(c) for c in ("doc_id", "label", "idx", "count", "words"))):
+                idx, count = (np.frombuffer(x.as_buffer(), np.int32) for x in (idx, count))  # views of the batch, no copies
+                held += idx.nbytes
+                if held <= SAMPLE_BYTES:
+                    every.append((_order(number.as_py()), str(number.as_py()), len(every), (label.as_py(), idx, count, words.as_py())))
         every.sort(key=lambda x: x[:3])
-        arrays = learn([(r["label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["count"], np.int32), r["words"]) for *_, r in every])
+        arrays = learn([row for *_, row in every])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(arrays)), pa.int32()), pa.array([_saved(x) for x in arrays], pa.binary())], names=["number", "array"])
 
-    parts = sorted(found.mapInArrow(taught, "number int, array binary").toArrow().to_pylist(), key=lambda r: r["number"])
+    # one task for a sample of bounded rows; they are sorted once, and no window holds them again
+    found = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    parts = found.mapInArrow(lambda batches: released(taught(batches)), "number int, array binary").toArrow().to_pylist()
+    parts.sort(key=lambda r: r["number"])
     # an empty table may have no task
     return [np.load(io.BytesIO(r["array"])) for r in parts] if parts else learn([])
 

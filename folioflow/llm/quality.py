@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, sigmoid
-from .kernels import U, Words, mix, text_slices
-from .labelled import Row, learnt
+from .kernels import U, Words, mix, released, text_slices
+from .labelled import TEXT_BYTES, Row, learnt
 
 BITS = 20
 SAMPLE_ROWS = 8000
@@ -83,8 +83,7 @@ def scorer(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_r
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for text in texts:
-            yield pa.array(np.concatenate([np.zeros(0), *(scored(part) for part in text_slices(text))]))
+        yield from released(pa.array(np.concatenate([np.zeros(0), *(scored(part) for part in text_slices(text, TEXT_BYTES))])) for text in texts)
 
     return score
 

@@ -251,6 +251,21 @@ def test_models_are_learnt_by_a_task(spark):
     assert all((a == b).all() for a, b in zip(got[0][1:], got[1][1:]))
 
 
+def test_sampled_texts_are_taken_in_small_slices(spark):
+    """A worker makes features of at most 256 KB of texts at a time, whatever the size of Spark's batches."""
+    df = spark.createDataFrame([(i, "word " * 4000) for i in range(200)], "doc_id long, text string").repartition(1)
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+
+    def features(words):
+        return np.arange(words.n_docs), np.full(words.n_docs, len(words.data), np.uint64) << np.uint64(40)
+
+    def learn(rows):
+        return [np.array([int(idx[0]) for _, idx, *_ in rows])]
+
+    (seen,) = labelled.learnt(df, labels, "toxic", features, 24, 200, learn)
+    assert len(seen) == 200 and 20_000 <= seen.max() <= 1 << 18
+
+
 @pytest.mark.parametrize("model", ["toxicity", "quality"])
 def test_classifiers(spark, model):
     rows = [(i, " ".join(words(40, i) + (["vile", "vile", "scoundrel"] if i % 4 == 0 else [])), "a") for i in range(240)] + [(900, None, "a"), (901, "", "a")]
